@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP6_SQL, exact_groups
+from .minhash_dedup import near_groups
 from .mixing import mix
 from .quality_rules import OP3_SQL, quality
 from .text_sql import documents
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir), width=3, percent=85)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
@@ -23,7 +28,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality_rules, op5_mixing, op6_exact_dedup)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op3_quality_rules, op5_mixing, op6_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
