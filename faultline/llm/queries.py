@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import substring_dedup, suffix_dedup
 from .exact_dedup import OP6_SQL, exact_groups
 from .minhash_dedup import near_groups
 from .mixing import mix
@@ -19,6 +20,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(documents(spark, sf_dir)))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -27,8 +32,22 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove_repeats(documents(spark, sf_dir)))
+
+
+ALL = (
+    op1_minhash_dedup,
+    op3_quality_rules,
+    op4_suffix_dedup,
+    op5_mixing,
+    op6_exact_dedup,
+    op10_substring_dedup,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_dedup, op3_quality_rules, op5_mixing, op6_exact_dedup)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
