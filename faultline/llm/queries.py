@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup, suffix_dedup
+from . import langid, packing, substring_dedup, suffix_dedup
 from .exact_dedup import OP6_SQL, exact_groups
 from .minhash_dedup import near_groups
 from .mixing import mix
@@ -16,6 +16,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir), width=3, percent=85)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
@@ -32,16 +36,22 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(documents(spark, sf_dir)))
 
 
 ALL = (
     op1_minhash_dedup,
+    op2_packing,
     op3_quality_rules,
     op4_suffix_dedup,
     op5_mixing,
     op6_exact_dedup,
+    op9_language_id,
     op10_substring_dedup,
 )
 
