@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lm_scoring, packing, substring_dedup, suffix_dedup
+from . import langid, lm_scoring, packing, substring_dedup, suffix_dedup, token_counts
 from .exact_dedup import OP6_SQL, exact_groups
 from .minhash_dedup import near_groups
 from .mixing import mix
@@ -40,6 +40,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(documents(spark, sf_dir))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -56,6 +60,7 @@ ALL = (
     op5_mixing,
     op6_exact_dedup,
     op7_lm_scoring,
+    op8_token_counts,
     op9_language_id,
     op10_substring_dedup,
 )
