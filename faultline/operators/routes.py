@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import literal_share
+from ..plans.lineage import cut
 from ..schema import CONF_CONTEXT_MODULE, CONF_DB, CONF_ENDPOINT, CONF_GRAPHQL, CONF_QUALIFIED_CALL, CONF_SERVES, CONF_STAR, MAX_FRAGMENT_HOPS, NORMALIZED_ROUTE
 from .link import emit, strongest
 
@@ -84,11 +85,13 @@ def route_words(handlers: DataFrame) -> DataFrame:
 
 def _closure(start: DataFrame, steps: DataFrame, hops: int) -> DataFrame:
     """Everything reached from start (origin, at) over steps (at, to), origin included, in at most ``hops`` steps."""
-    met = start.select("origin", "at").distinct()
+    met = cut(start.select("origin", "at").distinct())
     level = met
     for _ in range(hops):
-        level = level.join(steps, "at").select("origin", F.col("to").alias("at")).distinct().join(met, ["origin", "at"], "left_anti")
-        met = met.unionByName(level)
+        level = cut(level.join(steps, "at").select("origin", F.col("to").alias("at")).distinct().join(met, ["origin", "at"], "left_anti"))
+        if level.isEmpty():
+            break
+        met = cut(met.unionByName(level))
     return met
 
 
@@ -118,7 +121,7 @@ def descend(selections: DataFrame, fields: DataFrame, hops: int = 8) -> DataFram
     state = selections.select("selection", F.col("root_type").alias("type"), "path", F.lit(0).alias("i"), F.lit(None).cast("string").alias("field_key"))
     done = None
     for _ in range(hops):
-        state = state.withColumn("field", F.get("path", F.col("i"))).join(fields.withColumnRenamed("field_key", "fk"), ["type", "field"]).select(
+        state = cut(state).withColumn("field", F.get("path", F.col("i"))).join(fields.withColumnRenamed("field_key", "fk"), ["type", "field"]).select(
             "selection", F.col("returns").alias("type"), "path", (F.col("i") + 1).alias("i"), F.col("fk").alias("field_key"))
         end = state.filter("i = size(path)").select("selection", "field_key")
         done = end if done is None else done.unionByName(end)

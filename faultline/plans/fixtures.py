@@ -72,11 +72,11 @@ TEXT_EDGES = "SELECT concat('o', l_orderkey) AS src, concat('p', l_partkey) AS d
 
 ROUTE_CONSUMERS = """
 SELECT page_id AS id, 'Http' AS transport, 'GET' AS method, concat('page', page_id) AS key,
-       regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS raw FROM pages
+       regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '[?#].*$', '') AS raw FROM pages
 """
 ROUTE_PRODUCERS = """
 SELECT row_number() OVER (ORDER BY head) AS id, 'Http' AS transport, 'GET' AS method, concat('handler-', head) AS key, concat(head, '/:id') AS raw
-FROM (SELECT DISTINCT split_part(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/', 1) AS head FROM pages)
+FROM (SELECT DISTINCT split_part(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '[?#].*$', ''), '/', 1) AS head FROM pages)
 """
 
 VIEWS = {
