@@ -5,13 +5,14 @@ shingles over it; a second one (pi), shifted circularly by k = 0, 1, 2, ..., giv
 coordinate k as the least pi(sigma(x) - k). Two permutations thus serve all coordinates.
 
 Links: texts with equal shingle sets collapse to one representative first, so groups of
-exact copies never meet in a bucket. Each bucket of a band then elects a pivot, and members
-are compared with the pivot on their full sets; this repeats with other pivots, only for
-buckets whose members are not yet one component. What is left (pairs across components
-that share a bucket, taken in their first common band) is compared pair by pair. No pair
-inside a component is ever emitted, so a hot bucket costs its size and not its square, and
-no link between different components is missed among candidates. With 18 bands of 4
-coordinates a pair at similarity 0.85 escapes banding with probability 2e-6.
+exact copies never meet in a bucket. Each bucket of a band then elects a pivot, members are
+compared with it on their full sets, and links give components. What is left are buckets
+that hold several components. In small ones (up to ``SMALL`` members) the pairs across
+components are compared one by one; larger ones are dealt into blocks of bounded size, and
+each pair of blocks is compared in one task, which returns only links that join components.
+A pair is looked at in its first common band only. No pair inside a component is ever
+built, and no candidate pair across components is missed. With 18 bands of 4 coordinates a
+pair at similarity 0.85 escapes banding with probability 2e-6.
 
 Null and empty texts have an empty set and are linked with nothing. Rows that repeat a
 doc_id each give a row. Extra columns are ignored. An empty table gives an empty result.
@@ -33,6 +34,8 @@ from .scratch import Scratch
 BANDS, ROWS = 18, 4
 #: Estimates this far below the threshold (over five standard deviations) are not verified.
 SLACK = 0.22
+#: Members of a bucket whose pairs are compared one by one; and what a block of a larger bucket holds at most (on average).
+SMALL, BLOCK_MEMBERS, BLOCK_SHINGLES = 48, 1024, 400_000
 
 
 def _pi(x: np.ndarray, tmp: np.ndarray) -> np.ndarray:
@@ -171,8 +174,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     comp: DataFrame | None = None
     turn = 0
 
-    def verify(pairs: DataFrame) -> None:
-        """Adds the links among pairs (a, b) and renews the components."""
+    def verify(pairs: DataFrame, more: DataFrame | None = None) -> None:
+        """Adds the links among pairs (a, b), and more links, and renews the components."""
         nonlocal links, comp, turn
         turn += 1
         low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
@@ -184,30 +187,25 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
         full = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         full = full.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").sortWithinPartitions("a")
         found = full.select("a", "b", "text_a", "text_b").mapInArrow(_verified(width, percent), "a long, b long")
-        links = scratch.put(f"links{turn}", found if links is None else links.unionByName(found))
+        for other in (links, more):
+            found = found if other is None else found.unionByName(other)
+        links = scratch.put(f"links{turn}", found)
         comp = connected_components(links, scratch, f"comp{turn}")
 
-    def open_members() -> DataFrame:
-        """Members of buckets that hold more than one component, with their component."""
-        if comp is None:
-            return member.withColumn("comp", F.col("rep"))
-        of = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        still = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        return of.join(still, "key")
-
-    for pick in (F.min(F.struct("rep", "comp")), F.max(F.struct("rep", "comp")), F.min_by(F.struct("rep", "comp"), F.xxhash64("rep"))):
-        now = scratch.put(f"open{turn}", open_members())
-        pivots = now.groupBy("key").agg(pick.alias("p")).select("key", "p.rep", "p.comp").toDF("key", "pivot", "pivot_comp")
-        pairs = now.join(pivots, "key").filter("rep <> pivot AND comp <> pivot_comp")
-        a, b = F.least("rep", "pivot"), F.greatest("rep", "pivot")
-        verify(pairs.select(a.alias("a"), b.alias("b")).distinct())
-
-    now = scratch.put(f"open{turn}", open_members())
-    left, right = _sided(now, reps, "a"), _sided(now, reps, "b")
-    first_band = _first_common(F.col("bands_a"), F.col("bands_b"))
+    pivots = member.groupBy("key").agg(F.min("rep").alias("pivot"))
+    verify(member.join(pivots, "key").filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+
+    of = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    sizes = reps.select("rep", "n_shingles")
+    open_ = of.join(sizes, "rep").groupBy("key").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"), F.sum("n_shingles").alias("weight")).filter("lo < hi")
+    now = scratch.put("open", of.join(open_.select("key", "members", "weight"), "key"))
+    small = now.filter(F.col("members") <= SMALL)
+    left, right = _sided(small, reps, "a"), _sided(small, reps, "b")
     apart = (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    verify(left.join(right, apart & fits & (F.col("key_a") == first_band)).select("a", "b"))
+    pairs = left.join(right, apart & fits & (F.col("key_a") == _first_common(F.col("bands_a"), F.col("bands_b")))).select("a", "b")
+    verify(pairs, _large_links(now.filter(F.col("members") > SMALL), reps, texts, width, percent))
 
     of_rep = reps.select("f1", "f2", "n_shingles", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     of_rep = of_rep.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n_shingles").alias("gn"),
@@ -218,6 +216,91 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
+
+def _with_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches):
+            sets, begin = shingle_sets(b.data, b.offsets, width)
+            yield pa.RecordBatch.from_arrays([pa.array(b.doc_id, pa.int64()), pa.array([sets[begin[i] : begin[i + 1]].tobytes() for i in range(len(b.doc_id))], pa.binary())], names=["rep", "shingles"])
+
+    return run
+
+
+def _block_links(percent: int):
+    """Links between the components of two blocks of a bucket: enough to join what is linked, not all of them."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        bucket, i, j = (k.as_py() for k in key)
+        rep, comp, n, block = (table.column(c).to_numpy() for c in ("rep", "comp", "n_shingles", "block"))
+        bands = np.array(table.column("bands").to_pylist(), np.int64)
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+        ra, rb = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        out_a, out_b = [], []
+        if len(ra) and len(rb):
+            size_a, size_b = n[ra][:, None], n[rb][None, :]
+            open_ = (comp[ra][:, None] != comp[rb][None, :]) & (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b))
+            if i == j:
+                open_ &= rep[ra][:, None] < rep[rb][None, :]
+            for k in range(bands.shape[1]):
+                if bands[ra[0], k] == bucket:
+                    break
+                open_ &= bands[ra, k][:, None] != bands[rb, k][None, :]
+            if open_.any():
+                both = _intersections([sets[x] for x in ra], [sets[x] for x in rb])
+                linked = open_ & (100 * both >= percent * (size_a + size_b - both))
+                label = {c: c for c in comp.tolist()}
+
+                def root(c: int) -> int:
+                    while label[c] != c:
+                        label[c] = c = label[label[c]]
+                    return c
+
+                for x, y in zip(*np.nonzero(linked), strict=True):
+                    p, q = root(int(comp[ra[x]])), root(int(comp[rb[y]]))
+                    if p != q:
+                        label[max(p, q)] = min(p, q)
+                        out_a.append(int(rep[ra[x]]))
+                        out_b.append(int(rep[rb[y]]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return run
+
+
+def _intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all intersections, by products of 0/1 matrices over some of the shingles at a time."""
+    def coded(sets: list[np.ndarray], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        at = np.searchsorted(vocabulary, flat)
+        ok = at < len(vocabulary)
+        ok[ok] = vocabulary[at[ok]] == flat[ok]
+        order = np.argsort(at[ok], kind="stable")
+        return row[ok][order], at[ok][order]
+
+    vocabulary = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    (row_a, at_a), (row_b, at_b) = coded(a, vocabulary), coded(b, vocabulary)
+    out = np.zeros((len(a), len(b)), np.float32)
+    for k in range(0, len(vocabulary), width):
+        x, y = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
+        for m, row, at in ((x, row_a, at_a), (y, row_b, at_b)):
+            lo, hi = np.searchsorted(at, [k, k + width])
+            m[row[lo:hi], at[lo:hi] - k] = 1
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
+def _large_links(now: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) across the components of large buckets, block against block."""
+    wanted = texts.join(now.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = wanted.mapInArrow(_with_sets(width), "rep long, shingles binary")
+    blocks_ = F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    dealt = now.select("rep", "key", "comp", blocks_.alias("n_blocks")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    paired = paired.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    full = paired.join(reps.select("rep", "n_shingles", "bands"), "rep").join(sets, "rep")
+    return full.select("key", "i", "j", "rep", "comp", "n_shingles", "block", "bands", "shingles").groupBy("key", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+
+
 def _sided(now: DataFrame, reps: DataFrame, side: str) -> DataFrame:
     facts = reps.select("rep", "n_shingles", "bands")
     out = now.select("rep", "key", "comp").join(facts, "rep")
