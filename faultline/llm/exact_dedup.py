@@ -8,7 +8,7 @@ are then compared by their ordered identifier lists, which are some hundred time
 A text that holds a chunk whose identifier turned out to be shared by two contents is
 compared by the SHA-256 of its whole text as well, so no result rests on a 64-bit hash.
 
-Null text counts as empty; empty texts form one group. Rows that repeat a doc_id each give
+Null text counts as empty; empty texts form one group. A null doc_id counts as the smallest. Rows that repeat a doc_id each give
 a row. Extra columns are ignored. An empty table gives an empty result.
 """
 
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text_sql import masked, only, unmasked
+
 MIN_CHUNK, MAX_CHUNK = 256, 2048
 
 
@@ -35,7 +37,7 @@ def collided_chunks(recipes: DataFrame) -> DataFrame:
 def exact_groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id (largest doc_id of the equal texts), group_size, kept, text_sha256; one row per row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    cut = docs.select("doc_id", text.alias("text")).withColumn("chunks", chunks(F.col("text")))
+    cut = masked(docs).select("doc_id", text.alias("text")).withColumn("chunks", chunks(F.col("text")))
     shared = collided_chunks(cut)
     recipes = cut.select(
         "doc_id",
@@ -60,19 +62,20 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     same = (F.col("recipe") == F.col("g_recipe")) & F.col("proof").eqNullSafe(F.col("g_proof"))
     out = keyed.join(several, same, "left")
     keep = F.coalesce("keep_id", "doc_id")
-    return out.select(
+    out = out.select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (F.col("doc_id") == keep).alias("kept"),
         "text_sha256",
     )
+    return unmasked(out, "doc_id", "keep_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: of equal texts the one with the largest doc_id; one of rows repeating that doc_id."""
-    kept = exact_groups(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    kept = masked(exact_groups(docs).filter("kept").select("doc_id"))
+    return only(docs, kept).dropDuplicates(["doc_id"])
 
 
 OP6_SQL = """

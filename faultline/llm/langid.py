@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import LOWER, blocks
-from .text_sql import unit_hash
+from .text_sql import masked, only, unit_hash, unmasked
 
 BITS = 12
 UNKNOWN = "und"
@@ -184,7 +184,7 @@ def _predicted(shared):
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score per row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = masked(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
     return texts.mapInArrow(_predicted(shared), "doc_id long, lang_pred string, score double")
 
 
@@ -195,13 +195,15 @@ def fold(doc_id, of: int):
 
 def identify(docs: DataFrame, held_out_fold: int = 2, of: int = 4) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learned from the rows of docs that are not held out."""
+    docs = masked(docs)
     model = fit(docs.filter(fold(F.col("doc_id"), of) != held_out_fold))
     out = predict(docs, model)
-    return out.select("doc_id", (fold(F.col("doc_id"), of) == held_out_fold).alias("held_out"), "lang_pred", "score")
+    return unmasked(out.select("doc_id", (fold(F.col("doc_id"), of) == held_out_fold).alias("held_out"), "lang_pred", "score"))
 
 
 def keep_known(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     """The rows of docs with a language: not ``und`` and scored at least min_score."""
-    model = fit(docs.filter(fold(F.col("doc_id"), 4) != 2))
-    kept = predict(docs, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    own = masked(docs)
+    model = fit(own.filter(fold(F.col("doc_id"), 4) != 2))
+    kept = predict(own, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    return only(docs, kept)

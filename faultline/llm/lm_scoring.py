@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .blocks import LOWER, SPACE, Block, Spans, blocks, mixed, word_hashes, word_spans
 from .langid import fold
 from .scratch import Scratch
-from .text_sql import unit_hash
+from .text_sql import masked, unit_hash, unmasked
 
 BITS = 6
 SYMBOLS = 1 << BITS
@@ -319,7 +319,7 @@ def score_documents(docs: DataFrame, held_out_fold: int = 2, of: int = 7, common
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte per row of docs."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = masked(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
     train = texts.filter(fold(F.col("doc_id"), of) != held_out_fold)
 
     counted = scratch.put("counts", train.mapInArrow(_word_counts, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
@@ -346,9 +346,10 @@ def score_documents(docs: DataFrame, held_out_fold: int = 2, of: int = 7, common
     rare = parts.filter("word IS NOT NULL").select("doc_id", "word", "times").join(words, "word").groupBy("doc_id").agg(
         F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("rare_base"), F.sum("times").alias("rare_known"))
     out = parts.filter("word IS NULL").join(rare, "doc_id", "left")
-    return out.select(
+    out = out.select(
         "doc_id", (fold(F.col("doc_id"), of) == held_out_fold).alias("held_out"), "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score",
         (-F.col("score") / F.log10(F.lit(2.0)) / F.greatest("times", F.lit(1))).alias("bits_per_byte"),
     )
+    return unmasked(out)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .blocks import LOWER, blocks, mixed, word_hashes, word_spans
 from .components import connected_components
 from .scratch import Scratch
+from .text_sql import masked, only, unmasked
 
 BANDS, ROWS = 18, 4
 #: Estimates this far below the threshold (over five standard deviations) are not verified.
@@ -156,7 +157,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     """doc_id, n_shingles, component_id, kept per row of docs; links are at 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    binary = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    binary = masked(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
     signed = scratch.put("signed", binary.mapInArrow(
         _signed(width, bands, rows), "doc_id long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>"))
     reps = scratch.put("reps", signed.filter("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(
@@ -213,7 +214,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     same = (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") == F.col("gn"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(of_rep, same, "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return unmasked(out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept")), "doc_id", "component_id")
 
 
 
@@ -314,5 +315,4 @@ def _first_common(x: Column, y: Column) -> Column:
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that stay: of each group the one with the smallest doc_id."""
-    kept = near_groups(docs, **how).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return only(docs, masked(near_groups(docs, **how).filter("kept").select("doc_id")))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text_sql import n_words, unit_hash
+from .text_sql import NO_ID, free_name, masked, n_words, unit_hash, unmasked
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -36,7 +36,7 @@ def quality_weight(text: Column, size: Column) -> Column:
 
 def sized(docs: DataFrame) -> DataFrame:
     size = n_words(F.col("text"))
-    out = docs.select("doc_id", "source", size.alias("size"), quality_weight(F.col("text"), size).alias("w"))
+    out = masked(docs).select("doc_id", "source", size.alias("size"), quality_weight(F.col("text"), size).alias("w"))
     exponential = -F.log(unit_hash(F.col("doc_id"), seed=5)) / F.col("w")
     # 1 - e^-key is between 0 and 1 and rises with the key, so its ranges are ranges of keys.
     place = F.floor((F.lit(1.0) - F.exp(-exponential)) * BUCKETS)
@@ -98,11 +98,12 @@ def mix(docs: DataFrame) -> DataFrame:
     at_edge = at_edge.withColumn("copies", F.col("epochs") + F.when(nearer & (F.col("before") < F.col("rest")), 1).otherwise(0))
     cols = ["doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"),
             F.col("copies").cast("long").alias("copies")]
-    return whole.select(cols).unionByName(at_edge.select(cols))
+    return unmasked(whole.select(cols).unionByName(at_edge.select(cols)))
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """docs with every row as often as the mix takes it (0, 1 or 2 times)."""
-    copies = mix(docs).select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("mix_copies"))
-    out = docs.join(copies.filter("mix_copies > 0"), "doc_id")
-    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(docs.columns)
+    key, n, i = free_name(docs, "_mix_id"), free_name(docs, "_mix_copies"), free_name(docs, "_mix_copy")
+    copies = masked(mix(docs)).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(n)).filter(f"{n} > 0")
+    out = docs.join(copies, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == copies[key]).drop(key)
+    return out.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(n, i)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .text_sql import masked, unmasked
 from .tokens import Encoder
 
 CAPACITY = 2048
@@ -68,7 +69,7 @@ def _pieces(file: str, capacity: int, end_id: int, with_ids: bool):
 
 def pieces(docs: DataFrame, file: str = VOCABULARY, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32 (and ids)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = masked(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
     return texts.mapInArrow(_pieces(file, capacity, end_id, with_ids), PIECE)
 
 
@@ -137,4 +138,4 @@ def pack(docs: DataFrame, file: str = VOCABULARY, capacity: int = CAPACITY, end_
     placed = placed.withColumn("run", run)
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", (F.col("run.p_sequence") + F.col("rank") - F.col("run.p_rank")).alias("sequence_id"),
             F.col("run.offset").alias("offset")]
-    return placed.select(*cols, *(["ids"] if with_ids else []))
+    return unmasked(placed.select(*cols, *(["ids"] if with_ids else [])))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text_sql import words
+from .text_sql import NO_ID, free_name, masked, unmasked, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -61,7 +61,7 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     """doc_id, source, text_key and the base counts of every document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     w = F.col("w")
-    cut = docs.select("doc_id", "source", text.alias("text"), words(F.col("text")).alias("w"))
+    cut = masked(docs).select("doc_id", "source", text.alias("text"), words(F.col("text")).alias("w"))
     lines = F.filter(F.split(F.col("text"), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     hashed = cut.select(
         "doc_id",
@@ -101,7 +101,7 @@ def normalised(line: Column) -> Column:
 def document_lines(docs: DataFrame) -> DataFrame:
     """A row for each distinct normalised line of a document, with the words it holds there (repeats summed)."""
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    exploded = docs.select(
+    exploded = masked(docs).select(
         "doc_id", "source", F.xxhash64("text").alias("text_key"),
         F.explode(F.transform(lines, lambda x: F.struct(
             F.xxhash64(normalised(x)).alias("line"),
@@ -140,10 +140,11 @@ def quality(docs: DataFrame, min_docs: int = 20, max_share: float = 0.05, min_le
     out = base.join(removed_words(docs, min_docs, max_share), "doc_id", "left")
     removed = F.coalesce("removed_words", F.lit(0)).cast("long")
     depleted = (F.col("n_words") - removed) < F.lit(min_left_share) * F.col("n_words")
-    return out.select(
+    out = out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~depleted).alias("kept"), removed.alias("removed_words"),
     )
+    return unmasked(out)
 
 
 def strip_lines(docs: DataFrame, min_docs: int = 20, max_share: float = 0.05) -> DataFrame:
@@ -154,14 +155,15 @@ def strip_lines(docs: DataFrame, min_docs: int = 20, max_share: float = 0.05) ->
     held = document_lines(docs).join(
         hot, (F.col("line") == F.col("hot_line")) & F.col("source").eqNullSafe(F.col("hot_source"))
     )
-    cut = held.groupBy("doc_id").agg(F.collect_set("line").alias("cut_lines"))
+    lines, key = free_name(docs, "_cut_lines"), free_name(docs, "_cut_id")
+    cut = held.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(lines))
     kept = F.array_join(
         F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1),
-                 lambda x: ~F.array_contains(F.col("cut_lines"), F.xxhash64(normalised(x)))), "\n",
+                 lambda x: ~F.array_contains(F.col(lines), F.xxhash64(normalised(x)))), "\n",
     )
     return (
-        docs.join(cut, "doc_id", "left")
-        .withColumn("text", F.when(F.col("cut_lines").isNull(), F.col("text")).otherwise(kept))
+        docs.join(cut, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == cut[key], "left")
+        .withColumn("text", F.when(F.col(lines).isNull(), F.col("text")).otherwise(kept))
         .select(docs.columns)
     )
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Block, word_hashes, word_spans
 from .repeats import covered_mask, ranges_of, repeated_ranges
+from .text_sql import masked, unmasked
 
 LENGTH, GRAM = 50, 25
 SKETCH_BITS = 26
@@ -48,9 +49,9 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int = SKETCH_BITS) -> DataFrame:
     """doc_id, n_words, n_removed and kept (UTF-8 of the words that stay) per row of docs."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = masked(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
     ranges = repeated_ranges(texts, read_words, length, gram, False, bits, "substring")
-    return texts.join(ranges, "doc_id", "left").mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept binary")
+    return unmasked(texts.join(ranges, "doc_id", "left").mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept binary"))
 
 
 def digest(removed: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Block, byte_values
 from .repeats import covered_mask, ranges_of, repeated_ranges
+from .text_sql import masked, unmasked
 
 LENGTH, GRAM = 100, 32
 SKETCH_BITS = 27
@@ -46,9 +47,9 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int = SKETCH_BITS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay) per row of docs."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = masked(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
     ranges = repeated_ranges(texts, read_bytes, length, gram, True, bits, "suffix")
-    return texts.join(ranges, "doc_id", "left").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return unmasked(texts.join(ranges, "doc_id", "left").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"))
 
 
 def digest(removed: DataFrame) -> DataFrame:

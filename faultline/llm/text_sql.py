@@ -27,3 +27,32 @@ def unit_hash(*cols: Column, seed: int = 0) -> Column:
     """A hash spread evenly over [0, 1)."""
     bits = F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed)), 11)
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 53))
+
+
+#: Stands for a null doc_id inside the operators: such rows are one document that comes first in every order.
+NO_ID = -(1 << 63)
+
+
+def masked(docs: DataFrame) -> DataFrame:
+    """docs with doc_id as a long that is never null."""
+    return docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+
+
+def unmasked(rows: DataFrame, *ids: str) -> DataFrame:
+    """rows with null again where an id column stands for none."""
+    return rows.select(*(F.nullif(F.col(c), F.lit(NO_ID)).alias(c) if c in (ids or ("doc_id",)) else F.col(f"`{c}`") for c in rows.columns))
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't use."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among ids (masked)."""
+    key = free_name(docs, "_kept_id")
+    wanted = ids.select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(wanted, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == wanted[key], "left_semi")

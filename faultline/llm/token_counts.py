@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text_sql import masked, unmasked
 from .tokens import CACHE_UNITS, Encoder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -230,7 +231,7 @@ def count_tokens(docs: DataFrame, edits: DataFrame | None = None, file: str = VO
     edits: doc_id, edits array<struct<place int, deleted int, inserted string>> (in characters, applied in order);
     without it each text gets its ``standing_edits``. reencoded: pre-tokens that the edits had encoded again.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = masked(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
     if edits is not None:
         texts = texts.join(edits.select("doc_id", "edits"), "doc_id", "left")
-    return texts.mapInArrow(_counted(file, None if edits is None else "edits"), "doc_id long, n_pretokens long, n_tokens long, edited_tokens long, reencoded long")
+    return unmasked(texts.mapInArrow(_counted(file, None if edits is None else "edits"), "doc_id long, n_pretokens long, n_tokens long, edited_tokens long, reencoded long"))
