@@ -66,9 +66,12 @@ def d5_exports(spark, d):
     return link.exports(view(spark, d, EXPORTS))
 
 
-@query(f"SELECT name AS module_path, min(key) AS key FROM (SELECT * FROM ({EXPORTS}) WHERE ord % 7 = 0 AND ord < 700 AND is_exported) GROUP BY name HAVING count(DISTINCT key) = 1")
+MODULES = "SELECT concat('m', p_partkey % 900) AS module_path, concat('p', p_partkey) AS key, p_size > 10 AS is_exported FROM part"
+
+
+@query(f"SELECT module_path, min(key) AS key FROM ({MODULES}) WHERE is_exported GROUP BY module_path HAVING count(DISTINCT key) = 1")
 def d7_default_exports(spark, d):
-    return link.default_exports(view(spark, d, EXPORTS).filter("ord % 7 = 0 AND ord < 700").select(F.col("name").alias("module_path"), "key", "is_exported"))
+    return link.default_exports(view(spark, d, MODULES))
 
 
 @query("SELECT * FROM (VALUES ('index.ts', 'Button', 'b1'), ('index.ts', 'Card', 'c1'), ('index.ts', 'Alias', 'x1'), ('deep.ts', 'Button', 'b1')) v(module_path, name, key)")
