@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text_sql import masked, only, unmasked
+from .text_sql import NO_ID, free_name, masked, unmasked
 
 MIN_CHUNK, MAX_CHUNK = 256, 2048
 
@@ -73,9 +73,14 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of equal texts the one with the largest doc_id; one of rows repeating that doc_id."""
-    kept = masked(exact_groups(docs).filter("kept").select("doc_id"))
-    return only(docs, kept).dropDuplicates(["doc_id"])
+    """The rows of docs that stay: of equal texts the one with the largest doc_id; one of rows repeating both."""
+    kept = exact_groups(docs).filter("kept")
+    key, sha = free_name(docs, "_kept_id"), free_name(docs, "_kept_sha")
+    wanted = masked(kept).select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha)).distinct()
+    own = free_name(docs, "_sha"), free_name(docs, "_id")
+    rows = docs.withColumn(own[0], F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn(own[1], F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    rows = rows.join(wanted, (rows[own[1]] == wanted[key]) & (rows[own[0]] == wanted[sha]), "left_semi")
+    return rows.dropDuplicates([own[1], own[0]]).drop(*own)
 
 
 OP6_SQL = """

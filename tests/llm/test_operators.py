@@ -278,6 +278,11 @@ def test_exact_groups(docs, odd, nothing):
     assert exact_dedup.deduplicate(odd).count() == len({r.text or "" for r in odd.collect()})
 
 
+def test_exact_dedup_of_one_id_with_two_texts(spark):
+    t = spark.createDataFrame([(7, "A"), (7, "B"), (9, "B"), (7, "A"), (None, "C")], "doc_id long, text string")
+    assert sorted(map(tuple, exact_dedup.deduplicate(t).collect()), key=str) == sorted([(7, "A"), (9, "B"), (None, "C")], key=str)
+
+
 def test_chunks_rebuild_texts(odd):
     from pyspark.sql import functions as F
 
