@@ -3,12 +3,12 @@
 A text is read as its words (ASCII lower case), each followed by a space, the last by an
 end symbol. A byte is spelled as a six-bit symbol (the 62 commonest bytes of the training
 texts have their own; the rest share an escape and are then uniform). Every bit is
-predicted from three hashed contexts: the last two symbols, the last three, and the word
-so far. What each context has seen comes from all training texts: symbol counts are
+predicted from four hashed contexts: the last two, four and five symbols, and the word so
+far. What each context has seen comes from all training texts: symbol counts are
 gathered in every partition, merged as a tree, and turned into a logit for each bit.
 
 The logits are mixed by weights that a gate selects (which bit of the symbol, and which of
-the two longer contexts have been seen). The weights are learned online on at most
+the longer contexts have been seen). The weights are learned online on at most
 ``weight_docs`` training texts (an eighth of them at most) that are left out of the counts, so they know how the
 predictors fare on unseen text. While a text is scored, its own additive correction of the
 weights is refined block by block from the bits already coded. The score is the log10
@@ -41,8 +41,10 @@ from .text_sql import masked, unit_hash, unmasked
 BITS = 6
 SYMBOLS = 1 << BITS
 ESCAPE, END = 62, 63
-#: Rows of the three context tables, each SYMBOLS wide.
-CONTEXTS = (1 << 12, 1 << 16, 1 << 17)
+#: Symbols that the contexts look back, and bits of the rows of each table (the last is the word's); a row is SYMBOLS wide.
+ORDERS, ROW_BITS = (2, 4, 5), (12, 17, 17, 17)
+CONTEXTS = tuple(1 << b for b in ROW_BITS)
+INPUTS, GATES = len(ROW_BITS), 1 << (len(ROW_BITS) - 1)
 FIRST_ROW = np.concatenate([[0], np.cumsum(CONTEXTS)])
 SLICE = 1 << 16
 FAN_IN = 16
@@ -124,17 +126,22 @@ def contexts(symbols: np.ndarray, begin: np.ndarray, word_start: np.ndarray) ->
     """The row of each context table at each place."""
     n = len(symbols)
     place = np.arange(n) - np.repeat(begin[:-1], np.diff(begin))
-    last = []
-    for back in (1, 2, 3):
-        p = np.full(n, END, np.int64)
-        p[back:] = symbols[: n - back]
-        p[place < back] = END
-        last.append(p)
-    two = last[0] << 6 | last[1]
+    past, back, out = np.zeros(n, np.uint64), 0, []
+    for order, bits, first in zip(ORDERS, ROW_BITS, FIRST_ROW, strict=False):
+        while back < order:
+            back += 1
+            p = np.full(n, END, np.uint64)
+            p[back:] = symbols[: max(0, n - back)]
+            p[place < back] = END
+            past = past << np.uint64(BITS) | p
+        out.append(_row(past, bits) + first)
+    word = Spans(symbols.astype(np.uint64) + np.uint64(1), 1).of(word_start, np.arange(n))
+    return [*out, _row(word, ROW_BITS[-1]) + FIRST_ROW[-2]]
+
+
+def _row(context: np.ndarray, bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        three = ((two << 6 | last[2]).astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(16)
-    word = Spans(symbols.astype(np.uint64) + np.uint64(1), 1).of(word_start, np.arange(n)) >> np.uint64(64 - 17)
-    return [two + FIRST_ROW[0], three.astype(np.int64) + FIRST_ROW[1], word.astype(np.int64) + FIRST_ROW[2]]
+        return ((context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _gathered(table):
@@ -167,7 +174,7 @@ def gather(texts: DataFrame, table: np.ndarray) -> np.ndarray:
     while parts > 1:
         parts = -(-parts // FAN_IN)
         merged = merged.withColumn("part", F.expr(f"cast(floor(part / {FAN_IN}) as int)")).groupBy("slice", "part").applyInArrow(_summed, "slice int, part int, n binary")
-    counts = np.zeros(FIRST_ROW[-1] * SYMBOLS, np.int64)
+    counts = np.zeros(FIRST_ROW[-1] * SYMBOLS, np.float32)
     for r in merged.select("slice", "n").toLocalIterator():
         counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(r["n"]), np.int64)
     return counts
@@ -189,7 +196,7 @@ def logits(counts: np.ndarray) -> np.ndarray:
 
 
 def gates(level: int, s: list[np.ndarray]) -> np.ndarray:
-    return level * 4 + (s[1] != 0) * 2 + (s[2] != 0)
+    return sum(((x != 0) * (1 << k) for k, x in enumerate(s[1:])), level * GATES)
 
 
 def bit_inputs(table: np.ndarray, ctx: list[np.ndarray], symbols: np.ndarray, level: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -199,14 +206,12 @@ def bit_inputs(table: np.ndarray, ctx: list[np.ndarray], symbols: np.ndarray, le
 
 
 def start_weights() -> np.ndarray:
-    w = np.full((BITS * 4, 3), 0.35, np.float32)
-    w[0::4, 0] = w[:, 0].max()
-    return w
+    return np.full((BITS * GATES, INPUTS), 1.05 / INPUTS, np.float32)
 
 
 def learn_weights(table: np.ndarray, texts: list[bytes], symbol_of: np.ndarray, step: int = 2048) -> np.ndarray:
     """Weights by gate, refined online over the texts, a few symbols at a time."""
-    w, seen = start_weights(), np.full(BITS * 4, 1.0)
+    w, seen = start_weights(), np.full(BITS * GATES, 1.0)
     for text in texts:
         data = np.frombuffer(text, np.uint8)
         one = Block(np.zeros(1, np.int64), data, np.array([0, len(data)]), slice(0, 1), None)
@@ -217,7 +222,7 @@ def learn_weights(table: np.ndarray, texts: list[bytes], symbol_of: np.ndarray,
             for level in range(BITS):
                 s, bit = bit_inputs(table, [c[k : k + step] for c in ctx], part, level)
                 g = gates(level, s)
-                z = sum(w[g, i] * s[i] for i in range(3))
+                z = sum(w[g, i] * s[i] for i in range(INPUTS))
                 error = bit - 1 / (1 + np.exp(-z))
                 for gate in np.unique(g):
                     own = g == gate
@@ -225,7 +230,7 @@ def learn_weights(table: np.ndarray, texts: list[bytes], symbol_of: np.ndarray,
                     x = np.stack([v[own] for v in s])
                     # A damped Newton step: the curvature of these bits tells how far to go.
                     p = 1 / (1 + np.exp(-z[own]))
-                    curve = (x * (p * (1 - p))) @ x.T + np.eye(3) * (0.02 * seen[gate] + 20.0)
+                    curve = (x * (p * (1 - p))) @ x.T + np.eye(INPUTS) * (0.02 * seen[gate] + 20.0)
                     w[gate] += np.linalg.solve(curve, x @ error[own]).astype(np.float32)
     return w
 
@@ -241,7 +246,7 @@ class Scorer:
         ctx = contexts(symbols, begin, word_start)
         docs, size = len(b.doc_id), np.diff(begin)
         out = np.zeros(docs)
-        own = np.zeros((docs, 3), np.float32)
+        own = np.zeros((docs, INPUTS), np.float32)
         at, width = 0, FIRST_BLOCK
         alive = np.arange(docs)
         while len(alive):
@@ -250,16 +255,16 @@ class Scorer:
             place = np.repeat(begin[alive] + at - edge, take) + np.arange(take.sum())
             who = np.repeat(alive, take)
             part, here = symbols[place], [c[place] for c in ctx]
-            slope, curve = np.zeros((len(alive), 3)), np.zeros((len(alive), 3))
+            slope, curve = np.zeros((len(alive), INPUTS)), np.zeros((len(alive), INPUTS))
             for level in range(BITS):
                 s, bit = bit_inputs(self.table, here, part, level)
                 g = gates(level, s)
-                z = sum((self.w[g, i] + own[who, i]) * s[i] for i in range(3))
+                z = sum((self.w[g, i] + own[who, i]) * s[i] for i in range(INPUTS))
                 p = 1 / (1 + np.exp(-z))
                 right = np.where(bit > 0, p, 1 - p)
                 out[alive] += np.add.reduceat(np.log(np.maximum(right, 1e-6), dtype=np.float64), edge)
                 error, spread = bit - p, p * (1 - p)
-                for i in range(3):
+                for i in range(INPUTS):
                     slope[:, i] += np.add.reduceat(error * s[i], edge)
                     curve[:, i] += np.add.reduceat(spread * s[i] * s[i], edge)
             own[alive] += (LEARNING_RATE * slope / (curve.sum(axis=1, keepdims=True) + 200.0)).astype(np.float32)

@@ -7,7 +7,7 @@ left. Every word in a window of ``length`` words that also starts in a document
 smaller doc_id goes; windows are judged on the input.
 
 Null has no words; texts with fewer than ``length`` words stay whole. Rows that repeat a
-doc_id keep each other's words. Extra columns are ignored. An empty table gives an empty
+doc_id are one document: they keep each other's words, and a range found in one goes from all. Extra columns are ignored. An empty table gives an empty
 result. Words that stay are joined by one space.
 """
 

@@ -5,7 +5,8 @@ string that also starts earlier (smaller doc_id, or the same document further le
 strings are judged on the input. Of copies of one text only the earliest keeps its bytes.
 
 Null counts as empty; texts shorter than ``length`` stay whole. Rows that repeat a doc_id
-are the same document to the order above, so they keep each other's bytes. Extra columns
+are one document to the order above: they keep each other's bytes, and a range found in
+one of them goes from all. Extra columns
 are ignored. An empty table gives an empty result.
 """
 

@@ -316,11 +316,11 @@ def test_lm_probabilities_sum_to_one():
     r = np.random.default_rng(1)
     table = lm_scoring.logits(r.integers(0, 9, lm_scoring.FIRST_ROW[-1] * 64))
     w = lm_scoring.start_weights() * 0.7
-    ctx = [np.full(64, k, np.int64) for k in (5, lm_scoring.FIRST_ROW[1] + 7, lm_scoring.FIRST_ROW[2] + 9)]
+    ctx = [np.full(64, first + 7, np.int64) for first in lm_scoring.FIRST_ROW[:-1]]
     symbols, logp = np.arange(64).astype(np.uint8), np.zeros(64)
     for level in range(6):
         s, bit = lm_scoring.bit_inputs(table, ctx, symbols, level)
-        z = sum(w[lm_scoring.gates(level, s), i] * s[i] for i in range(3))
+        z = sum(w[lm_scoring.gates(level, s), i] * s[i] for i in range(lm_scoring.INPUTS))
         p = 1 / (1 + np.exp(-z))
         logp += np.log(np.where(bit > 0, p, 1 - p))
     assert math.isclose(np.exp(logp).sum(), 1, rel_tol=1e-4)
