@@ -270,7 +270,7 @@ def d24_entity_edges(spark, d):
     return routes.entity_edges(refs, schemas).select("src", "dst", F.round("confidence", 6).alias("confidence"))
 
 
-EMITTED = "SELECT concat('p', l_partkey) AS src, concat('s', l_suppkey) AS dst, 'Calls' AS kind, l_discount AS confidence, l_linenumber AS pass_no, CAST(l_orderkey AS INT) AS ord FROM lineitem"
+EMITTED = "SELECT concat('p', l_partkey) AS src, concat('s', l_suppkey) AS dst, 'Calls' AS kind, max(l_discount) AS confidence, l_linenumber AS pass_no, CAST(l_orderkey AS INT) AS ord FROM lineitem GROUP BY l_partkey, l_suppkey, l_linenumber, l_orderkey"
 
 
 @query(f"SELECT src, dst, kind, confidence FROM (SELECT *, row_number() OVER (PARTITION BY src, dst, kind ORDER BY pass_no, ord) AS n FROM ({EMITTED})) WHERE n = 1")

@@ -79,9 +79,9 @@ def e17_max_coupling(spark, d):
     return both.groupBy("file").agg(F.round(F.max("coupling"), 6).alias("coupling"))
 
 
-@query("SELECT l_orderkey, round(product(1 - l_discount), 6) AS confidence FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, round(product(1 - l_discount / 3), 6) AS confidence FROM lineitem GROUP BY l_orderkey")
 def e18_route_confidence(spark, d):
-    t = view(spark, d, "SELECT l_orderkey, collect_list(1 - l_discount) AS c FROM lineitem GROUP BY l_orderkey")
+    t = view(spark, d, "SELECT l_orderkey, collect_list(1 - l_discount / 3) AS c FROM lineitem GROUP BY l_orderkey")
     return t.select("l_orderkey", F.round(graph.route_confidence(F.col("c")), 6).alias("confidence"))
 
 
