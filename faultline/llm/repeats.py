@@ -14,8 +14,10 @@ pointer to a later offset is read where the text is and costs no join.
   2. the anchors left are sorted into classes by their gram and by the units around it
      that any window over the anchor can touch; all but the earliest of a class are
      covered as far as that context reaches, with no comparison of pairs;
-  3. only where one gram has several classes, the earliest member of each class spells out
-     its windows, and windows are grouped exactly (128 bits: two independent lanes);
+  3. only where classes share the gram and half the context on one side, the earliest member
+     of each spells out the windows that have it as their anchor; a second sketch drops
+     those that are surely unique, and the others are grouped exactly (128 bits: two
+     independent lanes);
   4. covered ranges are joined to their document and merged.
 
 Work and rows stay linear in the anchors: a passage in thousands of documents gives one
@@ -88,32 +90,32 @@ def window_minima(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(units: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Names]:
-    """Places of the anchors, their gram identifiers, their document, and the identifiers of the block."""
+def minimisers(units: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, Names]:
+    """Start of every window, the place of its anchor, and the identifiers of the block. Windows lie within documents."""
     names = Names(units, window)
     none = np.zeros(0, np.int64)
     if len(units) < window:
-        return none, none.astype(np.uint64), none, names
-    grams = names.of(np.arange(len(units) - gram + 1), gram)
-    order = mixed(grams.copy())
+        return none, none, names
+    order = mixed(names.of(np.arange(len(units) - gram + 1), gram))
     order >>= np.uint64(PLACE_BITS)
     order <<= np.uint64(PLACE_BITS)
     order |= np.arange(len(order), dtype=np.uint64)
     least = window_minima(order, window - gram + 1)
-    lengths = np.diff(first)
-    valid = np.zeros(len(least), bool)
-    mark = np.zeros(len(units) + 1, np.int64)
-    own = lengths >= window
+    mark = np.zeros(len(units) + 1, np.int32)
+    own = np.diff(first) >= window
     np.add.at(mark, first[:-1][own], 1)
     np.add.at(mark, first[1:][own] - window + 1, -1)
-    valid = np.cumsum(mark)[: len(least)] > 0
-    least = least[valid]
-    if not len(least):
-        return none, none.astype(np.uint64), none, names
-    least = least[np.concatenate([[True], least[1:] != least[:-1]])]
-    place = (least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-    doc = np.searchsorted(first, place, "right") - 1
-    return place, grams[place], doc, names
+    start = np.flatnonzero(np.cumsum(mark)[: len(least)] > 0)
+    return start, (least[start] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64), names
+
+
+def anchors(units: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Names]:
+    """Places of the anchors, their gram identifiers, their document, and the identifiers of the block."""
+    _, place, names = minimisers(units, first, window, gram)
+    if len(place):
+        place = place[np.concatenate([[True], place[1:] != place[:-1]])]
+    key = names.of(place, gram) if len(place) else place.astype(np.uint64)
+    return place, key, np.searchsorted(first, place, "right") - 1, names
 
 
 Reader = Callable[[object], tuple[np.ndarray, np.ndarray]]
@@ -128,14 +130,18 @@ def _keys(read: Reader, window: int, gram: int):
     return run
 
 
-CANDIDATE = "gram long, c1 long, c2 long, doc_id long, place int, before int, after int"
+CANDIDATE = "c1 long, c2 long, left long, right long, doc_id long, place int, more array<int>, before short, after short"
+
 
+def _candidates(read: Reader, window: int, gram: int, within: bool, again, bits: int):
+    """Anchors that may repeat: identifiers of the gram with all units around it, and with half of them on either side.
 
-def _candidates(read: Reader, window: int, gram: int, again, bits: int):
-    """Anchors that may repeat, with two identifiers of the units around them."""
+    Where repeats within a document don't count, equal anchors of a document are one row with further places.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = window - gram
+        half = reach // 2
         for b in blocks(batches):
             units, first = read(b)
             place, key, doc, names = anchors(units, first, window, gram)
@@ -145,12 +151,28 @@ def _candidates(read: Reader, window: int, gram: int, again, bits: int):
                 continue
             before = np.minimum(place - first[doc], reach)
             after = np.minimum(first[doc + 1] - place - gram, reach)
-            c1 = _joined(names.spans(place - before, before), names.spans(place + gram, after) + before.astype(np.uint64))
+            around = _joined(names.spans(place - before, before), names.spans(place + gram, after) + before.astype(np.uint64))
+            c1 = _joined(key, around)
             spans = Spans(units, 1)
             c2 = _joined(spans.of(place - before, place), spans.of(place, place + gram + after))
+            near, far = np.minimum(before, half), np.minimum(after, half)
+            left = _joined(key, names.spans(place - near, near))
+            right = _joined(names.spans(place + gram, far), key)
+            place -= first[doc]
+            more = pa.nulls(len(place), pa.list_(pa.int32()))
+            if not within:
+                order = np.lexsort((place, c2, c1, doc))
+                head = np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(c1[order]) != 0) | (np.diff(c2[order]) != 0)])
+                begin = np.append(np.flatnonzero(head), len(order))
+                own = order[begin[:-1]]
+                # Places of a row from its second on; the lists lie end to end.
+                rest = np.delete(place[order], begin[:-1]).astype(np.int32)
+                ends = np.concatenate([[0], np.cumsum(np.diff(begin) - 1)]).astype(np.int32)
+                more = pa.ListArray.from_arrays(pa.array(ends), pa.array(rest))
+                c1, c2, left, right, doc, place, before, after = (x[own] for x in (c1, c2, left, right, doc, place, before, after))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(b.doc_id[doc], pa.int64()),
-                 pa.array(place - first[doc], pa.int32()), pa.array(before, pa.int32()), pa.array(after, pa.int32())],
+                [*(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (c1, c2, left, right)), pa.array(b.doc_id[doc], pa.int64()),
+                 pa.array(place, pa.int32()), more, pa.array(before, pa.int16()), pa.array(after, pa.int16())],
                 names=[x.split()[0] for x in CANDIDATE.split(", ")],
             )
 
@@ -160,38 +182,59 @@ def _candidates(read: Reader, window: int, gram: int, again, bits: int):
 WINDOW = "w1 long, w2 long, doc_id long, place int"
 
 
-def _windows(read: Reader, window: int, gram: int):
-    """The windows over the anchors listed with each document."""
+def _asked_windows(read: Reader, window: int, gram: int, batches: Iterator[pa.RecordBatch]):
+    """Per block the windows whose anchor is listed with the document: those with half the context or more on a listed side."""
+    half = (window - gram) // 2
+    for b in blocks(batches):
+        units, first = read(b)
+        start, place, names = minimisers(units, first, window, gram)
+        if not len(start):
+            continue
+        sides = np.zeros(len(units) + 1, np.uint8)
+        for i in range(len(b.doc_id)):
+            cell = b.batch.column("asked")[b.rows.start + i].values
+            at = cell.field("place").to_numpy() + first[i]
+            inside = at < first[i + 1]  # rows that repeat a doc_id may be shorter
+            np.bitwise_or.at(sides, at[inside], cell.field("side").to_numpy().astype(np.uint8)[inside])
+        left = place - start
+        wanted = ((sides[place] & 1) > 0) & (left >= half) | ((sides[place] & 2) > 0) & (window - gram - left >= half)
+        start = start[wanted]
+        if len(start):
+            yield b, units, first, start, names.of(start, window)
+
+
+def _window_keys(read: Reader, window: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, _, _, _, w1 in _asked_windows(read, window, gram, batches):
+            yield w1
+
+    return run
+
+
+def _windows(read: Reader, window: int, gram: int, again, bits: int):
+    """The asked windows that may repeat, with two identifiers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = window - gram
-        for b in blocks(batches):
-            units, first = read(b)
-            if len(units) < window:
-                continue
-            names, spans = Names(units, window), Spans(units, 1)
-            listed = b.batch.column("places").slice(b.rows.start, b.rows.stop - b.rows.start)
-            doc = np.repeat(np.arange(len(listed)), [len(x) for x in listed])
-            place = np.array([p for x in listed for p in x.as_py()], np.int64) + first[doc]
-            lo = np.maximum(place - reach, first[doc])
-            hi = np.minimum(place, first[doc + 1] - window)
-            n = np.maximum(hi - lo + 1, 0)
-            # A start is wanted once, however many anchors ask for it.
-            start = np.unique(np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()))
-            if not len(start):
-                continue
+        for b, units, first, start, w1 in _asked_windows(read, window, gram, batches):
+            ok = maybe_repeated(w1, again.value, bits)
+            start, w1 = start[ok], w1[ok]
             owner = np.searchsorted(first, start, "right") - 1
+            w2 = Spans(units, 1).of(start, start + window)
             for k in range(0, len(start), 1 << 18):
-                s, o = start[k : k + (1 << 18)], owner[k : k + (1 << 18)]
-                w1, w2 = names.of(s, window), spans.of(s, s + window)
+                own = slice(k, k + (1 << 18))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(b.doc_id[o], pa.int64()), pa.array(s - first[o], pa.int32())],
+                    [pa.array(w1[own].view(np.int64)), pa.array(w2[own].view(np.int64)), pa.array(b.doc_id[owner[own]], pa.int64()), pa.array((start - first[owner])[own], pa.int32())],
                     names=[x.split()[0] for x in WINDOW.split(", ")],
                 )
 
     return run
 
 
+def _ranges(rows: DataFrame) -> DataFrame:
+    pair = F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))
+    return rows.groupBy("doc_id").agg(F.collect_set(pair).alias("ranges"))
+
+
 def repeated_ranges(docs: DataFrame, read: Reader, window: int, gram: int, within: bool, bits: int, operator: str) -> DataFrame:
     """doc_id, ranges (array of struct<a, b>: units a to b - 1) that equal an earlier window; not merged.
 
@@ -201,37 +244,50 @@ def repeated_ranges(docs: DataFrame, read: Reader, window: int, gram: int, withi
     spark = docs.sparkSession
     scratch = Scratch(spark, operator)
     again = spark.sparkContext.broadcast(repeated_bits(docs, _keys(read, window, gram), bits))
-    cand = scratch.put("candidates", docs.mapInArrow(_candidates(read, window, gram, again, bits), CANDIDATE))
+    cand = scratch.put("candidates", docs.mapInArrow(_candidates(read, window, gram, within, again, bits), CANDIDATE))
     where = F.struct("doc_id", "place")
-    classes = scratch.put("classes", cand.groupBy("gram", "c1", "c2").agg(
-        F.min(where).alias("first"), F.max("doc_id").alias("last_doc"), F.count("*").alias("members"),
-        F.first("before").alias("before"), F.first("after").alias("after")))
+    all_places = lambda p, m: F.concat(F.array(p), F.coalesce(m, F.array().cast("array<int>")))
+    classes = scratch.put("classes", cand.groupBy("c1", "c2").agg(
+        F.min(where if within else F.struct("doc_id", "place", "more")).alias("first"), F.max("doc_id").alias("last_doc"), F.count("*").alias("members"),
+        *(F.first(c).alias(c) for c in ("left", "right", "before", "after"))))
 
     later = (F.col("doc_id") > F.col("first.doc_id")) | F.lit(within) & (F.col("doc_id") == F.col("first.doc_id")) & (F.col("place") > F.col("first.place"))
     several = classes.filter("members > 1" if within else "last_doc > first.doc_id")
     reach = window - gram
     wide = F.col("before") + F.col("after") >= reach
-    covered = cand.join(several.select("gram", "c1", "c2", "first"), ["gram", "c1", "c2"]).filter(later & wide).select(
-        "doc_id", (F.col("place") - F.col("before")).alias("a"), (F.col("place") + gram + F.col("after")).alias("b"))
-
-    split = classes.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram")
-    firsts = classes.filter(wide).join(split, "gram")
-    asked = firsts.select("first.doc_id", "first.place")
-    asked = asked.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    spelled = docs.join(asked, "doc_id").mapInArrow(_windows(read, window, gram), WINDOW)
-    spelled = scratch.put("windows", spelled)
+    covered = cand.join(several.select("c1", "c2", "first"), ["c1", "c2"]).filter(later & wide)
+    if not within:
+        covered = covered.withColumn("place", F.explode(all_places(F.col("place"), F.col("more"))))
+    covered = covered.select("doc_id", (F.col("place") - F.col("before")).alias("a"), (F.col("place") + gram + F.col("after")).alias("b"))
+    whole = scratch.put("whole", _ranges(covered))
+    scratch.drop("candidates")
+
+    # A window reaches half the context or more on one side, so only classes that share a half can share a window.
+    halves = classes.filter(wide).select("first", F.explode(F.array(
+        F.struct(F.lit(1).cast("byte").alias("side"), F.col("left").alias("half")), F.struct(F.lit(2).cast("byte").alias("side"), F.col("right").alias("half")))).alias("h"))
+    places = F.array("first.place") if within else all_places(F.col("first.place"), F.col("first.more"))
+    halves = halves.select("first.doc_id", places.alias("places"), "h.side", "h.half")
+    shared = halves.groupBy("side", "half").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("side", "half")
+    asked = scratch.put("asked", halves.join(shared, ["side", "half"]).select("doc_id", "side", F.explode("places").alias("place"))
+                         .groupBy("doc_id").agg(F.collect_list(F.struct("place", "side")).alias("asked")))
+    scratch.drop("classes")
+    texts = scratch.put("texts", docs.join(asked, "doc_id"))
+    scratch.drop("asked")
+    often = spark.sparkContext.broadcast(repeated_bits(texts, _window_keys(read, window, gram), bits))
+    spelled = texts.mapInArrow(_windows(read, window, gram, often, bits), WINDOW)
     earliest = spelled.groupBy("w1", "w2").agg(F.min(where).alias("first"), F.count("*").alias("members")).filter("members > 1")
     found = spelled.join(earliest.select("w1", "w2", "first"), ["w1", "w2"]).filter(later).select(
         "doc_id", F.col("place").alias("a"), (F.col("place") + window).alias("b"))
-    ranges = scratch.put("ranges", covered.unionByName(found).groupBy("doc_id").agg(
-        F.collect_set(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))).alias("ranges")))
-    scratch.drop("candidates", "classes", "windows")
-    return ranges
+    part = scratch.put("part", _ranges(found))
+    scratch.drop("texts")
+    both = whole.unionByName(part).groupBy("doc_id").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    return both
 
 
 def covered_mask(n: int, ranges: np.ndarray) -> np.ndarray:
     """Which of n units lie in a range; ranges is (count, 2)."""
     mark = np.zeros(n + 1, np.int64)
+    ranges = np.minimum(ranges, n)
     np.add.at(mark, ranges[:, 0], 1)
     np.add.at(mark, ranges[:, 1], -1)
     return np.cumsum(mark)[:n] > 0

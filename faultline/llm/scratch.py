@@ -6,6 +6,7 @@ plan. The folder is read from the session; one is set only where none is configu
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,7 +38,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Delete tables that no later step reads."""
+        """Delete tables that no later step reads, and let Spark remove the shuffle files behind them.
+
+        Spark does that once the driver has collected the plans that own them; a driver with
+        much memory would not get round to it while the files pile up.
+        """
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        self.spark._jvm.System.gc()
