@@ -47,6 +47,8 @@ CONTEXTS = tuple(1 << b for b in ROW_BITS)
 INPUTS, GATES = len(ROW_BITS), 1 << (len(ROW_BITS) - 1)
 FIRST_ROW = np.concatenate([[0], np.cumsum(CONTEXTS)])
 SLICE = 1 << 16
+#: Logits are held as small whole numbers, so the tables stay in the caches.
+STEPS = 10
 FAN_IN = 16
 COMMON_WORDS = 1 << 18
 #: Bits whose prediction is corrected together, at first and at most.
@@ -181,14 +183,14 @@ def gather(texts: DataFrame, table: np.ndarray) -> np.ndarray:
 
 
 def logits(counts: np.ndarray) -> np.ndarray:
-    """The logit of each bit of each context: node 1 is the first bit, nodes 2 and 3 the second, and so on. 0 is unseen."""
+    """The logit of each bit of each context, in STEPS to the unit: node 1 is the first bit, nodes 2 and 3 the second, and so on. 0 is unseen."""
     rows = counts.reshape(-1, SYMBOLS)
-    out = np.zeros(rows.shape, np.float16)
+    out = np.zeros(rows.shape, np.int8)
     for k in range(0, len(rows), 1 << 14):
         own = rows[k : k + (1 << 14)].astype(np.float32)
         for level in range(BITS):
             n = own.reshape(len(own), 1 << level, 2, -1).sum(axis=3)
-            out[k : k + (1 << 14), 1 << level : 2 << level] = np.clip(np.log((n[:, :, 1] + 0.04) / (n[:, :, 0] + 0.04)), -12, 12)
+            out[k : k + (1 << 14), 1 << level : 2 << level] = np.rint(np.clip(np.log((n[:, :, 1] + 0.04) / (n[:, :, 0] + 0.04)), -12, 12) * STEPS)
     return out.reshape(-1)
 
 
@@ -196,12 +198,17 @@ def logits(counts: np.ndarray) -> np.ndarray:
 
 
 def gates(level: int, s: list[np.ndarray]) -> np.ndarray:
-    return sum(((x != 0) * (1 << k) for k, x in enumerate(s[1:])), level * GATES)
+    out = np.full(len(s[0]), level * GATES, np.uint8)
+    for k, x in enumerate(s[1:]):
+        out += (x != 0).view(np.uint8) << np.uint8(k)
+    return out.astype(np.int64)
 
 
 def bit_inputs(table: np.ndarray, ctx: list[np.ndarray], symbols: np.ndarray, level: int) -> tuple[list[np.ndarray], np.ndarray]:
     node = (1 << level) | (symbols >> (BITS - level)).astype(np.int64)
-    s = [table[c * SYMBOLS + node].astype(np.float32) for c in ctx]
+    s = [table.take(c * SYMBOLS + node).astype(np.float32) for c in ctx]
+    for x in s:
+        x *= np.float32(1 / STEPS)
     return s, ((symbols >> (BITS - 1 - level)) & 1).astype(np.float32)
 
 
@@ -237,7 +244,7 @@ def learn_weights(table: np.ndarray, texts: list[bytes], symbol_of: np.ndarray,
 
 class Scorer:
     def __init__(self, table: np.ndarray, w: np.ndarray, symbol_of: np.ndarray):
-        self.table, self.w, self.symbol_of = table, w, symbol_of
+        self.table, self.w, self.symbol_of = table, np.ascontiguousarray(w.T), symbol_of
         self.escape = np.log(256 - (ESCAPE - 1) - SPACE.sum())
 
     def score(self, b: Block) -> np.ndarray:
@@ -253,16 +260,22 @@ class Scorer:
             take = np.minimum(size[alive] - at, width)
             edge = np.concatenate([[0], np.cumsum(take)[:-1]])
             place = np.repeat(begin[alive] + at - edge, take) + np.arange(take.sum())
-            who = np.repeat(alive, take)
             part, here = symbols[place], [c[place] for c in ctx]
+            extra = [np.repeat(own[alive, i], take) for i in range(INPUTS)] if at else []
             slope, curve = np.zeros((len(alive), INPUTS)), np.zeros((len(alive), INPUTS))
             for level in range(BITS):
                 s, bit = bit_inputs(self.table, here, part, level)
                 g = gates(level, s)
-                z = sum((self.w[g, i] + own[who, i]) * s[i] for i in range(INPUTS))
+                z = np.zeros(len(g), np.float32)
+                for i in range(INPUTS):
+                    w = self.w[i].take(g)
+                    if at:
+                        w += extra[i]
+                    w *= s[i]
+                    z += w
                 p = 1 / (1 + np.exp(-z))
                 right = np.where(bit > 0, p, 1 - p)
-                out[alive] += np.add.reduceat(np.log(np.maximum(right, 1e-6), dtype=np.float64), edge)
+                out[alive] += np.add.reduceat(np.log(np.maximum(right, 1e-6)), edge, dtype=np.float64)
                 error, spread = bit - p, p * (1 - p)
                 for i in range(INPUTS):
                     slope[:, i] += np.add.reduceat(error * s[i], edge)
