@@ -3,13 +3,16 @@
 A text is read as its words (ASCII lower case), each followed by a space, the last by an
 end symbol. A byte is spelled as a six-bit symbol (the 62 commonest bytes of the training
 texts have their own; the rest share an escape and are then uniform). Every bit is
-predicted from four hashed contexts: the last two, four and five symbols, and the word so
-far. What each context has seen comes from all training texts: symbol counts are
-gathered in every partition, merged as a tree, and turned into a logit for each bit.
+predicted from four contexts: the last two, four and five symbols, and the word so far.
+What each context has seen comes from all training texts, exactly: texts are dealt into
+groups of about ``GROUP_BYTES``; each group counts its own pairs of context and symbol, the
+counts of a pair meet in a bucket of contexts, and a group gets back the logits of the pairs
+that it holds. Groups and buckets grow in number with the input, not in size.
 
 The logits are mixed by weights that a gate selects (which bit of the symbol, and which of
 the longer contexts have been seen). The weights are learned online on at most
-``weight_docs`` training texts (an eighth of them at most) that are left out of the counts, so they know how the
+``weight_docs`` training texts (an eighth of them at most). Each of these is judged by
+logits from which its own counts are taken off, so the weights know how the
 predictors fare on unseen text. While a text is scored, its own additive correction of the
 weights is refined block by block from the bits already coded. The score is the log10
 probability of the text; divided by its bytes and log10(2) it is bits per byte.
@@ -25,7 +28,6 @@ empty result; without training texts every context is unseen.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,15 +43,17 @@ from .text_sql import masked, unit_hash, unmasked
 BITS = 6
 SYMBOLS = 1 << BITS
 ESCAPE, END = 62, 63
-#: Symbols that the contexts look back, and bits of the rows of each table (the last is the word's); a row is SYMBOLS wide.
-ORDERS, ROW_BITS = (2, 4, 5), (12, 17, 17, 17)
-CONTEXTS = tuple(1 << b for b in ROW_BITS)
-INPUTS, GATES = len(ROW_BITS), 1 << (len(ROW_BITS) - 1)
-FIRST_ROW = np.concatenate([[0], np.cumsum(CONTEXTS)])
-SLICE = 1 << 16
-#: Logits are held as small whole numbers, so the tables stay in the caches.
-STEPS = 10
-FAN_IN = 16
+#: Symbols that the contexts look back; the last context is the word so far.
+ORDERS = (2, 4, 5)
+INPUTS, GATES = len(ORDERS) + 1, 1 << len(ORDERS)
+#: Bits of a context below its number: symbols as they are, a word as a fingerprint.
+KEY_BITS = 56
+#: Counts become logits in a working table of this many rows, SYMBOLS wide, with a share for each context.
+FIRST_ROW = np.arange(INPUTS + 1) << 11
+#: Logits are held as whole numbers, so many to the unit.
+STEPS = 1000
+#: Bytes of text that share a group, and groups for each bucket of contexts.
+GROUP_BYTES, GROUPS_PER_BUCKET = 1 << 23, 1
 COMMON_WORDS = 1 << 18
 #: Bits whose prediction is corrected together, at first and at most.
 FIRST_BLOCK, LAST_BLOCK = 512, 1 << 14
@@ -125,75 +129,197 @@ def sequences(b: Block, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def contexts(symbols: np.ndarray, begin: np.ndarray, word_start: np.ndarray) -> list[np.ndarray]:
-    """The row of each context table at each place."""
+    """The key of each context at each place, its number on top."""
     n = len(symbols)
     place = np.arange(n) - np.repeat(begin[:-1], np.diff(begin))
     past, back, out = np.zeros(n, np.uint64), 0, []
-    for order, bits, first in zip(ORDERS, ROW_BITS, FIRST_ROW, strict=False):
+    for k, order in enumerate(ORDERS):
         while back < order:
             back += 1
             p = np.full(n, END, np.uint64)
             p[back:] = symbols[: max(0, n - back)]
             p[place < back] = END
             past = past << np.uint64(BITS) | p
-        out.append(_row(past, bits) + first)
+        out.append(past | np.uint64(k << KEY_BITS))
     word = Spans(symbols.astype(np.uint64) + np.uint64(1), 1).of(word_start, np.arange(n))
-    return [*out, _row(word, ROW_BITS[-1]) + FIRST_ROW[-2]]
+    return [*out, word >> np.uint64(64 - KEY_BITS) | np.uint64(len(ORDERS) << KEY_BITS)]
 
 
-def _row(context: np.ndarray, bits: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+def pairs(symbols: np.ndarray, begin: np.ndarray, word_start: np.ndarray) -> list[np.ndarray]:
+    """Context and symbol at each place as one number, for each context."""
+    return [c << np.uint64(BITS) | symbols for c in contexts(symbols, begin, word_start)]
 
 
-def _gathered(table):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def packed(x: np.ndarray) -> bytes:
+    """Byte by byte, all lowest bytes first: shuffles compress the high bytes away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
-        part = TaskContext.get().partitionId()
-        counts = np.zeros(FIRST_ROW[-1] * SYMBOLS, np.int32)
-        for b in blocks(batches):
-            symbols, begin, word_start = sequences(b, table)
-            for c in contexts(symbols, begin, word_start):
-                np.add.at(counts, c * SYMBOLS + symbols, np.int32(1))
-        for k in range(0, len(counts), SLICE):
-            own = counts[k : k + SLICE]
-            if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // SLICE], pa.int32()), pa.array([part], pa.int32()), pa.array([zlib.compress(own.astype(np.int64).tobytes(), 1)])], names=["slice", "part", "n"])
 
-    return run
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
 
+def packed_codes(x: np.ndarray) -> bytes:
+    """Codes in order, as steps."""
+    return packed(np.diff(x, prepend=np.zeros(1, np.uint64)))
 
-def _summed(key: tuple, t: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int64) for x in t.column("n"))
-    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "n": [zlib.compress(total.tobytes(), 1)]})
 
+def unpacked_codes(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
 
-def gather(texts: DataFrame, table: np.ndarray) -> np.ndarray:
-    """Symbol counts in all contexts over all texts; their size is fixed."""
-    parts = max(1, texts.rdd.getNumPartitions())
-    merged = texts.mapInArrow(_gathered(table), "slice int, part int, n binary")
-    while parts > 1:
-        parts = -(-parts // FAN_IN)
-        merged = merged.withColumn("part", F.expr(f"cast(floor(part / {FAN_IN}) as int)")).groupBy("slice", "part").applyInArrow(_summed, "slice int, part int, n binary")
-    counts = np.zeros(FIRST_ROW[-1] * SYMBOLS, np.float32)
-    for r in merged.select("slice", "n").toLocalIterator():
-        counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(r["n"]), np.int64)
-    return counts
+
+def packed_paths(x: np.ndarray) -> bytes:
+    """Rows of logits as the distinct ones (how many comes first) and their numbers: most contexts have one symbol and few counts."""
+    wide = np.zeros((len(x), 8), np.int16)
+    wide[:, :BITS] = x
+    half = wide.view(np.uint64)
+    with np.errstate(over="ignore"):
+        _, first, back = np.unique(mixed(half[:, 0].copy()) + half[:, 1], return_index=True, return_inverse=True)
+    return np.int64(len(first)).tobytes() + x[first].tobytes() + packed(back.astype(np.uint32))
+
+
+def unpacked_paths(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    return np.frombuffer(data, np.int16, n * BITS, 8).reshape(n, BITS)[unpacked(data[8 + 2 * BITS * n :], np.uint32)]
+
+
+def _merged(codes: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes in order, with their sums."""
+    if not codes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    every = np.concatenate(codes)
+    order = np.argsort(every, kind="stable")
+    every, n = every[order], np.concatenate(n)[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    return every[first], np.add.reduceat(n, first) if len(every) else n
+
+
+def _tallied(symbol_of: np.ndarray, buckets: int):
+    """The pairs of a group by bucket of contexts, with their counts in training texts (0: only asked for); those of a text that
+    weights are learned on once more, as a group below zero."""
+
+    def run(t: pa.Table) -> pa.Table:
+        group = t.column("grp")[0].as_py()
+        codes, counts, alone = [], [], {}
+        for b in blocks(t.select(["doc_id", "text", "train", "sample"]).to_batches()):
+            train, sample = (b.batch.column(c).to_numpy(zero_copy_only=False)[b.rows] for c in ("train", "sample"))
+            symbols, begin, word_start = sequences(b, symbol_of)
+            learned = np.repeat(train, np.diff(begin))
+            for c in pairs(symbols, begin, word_start):
+                for i in np.flatnonzero(sample >= 0):
+                    alone.setdefault(-1 - int(sample[i]), []).append(c[begin[i] : begin[i + 1]])
+                own, n = np.unique(c[learned], return_counts=True)
+                asked = np.unique(c[~learned])
+                codes += [own, asked]
+                counts += [n, np.zeros(len(asked), np.int64)]
+            if sum(map(len, codes)) > 4_000_000:
+                codes, counts = ([x] for x in _merged(codes, counts))
+        out = [(group, *_merged(codes, counts))] + [(g, *np.unique(np.concatenate(c), return_counts=True)) for g, c in alone.items()]
+        rows = []
+        for g, own, n in out:
+            bucket = (mixed(own >> np.uint64(BITS)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket, own, n = bucket[order], own[order], n[order].astype(np.uint32)
+            for part in np.split(np.arange(len(own)), np.flatnonzero(bucket[1:] != bucket[:-1]) + 1):
+                if len(part):
+                    rows.append((bucket[part[0]], g, packed_codes(own[part]), packed(n[part])))
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "grp": pa.array([r[1] for r in rows], pa.int32()), "codes": pa.array([r[2] for r in rows], pa.binary()), "n": pa.array([r[3] for r in rows], pa.binary())})
+
+    return run
+
+
+def paths(row: np.ndarray, symbols: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The logits on the way to the symbol of each pair, from all pairs (rows from 0 and rising) and their counts."""
+    out, width = np.zeros((len(row), BITS), np.int16), int(FIRST_ROW[-1])
+    last = int(row[-1]) + 1 if len(row) else 0
+    for k in range(0, last, width):
+        a, b = np.searchsorted(row, [k, k + width])
+        at, own = row[a:b] - k, symbols[a:b]
+        counts = np.zeros((min(width, last - k), SYMBOLS), np.float32)
+        counts[at, own] = n[a:b]
+        table = logits(counts)
+        for level in range(BITS):
+            out[a:b, level] = table.take(at * SYMBOLS + node(own, level))
+    return out
+
+
+def sided(codes: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Logits of the bits turned into logits of being right about the pair's symbol, or back."""
+    bits = (codes & np.uint64(SYMBOLS - 1)).astype(np.int64)[:, None] >> np.arange(BITS)[::-1] & 1
+    return np.where(bits, x, -x).astype(np.int16)
+
+
+def _rows(codes: np.ndarray) -> np.ndarray:
+    """Numbers the contexts of ordered codes."""
+    key = codes >> np.uint64(BITS)
+    return np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if len(codes) else np.zeros(0, np.int64)
+
+
+def _answered(t: pa.Table) -> pa.Table:
+    """What each group asked of a bucket: its pairs and their logits; pairs of unseen contexts are left out."""
+    groups = t.column("grp").to_pylist()
+    codes = [unpacked_codes(x.as_py()) for x in t.column("codes")]
+    counts = [unpacked(x.as_py(), np.uint32).astype(np.int64) for x in t.column("n")]
+    shared = [i for i, g in enumerate(groups) if g >= 0]
+    every, total = _merged([codes[i] for i in shared], [counts[i] for i in shared])
+    row, symbols = _rows(every), (every & np.uint64(SYMBOLS - 1)).astype(np.int64)
+    first = np.searchsorted(row, np.arange(row[-1] + 2)) if len(row) else np.zeros(1, np.int64)
+    found, out = paths(row, symbols, total), []
+    for g, own, n in zip(groups, codes, counts, strict=True):
+        at = np.searchsorted(every, own)
+        if g >= 0:
+            p = found[at]
+        else:
+            # All pairs of the text's contexts, without the text itself.
+            r = np.unique(row[at])
+            size = first[r + 1] - first[r]
+            near = np.repeat(first[r] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            left, mine = total[near], np.searchsorted(near, at)
+            left[mine] -= n
+            p = paths(np.repeat(np.arange(len(r)), size), symbols[near], left)[mine]
+        seen = p.any(axis=1)
+        out.append((g, packed_codes(own[seen]), packed_paths(sided(own[seen], p[seen]))))
+    return pa.table({"grp": pa.array([r[0] for r in out], pa.int32()), "codes": pa.array([r[1] for r in out], pa.binary()), "paths": pa.array([r[2] for r in out], pa.binary())})
 
 
 def logits(counts: np.ndarray) -> np.ndarray:
     """The logit of each bit of each context, in STEPS to the unit: node 1 is the first bit, nodes 2 and 3 the second, and so on. 0 is unseen."""
     rows = counts.reshape(-1, SYMBOLS)
-    out = np.zeros(rows.shape, np.int8)
+    out = np.zeros(rows.shape, np.int16)
     for k in range(0, len(rows), 1 << 14):
         own = rows[k : k + (1 << 14)].astype(np.float32)
         for level in range(BITS):
             n = own.reshape(len(own), 1 << level, 2, -1).sum(axis=3)
-            out[k : k + (1 << 14), 1 << level : 2 << level] = np.rint(np.clip(np.log((n[:, :, 1] + 0.04) / (n[:, :, 0] + 0.04)), -12, 12) * STEPS)
+            x = np.rint(np.clip(np.log((n[:, :, 1] + 0.04) / (n[:, :, 0] + 0.04)), -12, 12) * STEPS)
+            out[k : k + (1 << 14), 1 << level : 2 << level] = x + ((x == 0) & (n[:, :, 0] > 0))
     return out.reshape(-1)
 
 
+class Model:
+    """The logits of the pairs that a group asked for."""
+
+    def __init__(self, codes: list[bytes], values: list[bytes]):
+        own = np.concatenate([np.zeros(0, np.uint64), *map(unpacked_codes, codes)])
+        order = np.argsort(own)
+        self.codes = own[order]
+        # The last row stands for contexts that no training text has.
+        self.values = np.concatenate([np.concatenate([np.zeros((0, BITS), np.int16), *map(unpacked_paths, values)])[order], np.zeros((1, BITS), np.int16)])
+
+        self.values[:-1] = sided(self.codes, self.values[:-1])
+
+    def rows(self, code: np.ndarray) -> np.ndarray:
+        own, back = np.unique(code, return_inverse=True)
+        at = np.searchsorted(self.codes, own)
+        hit = at < len(self.codes)
+        hit[hit] = self.codes[at[hit]] == own[hit]
+        return np.where(hit, at, len(self.codes))[back]
+
+    def inputs(self, rows: list[np.ndarray]) -> list[np.ndarray]:
+        """For each context, the logits by level and place."""
+        return [np.ascontiguousarray(self.values.take(r, axis=0).T, dtype=np.float32) * np.float32(1 / STEPS) for r in rows]
+
+
 # --- mixing --------------------------------------------------------------------------------
 
 
@@ -204,30 +330,36 @@ def gates(level: int, s: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def node(symbols: np.ndarray, level: int) -> np.ndarray:
+    return (1 << level) | (symbols >> (BITS - level)).astype(np.int64)
+
+
+def bit_of(symbols: np.ndarray, level: int) -> np.ndarray:
+    return ((symbols >> (BITS - 1 - level)) & 1).astype(np.float32)
+
+
 def bit_inputs(table: np.ndarray, ctx: list[np.ndarray], symbols: np.ndarray, level: int) -> tuple[list[np.ndarray], np.ndarray]:
-    node = (1 << level) | (symbols >> (BITS - level)).astype(np.int64)
-    s = [table.take(c * SYMBOLS + node).astype(np.float32) for c in ctx]
-    for x in s:
-        x *= np.float32(1 / STEPS)
-    return s, ((symbols >> (BITS - 1 - level)) & 1).astype(np.float32)
+    """Inputs and bit from a table of whole contexts."""
+    at = node(symbols, level)
+    return [table.take(c * SYMBOLS + at).astype(np.float32) * np.float32(1 / STEPS) for c in ctx], bit_of(symbols, level)
 
 
 def start_weights() -> np.ndarray:
     return np.full((BITS * GATES, INPUTS), 1.05 / INPUTS, np.float32)
 
 
-def learn_weights(table: np.ndarray, texts: list[bytes], symbol_of: np.ndarray, step: int = 2048) -> np.ndarray:
-    """Weights by gate, refined online over the texts, a few symbols at a time."""
+def learn_weights(texts: list[tuple[bytes, Model]], symbol_of: np.ndarray, step: int = 2048) -> np.ndarray:
+    """Weights by gate, refined online over the texts (each with a model without it), a few symbols at a time."""
     w, seen = start_weights(), np.full(BITS * GATES, 1.0)
-    for text in texts:
+    for text, model in texts:
         data = np.frombuffer(text, np.uint8)
         one = Block(np.zeros(1, np.int64), data, np.array([0, len(data)]), slice(0, 1), None)
         symbols, begin, word_start = sequences(one, symbol_of)
-        ctx = contexts(symbols, begin, word_start)
+        rows = [model.rows(c) for c in pairs(symbols, begin, word_start)]
         for k in range(0, len(symbols), step):
-            part = symbols[k : k + step]
+            part, held = symbols[k : k + step], model.inputs([r[k : k + step] for r in rows])
             for level in range(BITS):
-                s, bit = bit_inputs(table, [c[k : k + step] for c in ctx], part, level)
+                s, bit = [x[level] for x in held], bit_of(part, level)
                 g = gates(level, s)
                 z = sum(w[g, i] * s[i] for i in range(INPUTS))
                 error = bit - 1 / (1 + np.exp(-z))
@@ -243,14 +375,14 @@ def learn_weights(table: np.ndarray, texts: list[bytes], symbol_of: np.ndarray,
 
 
 class Scorer:
-    def __init__(self, table: np.ndarray, w: np.ndarray, symbol_of: np.ndarray):
-        self.table, self.w, self.symbol_of = table, np.ascontiguousarray(w.T), symbol_of
+    def __init__(self, model: Model, w: np.ndarray, symbol_of: np.ndarray):
+        self.model, self.w, self.symbol_of = model, np.ascontiguousarray(w.T), symbol_of
         self.escape = np.log(256 - (ESCAPE - 1) - SPACE.sum())
 
     def score(self, b: Block) -> np.ndarray:
         """log10 probability of each text of the block."""
         symbols, begin, word_start = sequences(b, self.symbol_of)
-        ctx = contexts(symbols, begin, word_start)
+        rows = [self.model.rows(c) for c in pairs(symbols, begin, word_start)]
         docs, size = len(b.doc_id), np.diff(begin)
         out = np.zeros(docs)
         own = np.zeros((docs, INPUTS), np.float32)
@@ -260,11 +392,11 @@ class Scorer:
             take = np.minimum(size[alive] - at, width)
             edge = np.concatenate([[0], np.cumsum(take)[:-1]])
             place = np.repeat(begin[alive] + at - edge, take) + np.arange(take.sum())
-            part, here = symbols[place], [c[place] for c in ctx]
+            part, here = symbols[place], self.model.inputs([r[place] for r in rows])
             extra = [np.repeat(own[alive, i], take) for i in range(INPUTS)] if at else []
             slope, curve = np.zeros((len(alive), INPUTS)), np.zeros((len(alive), INPUTS))
             for level in range(BITS):
-                s, bit = bit_inputs(self.table, here, part, level)
+                s, bit = [x[level] for x in here], bit_of(part, level)
                 g = gates(level, s)
                 z = np.zeros(len(g), np.float32)
                 for i in range(INPUTS):
@@ -289,14 +421,18 @@ class Scorer:
 
 
 PART = "doc_id long, word long, times long, n_tokens long, known long, base double, score double"
+PART_SCHEMA = pa.schema([(x.split()[0], pa.float64() if x.endswith("double") else pa.int64()) for x in PART.split(", ")])
 
 
 def _scored(shared):
     """A row per text (word is null, times its bytes) with what the common words give, and a row per text and rarer word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, end_count, total, model = shared.value
-        scorer = Scorer(*model)
+    def run(texts: pa.Table, model: pa.Table) -> pa.Table:
+        words, counts, end_count, total, weights, symbol_of = shared.value
+        scorer = Scorer(Model(model.column("codes").to_pylist(), model.column("paths").to_pylist()), weights, symbol_of)
+        return pa.Table.from_batches(scored(texts.select(["doc_id", "text"]).to_batches(), words, counts, end_count, total, scorer), PART_SCHEMA)
+
+    def scored(batches: list[pa.RecordBatch], words, counts, end_count, total, scorer: Scorer) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, 1 << 18):
             n = len(b.doc_id)
             low = LOWER[b.data]
@@ -318,8 +454,7 @@ def _scored(shared):
             tokens = np.diff(first) + 1
             base -= tokens * total
             none = pa.nulls(n, pa.int64())
-            names = [x.split()[0] for x in PART.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(b.doc_id, pa.int64()), none, pa.array(np.diff(b.offsets)), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(scorer.score(b))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(b.doc_id, pa.int64()), none, pa.array(np.diff(b.offsets)), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(scorer.score(b))], schema=PART_SCHEMA)
             doc = np.repeat(np.arange(n), np.diff(first))[~common]
             rare = h[~common]
             if len(rare):
@@ -328,7 +463,7 @@ def _scored(shared):
                 new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (rare[1:] != rare[:-1])]))
                 times = np.diff(np.append(new, len(doc)))
                 m = len(new)
-                yield pa.RecordBatch.from_arrays([pa.array(b.doc_id[doc[new]], pa.int64()), pa.array(rare[new].view(np.int64)), pa.array(times, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(b.doc_id[doc[new]], pa.int64()), pa.array(rare[new].view(np.int64)), pa.array(times, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], schema=PART_SCHEMA)
 
     return run
 
@@ -343,6 +478,7 @@ def score_documents(docs: DataFrame, held_out_fold: int = 2, of: int = 7, common
     counted = scratch.put("counts", train.mapInArrow(_word_counts, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words = counted.filter("kind = 0").select(F.col("key").alias("word"), F.col("n").alias("c"))
     n_train = train.select("doc_id").count()
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_words, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = n_words + n_train, distinct + int(n_train > 0)
     # The table of common words has a fixed size; it is read by every task.
@@ -352,15 +488,28 @@ def score_documents(docs: DataFrame, held_out_fold: int = 2, of: int = 7, common
 
     order = unit_hash(F.col("doc_id"), seed=7)
     apart = [r["doc_id"] for r in train.select("doc_id").orderBy(order, "doc_id").limit(min(weight_docs, n_train // 8)).collect()]
-    chosen = F.broadcast(spark.createDataFrame([(d,) for d in apart], "doc_id long"))
-    table = logits(gather(train.join(chosen, "doc_id", "left_anti") if apart else train, symbol_of))
+    groups = -(-size // GROUP_BYTES) or 1
+    buckets = -(-groups // GROUPS_PER_BUCKET)
+    chosen = F.broadcast(spark.createDataFrame(list(zip(apart, range(len(apart)), strict=True)), "doc_id long, sample int"))
+    dealt = texts.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(groups)).cast("int"))
+    flagged = dealt.withColumn("train", fold(F.col("doc_id"), of) != held_out_fold).join(chosen, "doc_id", "left")
+    flagged = flagged.select("grp", "doc_id", "text", "train", F.when(F.col("train"), F.coalesce("sample", F.lit(-1))).otherwise(-1).alias("sample"))
+    tallied = flagged.groupBy("grp").applyInArrow(_tallied(symbol_of, buckets), "bucket int, grp int, codes binary, n binary")
+    answers = scratch.put("answers", tallied.groupBy("bucket").applyInArrow(_answered, "grp int, codes binary, paths binary"))
+    del tallied
+    scratch.drop()
     weights = start_weights()
     if apart:
+        own: dict[int, list] = {-1 - k: [] for k in range(len(apart))}
+        for r in answers.filter("grp < 0").collect():
+            own[r["grp"]].append((bytes(r["codes"]), bytes(r["paths"])))
+        models = {d: Model([c for c, _ in own[-1 - k]], [p for _, p in own[-1 - k]]) for k, d in enumerate(apart)}
         sample = train.join(chosen, "doc_id", "left_semi").orderBy(order, "doc_id").collect()
-        weights = learn_weights(table, [bytes(r["text"] or b"") for r in sample], symbol_of)
-    shared = spark.sparkContext.broadcast((top_words, top_counts, n_train, np.log10(float(n) * 1 + (v + 1)), (table, weights, symbol_of)))
+        weights = learn_weights([(bytes(r["text"] or b""), models[r["doc_id"]]) for r in sample], symbol_of)
+    shared = spark.sparkContext.broadcast((top_words, top_counts, n_train, np.log10(float(n) * 1 + (v + 1)), weights, symbol_of))
 
-    parts = scratch.put("parts", texts.mapInArrow(_scored(shared), PART))
+    parts = scratch.put("parts", dealt.groupBy("grp").cogroup(answers.filter("grp >= 0").groupBy("grp")).applyInArrow(_scored(shared), PART))
+    scratch.drop("answers")
     rare = parts.filter("word IS NOT NULL").select("doc_id", "word", "times").join(words, "word").groupBy("doc_id").agg(
         F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("rare_base"), F.sum("times").alias("rare_known"))
     out = parts.filter("word IS NULL").join(rare, "doc_id", "left")

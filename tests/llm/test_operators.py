@@ -332,6 +332,56 @@ def test_lm_odd_rows(odd, nothing):
     assert lm_scoring.score_documents(nothing).count() == 0
 
 
+def lm_contexts(symbols):
+    """Each context as it is: its number and what it saw."""
+    for at, symbol in enumerate(symbols):
+        word = at
+        while word and symbols[word - 1] != 0:
+            word -= 1
+        for k, order in enumerate(lm_scoring.ORDERS):
+            yield (k, *([lm_scoring.END] * order + symbols[:at])[-order:]), symbol
+        yield (3, *symbols[word:at]), symbol
+
+
+def test_lm_counts_are_exact_and_whole():
+    """Pairs of two groups in three buckets, with a text to learn weights on, against a dictionary of contexts."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tests.llm.conftest import prose
+
+    symbol_of = lm_scoring.symbol_table({v: 1 for v in b"abcdefghijklmnopqrstuvwxyz0123456789"})
+    texts = [prose(seed, 300).encode() for seed in range(6)]
+    spelled = [lm_scoring.sequences(lm_scoring.Block(np.zeros(1), np.frombuffer(t, np.uint8), np.array([0, len(t)]), slice(0, 1), None), symbol_of) for t in texts]
+    # The last text of each group is held out; the first of all is learned on.
+    groups = [pa.table({"grp": [g] * 3, "doc_id": [3 * g, 3 * g + 1, 3 * g + 2], "text": pa.array(texts[3 * g : 3 * g + 3], pa.binary()), "train": [True, True, False], "sample": pa.array([-1 if g else 0, -1, -1], pa.int32())}) for g in range(2)]
+    tallied = pa.concat_tables([lm_scoring._tallied(symbol_of, 3)(g) for g in groups]).to_pylist()
+    answers = [r for b in range(3) for r in lm_scoring._answered(pa.Table.from_pylist([r for r in tallied if r["bucket"] == b])).to_pylist()]
+    count = collections.Counter(p for i in (0, 1, 3, 4) for p in lm_contexts(spelled[i][0].tolist()))
+    for grp, text, without in ((0, 2, None), (1, 5, None), (-1, 0, 0)):
+        of = collections.defaultdict(collections.Counter)
+        for (c, symbol), n in (count - collections.Counter(lm_contexts(spelled[text][0].tolist())) if without is not None else count).items():
+            of[c][symbol] += n
+        own = [r for r in answers if r["grp"] == grp]
+        model = lm_scoring.Model([r["codes"] for r in own], [r["paths"] for r in own])
+        rows = np.stack([model.rows(c) for c in lm_scoring.pairs(*spelled[text])], axis=1).reshape(-1)
+        for row, (c, symbol) in zip(rows, lm_contexts(spelled[text][0].tolist()), strict=True):
+            for level in range(6):
+                n = [sum(m for s, m in of[c].items() if s >> (5 - level) == (symbol >> (6 - level)) * 2 + bit) for bit in (0, 1)]
+                want = max(-12, min(12, math.log((n[1] + 0.04) / (n[0] + 0.04))))
+                assert abs(model.values[row, level] / lm_scoring.STEPS - want) < 0.0011
+
+
+def test_lm_contexts_do_not_share_rows():
+    import numpy as np
+
+    symbols = np.random.default_rng(3).integers(1, 60, 200_000).astype(np.uint8)
+    keys = lm_scoring.contexts(symbols, np.array([0, len(symbols)]), np.arange(len(symbols)) // 6 * 6)
+    s = [lm_scoring.END] * 5 + symbols.tolist()
+    assert len(set(keys[2].tolist())) == len({tuple(s[i : i + 5]) for i in range(len(symbols))})
+    assert len(set(keys[3].tolist())) == len({tuple(symbols[i // 6 * 6 : i].tolist()) for i in range(len(symbols))})
+
+
 # --- 8 ---------------------------------------------------------------------------------------
 
 
