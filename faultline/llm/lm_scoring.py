@@ -2,8 +2,8 @@
 
 A text is read as its words (ASCII lower case), each followed by a space, the last by an
 end symbol. A byte is spelled as a six-bit symbol (the 62 commonest bytes of the training
-texts have their own; the rest share an escape and are then uniform). Every bit is
-predicted from four contexts: the last two, four and five symbols, and the word so far.
+texts have their own; the rest are an escape and two half bytes, told from symbols in the
+contexts). Every bit is predicted from four contexts: the last two, four and five symbols, and the word so far.
 What each context has seen comes from all training texts, exactly: texts are dealt into
 groups of about ``GROUP_BYTES``; each group counts its own pairs of context and symbol, the
 counts of a pair meet in a bucket of contexts, and a group gets back the logits of the pairs
@@ -109,7 +109,13 @@ def sequences(b: Block, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     low = LOWER[b.data]
     starts, ends, first = word_spans(low, b.offsets)
     n_words = np.diff(first)
-    length = ends - starts
+    solid = low[~SPACE[low]]
+    own = table[solid]
+    rare = own == ESCAPE
+    # Where each byte begins among the symbols: an escaped byte has two more.
+    at = np.concatenate([[0], np.cumsum(1 + 2 * rare.astype(np.int64))])
+    edge = at[np.concatenate([[0], np.cumsum(ends - starts)])]
+    length = np.diff(edge)
     empty = n_words == 0
     # One place for each byte of a word, one after each word, one for a text without words.
     doc_of_word = np.repeat(np.arange(len(n_words)), n_words)
@@ -117,9 +123,10 @@ def sequences(b: Block, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     word_at = np.concatenate([[0], np.cumsum(length + 1)[:-1]]) + before if len(starts) else np.zeros(0, np.int64)
     total = int((length + 1).sum() + empty.sum())
     out, word_start = np.zeros(total, np.uint8), np.arange(total)
-    solid = low[~SPACE[low]]
-    inside = np.repeat(word_at - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(len(solid)) if len(starts) else np.zeros(0, np.int64)
-    out[inside] = table[solid]
+    inside = np.repeat(word_at - edge[:-1], length) + np.arange(at[-1])
+    place = inside[at[:-1]]
+    out[place] = own
+    out[place[rare] + 1], out[place[rare] + 2] = solid[rare] >> 4, solid[rare] & 15
     word_start[inside] = np.repeat(word_at, length)
     word_start[word_at + length] = word_at
     size = np.bincount(doc_of_word, weights=length + 1, minlength=len(n_words)).astype(np.int64) + empty
@@ -128,20 +135,29 @@ def sequences(b: Block, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return out, begin, word_start
 
 
+def halves(symbols: np.ndarray) -> np.ndarray:
+    """Which symbols are the half bytes behind an escape; their first two bits are always 0 and cost nothing."""
+    escape, out = symbols == ESCAPE, np.zeros(len(symbols), bool)
+    out[1:] |= escape[:-1]
+    out[2:] |= escape[:-2]
+    return out
+
+
 def contexts(symbols: np.ndarray, begin: np.ndarray, word_start: np.ndarray) -> list[np.ndarray]:
     """The key of each context at each place, its number on top."""
     n = len(symbols)
     place = np.arange(n) - np.repeat(begin[:-1], np.diff(begin))
     past, back, out = np.zeros(n, np.uint64), 0, []
+    told = symbols + halves(symbols).astype(np.uint64) * np.uint64(SYMBOLS)
     for k, order in enumerate(ORDERS):
         while back < order:
             back += 1
             p = np.full(n, END, np.uint64)
-            p[back:] = symbols[: max(0, n - back)]
+            p[back:] = told[: max(0, n - back)]
             p[place < back] = END
-            past = past << np.uint64(BITS) | p
+            past = past << np.uint64(BITS + 1) | p
         out.append(past | np.uint64(k << KEY_BITS))
-    word = Spans(symbols.astype(np.uint64) + np.uint64(1), 1).of(word_start, np.arange(n))
+    word = Spans(told + np.uint64(1), 1).of(word_start, np.arange(n))
     return [*out, word >> np.uint64(64 - KEY_BITS) | np.uint64(len(ORDERS) << KEY_BITS)]
 
 
@@ -202,7 +218,7 @@ def _tallied(symbol_of: np.ndarray, buckets: int):
     def run(t: pa.Table) -> pa.Table:
         group = t.column("grp")[0].as_py()
         codes, counts, alone = [], [], {}
-        for b in blocks(t.select(["doc_id", "text", "train", "sample"]).to_batches()):
+        for b in blocks(t.select(["doc_id", "text", "train", "sample"]).to_batches(), 1 << 18):
             train, sample = (b.batch.column(c).to_numpy(zero_copy_only=False)[b.rows] for c in ("train", "sample"))
             symbols, begin, word_start = sequences(b, symbol_of)
             learned = np.repeat(train, np.diff(begin))
@@ -213,7 +229,7 @@ def _tallied(symbol_of: np.ndarray, buckets: int):
                 asked = np.unique(c[~learned])
                 codes += [own, asked]
                 counts += [n, np.zeros(len(asked), np.int64)]
-            if sum(map(len, codes)) > 4_000_000:
+            if sum(map(len, codes)) > 2_500_000:
                 codes, counts = ([x] for x in _merged(codes, counts))
         out = [(group, *_merged(codes, counts))] + [(g, *np.unique(np.concatenate(c), return_counts=True)) for g, c in alone.items()]
         rows = []
@@ -355,16 +371,17 @@ def learn_weights(texts: list[tuple[bytes, Model]], symbol_of: np.ndarray, step:
         data = np.frombuffer(text, np.uint8)
         one = Block(np.zeros(1, np.int64), data, np.array([0, len(data)]), slice(0, 1), None)
         symbols, begin, word_start = sequences(one, symbol_of)
-        rows = [model.rows(c) for c in pairs(symbols, begin, word_start)]
+        rows, half = [model.rows(c) for c in pairs(symbols, begin, word_start)], halves(symbols)
         for k in range(0, len(symbols), step):
             part, held = symbols[k : k + step], model.inputs([r[k : k + step] for r in rows])
             for level in range(BITS):
                 s, bit = [x[level] for x in held], bit_of(part, level)
                 g = gates(level, s)
+                free = half[k : k + step] & (level < 2)
                 z = sum(w[g, i] * s[i] for i in range(INPUTS))
                 error = bit - 1 / (1 + np.exp(-z))
-                for gate in np.unique(g):
-                    own = g == gate
+                for gate in np.unique(g[~free]):
+                    own = (g == gate) & ~free
                     seen[gate] += own.sum()
                     x = np.stack([v[own] for v in s])
                     # A damped Newton step: the curvature of these bits tells how far to go.
@@ -377,12 +394,11 @@ def learn_weights(texts: list[tuple[bytes, Model]], symbol_of: np.ndarray, step:
 class Scorer:
     def __init__(self, model: Model, w: np.ndarray, symbol_of: np.ndarray):
         self.model, self.w, self.symbol_of = model, np.ascontiguousarray(w.T), symbol_of
-        self.escape = np.log(256 - (ESCAPE - 1) - SPACE.sum())
 
     def score(self, b: Block) -> np.ndarray:
         """log10 probability of each text of the block."""
         symbols, begin, word_start = sequences(b, self.symbol_of)
-        rows = [self.model.rows(c) for c in pairs(symbols, begin, word_start)]
+        rows, half = [self.model.rows(c) for c in pairs(symbols, begin, word_start)], halves(symbols)
         docs, size = len(b.doc_id), np.diff(begin)
         out = np.zeros(docs)
         own = np.zeros((docs, INPUTS), np.float32)
@@ -407,8 +423,11 @@ class Scorer:
                     z += w
                 p = 1 / (1 + np.exp(-z))
                 right = np.where(bit > 0, p, 1 - p)
+                free = np.flatnonzero(half[place]) if level < 2 else []
+                right[free] = 1
                 out[alive] += np.add.reduceat(np.log(np.maximum(right, 1e-6)), edge, dtype=np.float64)
                 error, spread = bit - p, p * (1 - p)
+                error[free] = spread[free] = 0
                 for i in range(INPUTS):
                     slope[:, i] += np.add.reduceat(error * s[i], edge)
                     curve[:, i] += np.add.reduceat(spread * s[i] * s[i], edge)
@@ -416,8 +435,7 @@ class Scorer:
             at += width
             width = min(2 * width, LAST_BLOCK)
             alive = alive[size[alive] > at]
-        escaped = np.add.reduceat((symbols == ESCAPE).astype(np.int64), begin[:-1]) if docs else np.zeros(0)
-        return (out - escaped * self.escape) / np.log(10)
+        return out / np.log(10)
 
 
 PART = "doc_id long, word long, times long, n_tokens long, known long, base double, score double"

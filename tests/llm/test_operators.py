@@ -382,6 +382,26 @@ def test_lm_contexts_do_not_share_rows():
     assert len(set(keys[3].tolist())) == len({tuple(symbols[i // 6 * 6 : i].tolist()) for i in range(len(symbols))})
 
 
+def test_lm_learns_rare_bytes(spark):
+    """@ and = are escaped; each follows its own word."""
+    common = " ".join(chr(c) * 50 for c in range(33, 127) if chr(c) not in "@=" and not chr(c).isupper())
+    rows = [(i, common + " mail@home" * 3 + " size=four" * 3) for i in range(40)] + [(100, "mail@home size=four"), (101, "mail=home size@four")]
+    symbol_of = lm_scoring.symbol_table(collections.Counter(common.encode()))
+    assert symbol_of[ord("@")] == symbol_of[ord("=")] == lm_scoring.ESCAPE
+    out = {r.doc_id: r.score for r in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), held_out_fold=-1).collect()}
+    assert out[100] > out[101] + 1
+
+
+def test_lm_escapes():
+    import numpy as np
+
+    data = np.frombuffer("a é b".encode(), np.uint8)
+    symbols, begin, word_start = lm_scoring.sequences(lm_scoring.Block(np.zeros(1), data, np.array([0, len(data)]), slice(0, 1), None), lm_scoring.symbol_table({v: 1 for v in range(97, 123)}))
+    assert symbols.tolist()[2:9] == [lm_scoring.ESCAPE, 0xC, 0x3, lm_scoring.ESCAPE, 0xA, 0x9, 0] and begin.tolist() == [0, 11]
+    assert lm_scoring.halves(symbols).tolist() == [False] * 3 + [True] * 2 + [False] + [True] * 2 + [False] * 3
+    assert word_start.tolist() == [0, 0, *[2] * 7, 9, 9]
+
+
 # --- 8 ---------------------------------------------------------------------------------------
 
 
