@@ -5,6 +5,8 @@ A route's path is an array of segments: a literal, ':' for one parameter, '*' fo
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,11 +85,11 @@ def route_words(handlers: DataFrame) -> DataFrame:
     return first.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("route_path"))
 
 
-def _closure(start: DataFrame, steps: DataFrame, hops: int) -> DataFrame:
-    """Everything reached from start (origin, at) over steps (at, to), origin included, in at most ``hops`` steps."""
+def _closure(start: DataFrame, steps: DataFrame, hops: int | None = None) -> DataFrame:
+    """Everything reached from start (origin, at) over steps (at, to), origin included, in at most ``hops`` steps if given."""
     met = cut(start.select("origin", "at").distinct())
     level = met
-    for _ in range(hops):
+    for _ in count() if hops is None else range(hops):
         level = cut(level.join(steps, "at").select("origin", F.col("to").alias("at")).distinct().join(met, ["origin", "at"], "left_anti"))
         if level.isEmpty():
             break
@@ -95,10 +97,10 @@ def _closure(start: DataFrame, steps: DataFrame, hops: int) -> DataFrame:
     return met
 
 
-def included_scopes(includes: DataFrame, hops: int = 8) -> DataFrame:
+def included_scopes(includes: DataFrame) -> DataFrame:
     """origin, at: scopes that query, mutation and subscription take in, directly or not. includes: scope, included."""
     roots = includes.sparkSession.createDataFrame([("query",), ("mutation",), ("subscription",)], "origin string").withColumn("at", F.col("origin"))
-    return _closure(roots, includes.select(F.col("scope").alias("at"), F.col("included").alias("to")), hops)
+    return _closure(roots, includes.select(F.col("scope").alias("at"), F.col("included").alias("to")))
 
 
 def expand_fragments(spreads: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -113,16 +115,17 @@ def expand_fragments(spreads: DataFrame, fragments: DataFrame) -> DataFrame:
     return met.join(fragments.withColumnRenamed("fragment", "at"), "at").select(F.col("origin").alias("operation"), "field").distinct()
 
 
-def descend(selections: DataFrame, fields: DataFrame, hops: int = 8) -> DataFrame:
+def descend(selections: DataFrame, fields: DataFrame) -> DataFrame:
     """selection, field_key: the field that ends each selection path, through the return types of the fields before it.
 
     selections: selection, root_type, path (array); fields: type, field, returns, field_key.
     """
     state = selections.select("selection", F.col("root_type").alias("type"), "path", F.lit(0).alias("i"), F.lit(None).cast("string").alias("field_key"))
     done = None
-    for _ in range(hops):
-        state = cut(state).withColumn("field", F.get("path", F.col("i"))).join(fields.withColumnRenamed("field_key", "fk"), ["type", "field"]).select(
+    while done is None or not state.isEmpty():
+        state = state.withColumn("field", F.get("path", F.col("i"))).join(fields.withColumnRenamed("field_key", "fk"), ["type", "field"]).select(
             "selection", F.col("returns").alias("type"), "path", (F.col("i") + 1).alias("i"), F.col("fk").alias("field_key"))
+        state = cut(state)
         end = state.filter("i = size(path)").select("selection", "field_key")
         done = end if done is None else done.unionByName(end)
         state = state.filter("i < size(path)")
