@@ -5,7 +5,7 @@ Languages whose mean descriptions lie close are joined into families (average li
 where the distance between merges jumps most). One linear support vector machine for each
 family tells it from the others; one for each pair of languages of a family votes inside it.
 The machines are fitted on the driver from at most ``per_language`` labelled texts of each
-of at most ``max_languages`` languages; that sample is drawn by a hash of doc_id. Every
+language; that sample is drawn by a hash of doc_id. Every
 text is then judged whole, in the executors, as a sum of weights over its trigrams.
 
 Null text and text without a letter are ``und`` with score 0, as is everything when no row
@@ -132,17 +132,16 @@ class Model:
         return best, score * doubt[np.arange(n), best]
 
 
-def fit(docs: DataFrame, per_language: int = 250, max_languages: int = 64) -> Model | None:
+def fit(docs: DataFrame, per_language: int = 250) -> Model | None:
     """The model from labelled rows of docs (doc_id, text, lang); None where there are none."""
     spark = docs.sparkSession
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
-    common = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    if not common:
+    if labelled.isEmpty():
         return None
     order = Window.partitionBy("lang").orderBy(unit_hash(F.col("doc_id"), seed=9), "doc_id")
-    ids = labelled.filter(F.col("lang").isin(common)).select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
-    chosen = [(r["doc_id"],) for r in ids.select("doc_id").distinct().collect()]  # at most per_language * max_languages
-    sample = labelled.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long")), "doc_id", "left_semi").filter(F.col("lang").isin(common))
+    ids = labelled.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
+    chosen = [(r["doc_id"],) for r in ids.select("doc_id").distinct().collect()]  # at most per_language of each language
+    sample = labelled.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long")), "doc_id", "left_semi")
     rows = sample.select("doc_id", "lang", F.col("text").cast("binary").alias("text")).mapInArrow(_described, "lang string, features binary").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["features"])))
     return Model([r["lang"] for r in rows], np.stack([np.frombuffer(r["features"], np.float32) for r in rows]).astype(float))

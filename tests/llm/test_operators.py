@@ -466,6 +466,11 @@ def test_families():
     assert sorted(map(sorted, langid.families(means))) == [[0, 1], [2, 3]]
 
 
+def test_language_learns_every_label(spark):
+    rows = [(70 * k + i, f"{chr(97 + i % 26) * 3}{chr(97 + i // 26) * 4} " * 5, f"l{i:02}") for k in range(2) for i in range(70)]
+    assert len(langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages) == 70
+
+
 def test_language_odd_rows(spark, odd, nothing):
     out = {r.doc_id: r for r in langid.identify(odd).collect()}
     assert len(out) == len({r.doc_id for r in odd.collect()})
