@@ -1,29 +1,33 @@
 """Language-model scores by logistic context mixing over bits.
 
-A text is read as its words (ASCII lower case), each followed by a space, the last by an
-end symbol. A byte is spelled as a six-bit symbol (the 62 commonest bytes of the training
-texts have their own; the rest are an escape and two half bytes, told from symbols in the
-contexts). Every bit is predicted from four contexts: the last two, four and five symbols, and the word so far.
-What each context has seen comes from all training texts, exactly: texts are dealt into
-groups of about ``GROUP_BYTES``; each group counts its own pairs of context and symbol, the
-counts of a pair meet in a bucket of contexts, and a group gets back the logits of the pairs
-that it holds. Groups and buckets grow in number with the input, not in size.
-
-The logits are mixed by weights that a gate selects (which bit of the symbol, and which of
-the longer contexts have been seen). The weights are learned online on at most
-``weight_docs`` training texts (an eighth of them at most). Each of these is judged by
-logits from which its own counts are taken off, so the weights know how the
-predictors fare on unseen text. While a text is scored, its own additive correction of the
-weights is refined block by block from the bits already coded. The score is the log10
-probability of the text; divided by its bytes and log10(2) it is bits per byte.
-
-Word counts (for the base score) are gathered exactly over all training texts. The
-``common`` commonest words are looked up in the tasks (a table of fixed size); the others
-go through a join on the word, pre-summed per text.
-
-Null counts as empty (one end token). Rows that repeat a doc_id are one text to the base
-score's sums and are to be avoided. Extra columns are ignored. An empty table gives an
-empty result; without training texts every context is unseen.
+A text is read as its words (ASCII lower case) and one end. Every token is a string of bits:
+the ``common`` commonest training words, the end and an escape have a prefix code (Huffman's,
+from their training counts); behind an escape the word is spelled in its bytes, eight bits
+each. Every bit is predicted from several contexts, whose logits are mixed by weights that a
+gate selects (how deep the bit lies, and how much the longer contexts know) and that are
+refined online while texts are coded. The score is the log10 probability of the text; divided
+by its bytes and log10(2) it is bits per byte.
+
+Contexts of a code bit: none, the word before, the two words before. What they have seen
+comes from all training texts, exactly: the words of a text become symbols; about
+``GROUP_TOKENS`` symbols of whole texts are a group; a group sends its pairs of context and
+symbol, with their counts, to buckets of contexts; a bucket sums them and returns, for each
+pair, the logits on the way to its symbol. Groups and buckets grow in number with the
+input, not in size, and texts themselves are never moved. A pair's key holds its symbols,
+so nothing collides. Contexts of a spelled bit are the one and the two bytes before, counted
+over the distinct words of the training texts; their number is bounded by the byte values.
+
+A training text is scored by what the others say: each of its tokens is judged by counts
+from which that token itself is taken off. A copy elsewhere still counts, so texts that
+occur twice score higher than texts that occur once.
+
+The base score takes exact word counts over all training texts. Counts of the common words
+are looked up in the tasks (a table of fixed size); the others go through a join on the
+word, pre-summed per text.
+
+Null counts as empty (one end). Every row is a text of its own, whatever its doc_id. Extra
+columns are ignored. An empty table gives an empty result; without training texts nothing
+is known and every unknown bit costs one bit.
 """
 
 from __future__ import annotations
@@ -35,135 +39,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, SPACE, Block, Spans, blocks, mixed, word_hashes, word_spans
+from .blocks import LOWER, blocks, mixed, word_hashes, word_spans
 from .langid import fold
 from .scratch import Scratch
-from .text_sql import masked, unit_hash, unmasked
-
-BITS = 6
-SYMBOLS = 1 << BITS
-ESCAPE, END = 62, 63
-#: Symbols that the contexts look back; the last context is the word so far.
-ORDERS = (2, 4, 5)
-INPUTS, GATES = len(ORDERS) + 1, 1 << len(ORDERS)
-#: Bits of a context below its number: symbols as they are, a word as a fingerprint.
-KEY_BITS = 56
-#: Counts become logits in a working table of this many rows, SYMBOLS wide, with a share for each context.
-FIRST_ROW = np.arange(INPUTS + 1) << 11
-#: Logits are held as whole numbers, so many to the unit.
-STEPS = 1000
-#: Bytes of text that share a group, and groups for each bucket of contexts.
-GROUP_BYTES, GROUPS_PER_BUCKET = 1 << 23, 1
-COMMON_WORDS = 1 << 18
-#: Bits whose prediction is corrected together, at first and at most.
-FIRST_BLOCK, LAST_BLOCK = 512, 1 << 14
-LEARNING_RATE = 0.3
-
-
-# --- words ---------------------------------------------------------------------------------
+from .text_sql import masked, unmasked
 
+#: Bits of a symbol's number; and how many words have one (two numbers are the end's and the escape's).
+SYMBOL_BITS = 18
+COMMON_WORDS = (1 << SYMBOL_BITS) - 2
+#: Code bits are held from the highest of so many.
+CODE_BITS = 48
+#: Symbols of a group (of whole texts), tokens between two refinements of the weights, texts' bytes of a block.
+GROUP_TOKENS, LEARN_TOKENS, TEXT_BLOCK = 3 << 19, 1 << 16, 1 << 20
+#: Steps to the unit of a stored logit.
+STEPS = 4
+#: Added to both sides of a count.
+PRIOR = 0.04
+#: Gates tell this many code bits apart.
+DEPTHS = 16
+DAMPING, DECAY = 30.0, 0.98
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n): kind 0 counts words by hash, kind 1 bytes by value."""
-    held: list = []
-    byte_counts = np.zeros(256, np.int64)
 
-    def out() -> pa.RecordBatch:
-        keys = np.concatenate([k for k, _ in held])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], np.concatenate([n for _, n in held])[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        keys, counts = keys[first], np.add.reduceat(counts, first)
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["kind", "key", "n"])
+# --- small helpers -------------------------------------------------------------------------
 
-    size = 0
-    for b in blocks(batches):
-        low = LOWER[b.data]
-        starts, ends, _ = word_spans(low, b.offsets)
-        byte_counts += np.bincount(low, minlength=256)
-        if len(starts):
-            held.append(np.unique(word_hashes(low, starts, ends), return_counts=True))
-            size += len(held[-1][0])
-        if size > 1_500_000:
-            yield out()
-            held, size = [], 0
-    if held:
-        yield out()
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(256, np.int32)), pa.array(np.arange(256)), pa.array(byte_counts)], names=["kind", "key", "n"])
-
-
-# --- symbols and contexts ------------------------------------------------------------------
-
-
-def symbol_table(byte_counts: dict[int, int]) -> np.ndarray:
-    """byte -> symbol: the space is 0, then bytes by falling count."""
-    solid = sorted((v for v in range(256) if not SPACE[v]), key=lambda v: (-byte_counts.get(v, 0), v))
-    table = np.full(256, ESCAPE, np.uint8)
-    table[solid[: ESCAPE - 1]] = np.arange(1, ESCAPE)
-    table[32] = 0
-    return table
-
-
-def sequences(b: Block, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of the texts end to end, where each begins, and where the word (or gap) of each place begins."""
-    low = LOWER[b.data]
-    starts, ends, first = word_spans(low, b.offsets)
-    n_words = np.diff(first)
-    solid = low[~SPACE[low]]
-    own = table[solid]
-    rare = own == ESCAPE
-    # Where each byte begins among the symbols: an escaped byte has two more.
-    at = np.concatenate([[0], np.cumsum(1 + 2 * rare.astype(np.int64))])
-    edge = at[np.concatenate([[0], np.cumsum(ends - starts)])]
-    length = np.diff(edge)
-    empty = n_words == 0
-    # One place for each byte of a word, one after each word, one for a text without words.
-    doc_of_word = np.repeat(np.arange(len(n_words)), n_words)
-    before = np.concatenate([[0], np.cumsum(empty)])[doc_of_word]
-    word_at = np.concatenate([[0], np.cumsum(length + 1)[:-1]]) + before if len(starts) else np.zeros(0, np.int64)
-    total = int((length + 1).sum() + empty.sum())
-    out, word_start = np.zeros(total, np.uint8), np.arange(total)
-    inside = np.repeat(word_at - edge[:-1], length) + np.arange(at[-1])
-    place = inside[at[:-1]]
-    out[place] = own
-    out[place[rare] + 1], out[place[rare] + 2] = solid[rare] >> 4, solid[rare] & 15
-    word_start[inside] = np.repeat(word_at, length)
-    word_start[word_at + length] = word_at
-    size = np.bincount(doc_of_word, weights=length + 1, minlength=len(n_words)).astype(np.int64) + empty
-    begin = np.concatenate([[0], np.cumsum(size)])
-    out[begin[1:] - 1] = END
-    return out, begin, word_start
-
-
-def halves(symbols: np.ndarray) -> np.ndarray:
-    """Which symbols are the half bytes behind an escape; their first two bits are always 0 and cost nothing."""
-    escape, out = symbols == ESCAPE, np.zeros(len(symbols), bool)
-    out[1:] |= escape[:-1]
-    out[2:] |= escape[:-2]
-    return out
-
-
-def contexts(symbols: np.ndarray, begin: np.ndarray, word_start: np.ndarray) -> list[np.ndarray]:
-    """The key of each context at each place, its number on top."""
-    n = len(symbols)
-    place = np.arange(n) - np.repeat(begin[:-1], np.diff(begin))
-    past, back, out = np.zeros(n, np.uint64), 0, []
-    told = symbols + halves(symbols).astype(np.uint64) * np.uint64(SYMBOLS)
-    for k, order in enumerate(ORDERS):
-        while back < order:
-            back += 1
-            p = np.full(n, END, np.uint64)
-            p[back:] = told[: max(0, n - back)]
-            p[place < back] = END
-            past = past << np.uint64(BITS + 1) | p
-        out.append(past | np.uint64(k << KEY_BITS))
-    word = Spans(told + np.uint64(1), 1).of(word_start, np.arange(n))
-    return [*out, word >> np.uint64(64 - KEY_BITS) | np.uint64(len(ORDERS) << KEY_BITS)]
-
-
-def pairs(symbols: np.ndarray, begin: np.ndarray, word_start: np.ndarray) -> list[np.ndarray]:
-    """Context and symbol at each place as one number, for each context."""
-    return [c << np.uint64(BITS) | symbols for c in contexts(symbols, begin, word_start)]
+
+def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ..., start[0] + length[0] - 1, start[1], ..."""
+    return np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -176,365 +78,516 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
-def packed_codes(x: np.ndarray) -> bytes:
-    """Codes in order, as steps."""
+def packed_keys(x: np.ndarray) -> bytes:
+    """Rising numbers, as steps."""
     return packed(np.diff(x, prepend=np.zeros(1, np.uint64)))
 
 
-def unpacked_codes(data: bytes) -> np.ndarray:
+def unpacked_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
 
 
-def packed_paths(x: np.ndarray) -> bytes:
-    """Rows of logits as the distinct ones (how many comes first) and their numbers: most contexts have one symbol and few counts."""
-    wide = np.zeros((len(x), 8), np.int16)
-    wide[:, :BITS] = x
-    half = wide.view(np.uint64)
-    with np.errstate(over="ignore"):
-        _, first, back = np.unique(mixed(half[:, 0].copy()) + half[:, 1], return_index=True, return_inverse=True)
-    return np.int64(len(first)).tobytes() + x[first].tobytes() + packed(back.astype(np.uint32))
+def steps(right: np.ndarray, wrong: np.ndarray) -> np.ndarray:
+    """The logit of being right from counts, in STEPS to the unit; 0 stands for nothing seen, or as much on either side."""
+    t = np.log((right.astype(np.float32) + np.float32(PRIOR)) / (wrong.astype(np.float32) + np.float32(PRIOR)))
+    out = np.rint(np.clip(t, -15, 15) * STEPS).astype(np.int8)
+    return np.where(out == 0, np.sign(right - wrong), out).astype(np.int8)
 
 
-def unpacked_paths(data: bytes) -> np.ndarray:
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    return np.frombuffer(data, np.int16, n * BITS, 8).reshape(n, BITS)[unpacked(data[8 + 2 * BITS * n :], np.uint32)]
+# --- words, their letters and their code ---------------------------------------------------
 
 
-def _merged(codes: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct codes in order, with their sums."""
-    if not codes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    every = np.concatenate(codes)
-    order = np.argsort(every, kind="stable")
-    every, n = every[order], np.concatenate(n)[order]
-    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-    return every[first], np.add.reduceat(n, first) if len(every) else n
+def spell(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of words, each with a space behind it; one byte before, two before; and the word of each place."""
+    size = ends - starts + 1
+    at = np.cumsum(size) - size
+    out = np.full(int(size.sum()), 32, np.uint8)
+    out[ragged(at, size - 1)] = data[ragged(starts, size - 1)]
+    one, two = np.full_like(out, 32), np.full_like(out, 32)
+    one[1:] = out[:-1]
+    two[2:] = out[:-2]
+    two[at] = 32
+    return out, one, two, np.repeat(np.arange(len(size)), size)
 
 
-def _tallied(symbol_of: np.ndarray, buckets: int):
-    """The pairs of a group by bucket of contexts, with their counts in training texts (0: only asked for); those of a text that
-    weights are learned on once more, as a group below zero."""
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, key, n): kind 0 counts words by hash, kind 1 three bytes in a row over the distinct words of each block."""
 
-    def run(t: pa.Table) -> pa.Table:
-        group = t.column("grp")[0].as_py()
-        codes, counts, alone = [], [], {}
-        for b in blocks(t.select(["doc_id", "text", "train", "sample"]).to_batches(), 1 << 18):
-            train, sample = (b.batch.column(c).to_numpy(zero_copy_only=False)[b.rows] for c in ("train", "sample"))
-            symbols, begin, word_start = sequences(b, symbol_of)
-            learned = np.repeat(train, np.diff(begin))
-            for c in pairs(symbols, begin, word_start):
-                for i in np.flatnonzero(sample >= 0):
-                    alone.setdefault(-1 - int(sample[i]), []).append(c[begin[i] : begin[i + 1]])
-                own, n = np.unique(c[learned], return_counts=True)
-                asked = np.unique(c[~learned])
-                codes += [own, asked]
-                counts += [n, np.zeros(len(asked), np.int64)]
-            if sum(map(len, codes)) > 2_500_000:
-                codes, counts = ([x] for x in _merged(codes, counts))
-        out = [(group, *_merged(codes, counts))] + [(g, *np.unique(np.concatenate(c), return_counts=True)) for g, c in alone.items()]
-        rows = []
-        for g, own, n in out:
-            bucket = (mixed(own >> np.uint64(BITS)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket, own, n = bucket[order], own[order], n[order].astype(np.uint32)
-            for part in np.split(np.arange(len(own)), np.flatnonzero(bucket[1:] != bucket[:-1]) + 1):
-                if len(part):
-                    rows.append((bucket[part[0]], g, packed_codes(own[part]), packed(n[part])))
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "grp": pa.array([r[1] for r in rows], pa.int32()), "codes": pa.array([r[2] for r in rows], pa.binary()), "n": pa.array([r[3] for r in rows], pa.binary())})
+    def out(kind: int, held: list) -> pa.RecordBatch:
+        keys = np.concatenate([k for k, _ in held])
+        order = np.argsort(keys)
+        keys, counts = keys[order], np.concatenate([n for _, n in held])[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), kind, np.int32)), pa.array(keys[first].view(np.int64)), pa.array(np.add.reduceat(counts, first))], names=["kind", "key", "n"])
 
-    return run
+    words: list = []
+    letters: list = []
+    size = 0
+    for b in blocks(batches):
+        low = LOWER[b.data]
+        starts, ends, _ = word_spans(low, b.offsets)
+        if not len(starts):
+            continue
+        own, at, n = np.unique(word_hashes(low, starts, ends), return_index=True, return_counts=True)
+        words.append((own, n))
+        c, one, two, _ = spell(low, starts[at], ends[at])
+        three, m = np.unique(two.astype(np.uint32) << np.uint32(16) | one.astype(np.uint32) << np.uint32(8) | c, return_counts=True)
+        letters.append((three.astype(np.uint64), m))
+        size += len(own) + len(three)
+        if size > 1_500_000:
+            yield out(0, words)
+            yield out(1, letters)
+            words, letters, size = [], [], 0
+    if words:
+        yield out(0, words)
+        yield out(1, letters)
+
+
+def letter_logits(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From counts of three bytes in a row: the row of each pair of bytes (-1: unseen), logits by row and node, and logits by one byte and node."""
+    pair = (keys >> 8).astype(np.int64)
+    seen = np.unique(pair)
+    row = np.full(1 << 16, -1, np.int32)
+    row[seen] = np.arange(len(seen))
+    two = np.zeros((len(seen) + 1, 256))
+    np.add.at(two, (row[pair], keys & 255), n)
+    one = np.zeros((256, 256))
+    np.add.at(one, (pair & 255, keys & 255), n)
+    out = []
+    for counts in (two, one):
+        t = np.zeros(counts.shape, np.float32)
+        for level in range(8):
+            x = counts.reshape(len(counts), 1 << level, 2, -1).sum(axis=3)
+            own = np.log((x[:, :, 1] + 0.4) / (x[:, :, 0] + 0.4))
+            t[:, 1 << level : 2 << level] = np.where(x.sum(axis=2) > 0, own, 0)
+        out.append(np.clip(t, -12, 12).reshape(-1))
+    return row, out[0], out[1]
+
+
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Lengths of a Huffman code for counts that rise."""
+    n = len(counts)
+    if n < 2:
+        return np.ones(n, np.int64)
+    weight, parent = [*counts.tolist(), *[0] * (n - 1)], [0] * (2 * n - 1)
+    leaf, node = 0, n
+    for k in range(n, 2 * n - 1):
+        total = 0
+        for _ in range(2):
+            if node >= k or leaf < n and weight[leaf] <= weight[node]:
+                one, leaf = leaf, leaf + 1
+            else:
+                one, node = node, node + 1
+            total += weight[one]
+            parent[one] = k
+        weight[k] = total
+    depth = [0] * (2 * n - 1)
+    for k in range(2 * n - 3, -1, -1):
+        depth[k] = depth[parent[k]] + 1
+    return np.array(depth[:n])
+
+
+class Code:
+    """Symbols by rising code: their lengths, codes and counts, the logits without context; and the symbol of each common word."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, end: int, rest: int):
+        """words (hashes, rising) with their counts, how many ends there are, and words without a symbol."""
+        n = np.concatenate([counts, [end, rest]]).astype(np.int64)
+        # Counts far below the total are raised, which bounds the length of a code.
+        weight = np.maximum(n, max(1, int(n.sum()) >> 30))
+        rising = np.lexsort((np.arange(len(n)), weight))
+        length = np.empty(len(n), np.int64)
+        length[rising] = code_lengths(weight[rising])
+        order = np.lexsort((np.arange(len(n)), length))
+        symbol = np.empty(len(n), np.uint32)
+        symbol[order] = np.arange(len(n))
+        self.words, self.word_counts, self.word_symbols = words, counts.astype(np.int64), symbol[:-2]
+        self.end, self.escape = int(symbol[-2]), int(symbol[-1])
+        self.lengths = length[order].astype(np.uint8)
+        size = np.uint64(1) << (CODE_BITS - length[order]).astype(np.uint64)
+        self.codes = np.cumsum(size) - size
+        full, less = path_logits(np.zeros(1, np.int64), self.codes, self.lengths.astype(np.int64), n[order])
+        #: Logits without context: those of training tokens come first, then those of held-out ones.
+        self.plain = np.concatenate([less, full])
+        self.begin = np.cumsum(length[order]) - length[order]
+
+
+def path_logits(first: np.ndarray, code: np.ndarray, length: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits (as steps) of being right on the way to each symbol, pair by pair, bit by bit; and the same without one of its occurrences.
+
+    Pairs of a context lie together from ``first`` on, by rising code.
+    """
+    begin = np.cumsum(length) - length
+    full = np.zeros(int(length.sum()), np.int8)
+    less = np.zeros_like(full)
+    if not len(n):
+        return full, less
+    new = np.zeros(len(n), bool)
+    new[first] = True
+    above = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(n))))
+    at = begin
+    for level in range(1, int(length.max()) + 1):
+        prefix = code >> np.uint64(CODE_BITS - level)
+        edge = new.copy()
+        edge[1:] |= prefix[1:] != prefix[:-1]
+        starts = np.flatnonzero(edge)
+        own = np.repeat(np.add.reduceat(n, starts), np.diff(np.append(starts, len(n))))
+        wrong = above - own
+        full[at + level - 1] = steps(own, wrong)
+        less[at + level - 1] = steps(np.maximum(own - 1, 0), wrong)
+        # Symbols that end here leave; no other symbol lies under their node.
+        stay = length > level
+        head = np.cumsum(new) - 1
+        code, length, n, above, at, head = (x[stay] for x in (code, length, n, own, at, head))
+        if not len(n):
+            break
+        new = np.concatenate([[True], head[1:] != head[:-1]])
+    return full, less
 
 
-def paths(row: np.ndarray, symbols: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The logits on the way to the symbol of each pair, from all pairs (rows from 0 and rising) and their counts."""
-    out, width = np.zeros((len(row), BITS), np.int16), int(FIRST_ROW[-1])
-    last = int(row[-1]) + 1 if len(row) else 0
-    for k in range(0, last, width):
-        a, b = np.searchsorted(row, [k, k + width])
-        at, own = row[a:b] - k, symbols[a:b]
-        counts = np.zeros((min(width, last - k), SYMBOLS), np.float32)
-        counts[at, own] = n[a:b]
-        table = logits(counts)
-        for level in range(BITS):
-            out[a:b, level] = table.take(at * SYMBOLS + node(own, level))
-    return out
-
-
-def sided(codes: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Logits of the bits turned into logits of being right about the pair's symbol, or back."""
-    bits = (codes & np.uint64(SYMBOLS - 1)).astype(np.int64)[:, None] >> np.arange(BITS)[::-1] & 1
-    return np.where(bits, x, -x).astype(np.int16)
-
-
-def _rows(codes: np.ndarray) -> np.ndarray:
-    """Numbers the contexts of ordered codes."""
-    key = codes >> np.uint64(BITS)
-    return np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if len(codes) else np.zeros(0, np.int64)
-
-
-def _answered(t: pa.Table) -> pa.Table:
-    """What each group asked of a bucket: its pairs and their logits; pairs of unseen contexts are left out."""
-    groups = t.column("grp").to_pylist()
-    codes = [unpacked_codes(x.as_py()) for x in t.column("codes")]
-    counts = [unpacked(x.as_py(), np.uint32).astype(np.int64) for x in t.column("n")]
-    shared = [i for i, g in enumerate(groups) if g >= 0]
-    every, total = _merged([codes[i] for i in shared], [counts[i] for i in shared])
-    row, symbols = _rows(every), (every & np.uint64(SYMBOLS - 1)).astype(np.int64)
-    first = np.searchsorted(row, np.arange(row[-1] + 2)) if len(row) else np.zeros(1, np.int64)
-    found, out = paths(row, symbols, total), []
-    for g, own, n in zip(groups, codes, counts, strict=True):
-        at = np.searchsorted(every, own)
-        if g >= 0:
-            p = found[at]
-        else:
-            # All pairs of the text's contexts, without the text itself.
-            r = np.unique(row[at])
-            size = first[r + 1] - first[r]
-            near = np.repeat(first[r] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            left, mine = total[near], np.searchsorted(near, at)
-            left[mine] -= n
-            p = paths(np.repeat(np.arange(len(r)), size), symbols[near], left)[mine]
-        seen = p.any(axis=1)
-        out.append((g, packed_codes(own[seen]), packed_paths(sided(own[seen], p[seen]))))
-    return pa.table({"grp": pa.array([r[0] for r in out], pa.int32()), "codes": pa.array([r[1] for r in out], pa.binary()), "paths": pa.array([r[2] for r in out], pa.binary())})
-
-
-def logits(counts: np.ndarray) -> np.ndarray:
-    """The logit of each bit of each context, in STEPS to the unit: node 1 is the first bit, nodes 2 and 3 the second, and so on. 0 is unseen."""
-    rows = counts.reshape(-1, SYMBOLS)
-    out = np.zeros(rows.shape, np.int16)
-    for k in range(0, len(rows), 1 << 14):
-        own = rows[k : k + (1 << 14)].astype(np.float32)
-        for level in range(BITS):
-            n = own.reshape(len(own), 1 << level, 2, -1).sum(axis=3)
-            x = np.rint(np.clip(np.log((n[:, :, 1] + 0.04) / (n[:, :, 0] + 0.04)), -12, 12) * STEPS)
-            out[k : k + (1 << 14), 1 << level : 2 << level] = x + ((x == 0) & (n[:, :, 0] > 0))
-    return out.reshape(-1)
-
-
-class Model:
-    """The logits of the pairs that a group asked for."""
-
-    def __init__(self, codes: list[bytes], values: list[bytes]):
-        own = np.concatenate([np.zeros(0, np.uint64), *map(unpacked_codes, codes)])
-        order = np.argsort(own)
-        self.codes = own[order]
-        # The last row stands for contexts that no training text has.
-        self.values = np.concatenate([np.concatenate([np.zeros((0, BITS), np.int16), *map(unpacked_paths, values)])[order], np.zeros((1, BITS), np.int16)])
+# --- mixing --------------------------------------------------------------------------------
 
-        self.values[:-1] = sided(self.codes, self.values[:-1])
 
-    def rows(self, code: np.ndarray) -> np.ndarray:
-        own, back = np.unique(code, return_inverse=True)
-        at = np.searchsorted(self.codes, own)
-        hit = at < len(self.codes)
-        hit[hit] = self.codes[at[hit]] == own[hit]
-        return np.where(hit, at, len(self.codes))[back]
+class Mixer:
+    """Weights by gate and input. Inputs are logits of the bit that came; so a cost is ln(1 + e^-z), and weights rise with inputs that were right."""
 
-    def inputs(self, rows: list[np.ndarray]) -> list[np.ndarray]:
-        """For each context, the logits by level and place."""
-        return [np.ascontiguousarray(self.values.take(r, axis=0).T, dtype=np.float32) * np.float32(1 / STEPS) for r in rows]
+    def __init__(self, gates: int, start: list[float]):
+        self.w = np.tile(np.array(start, np.float32)[:, None], gates)
+        self.slope, self.curve = np.zeros(self.w.shape), np.full(self.w.shape, DAMPING)
 
+    def cost(self, t: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        """Natural-log costs of bits."""
+        z = np.zeros(len(gate), np.float32)
+        size = np.zeros(len(gate), np.float32)
+        for w, x in zip(self.w, t, strict=True):
+            z += w.take(gate) * x
+            size += np.abs(x)
+        e = np.exp(-np.clip(z, -40, 40))
+        wrong = e / (1 + e)
+        size *= wrong
+        size *= 1 - wrong
+        for i, x in enumerate(t):
+            self.slope[i] += np.bincount(gate, wrong * x, self.w.shape[1])
+            self.curve[i] += np.bincount(gate, size * np.abs(x), self.w.shape[1])
+        return np.log1p(e)
 
-# --- mixing --------------------------------------------------------------------------------
+    def learn(self) -> None:
+        """Refines the weights by what was coded since the last time: damped steps, shorter as more is known."""
+        self.w += (self.slope / self.curve).astype(np.float32)
+        self.slope[:] = 0
+        self.curve = DAMPING + (self.curve - DAMPING) * DECAY
 
 
-def gates(level: int, s: list[np.ndarray]) -> np.ndarray:
-    out = np.full(len(s[0]), level * GATES, np.uint8)
-    for k, x in enumerate(s[1:]):
-        out += (x != 0).view(np.uint8) << np.uint8(k)
-    return out.astype(np.int64)
+class Speller:
+    """Costs of words spelled byte by byte."""
 
+    def __init__(self, letters: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        self.row, self.two, self.one = letters
+        self.mixer = Mixer(16, [0.3, 0.7])
 
-def node(symbols: np.ndarray, level: int) -> np.ndarray:
-    return (1 << level) | (symbols >> (BITS - level)).astype(np.int64)
+    def costs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        c, one, two, word = spell(data, starts, ends)
+        rows = self.row[two.astype(np.int32) << 8 | one].astype(np.int64)
+        rows[rows < 0] = len(self.two) // 256 - 1  # the last row is empty
+        total = np.zeros(len(c), np.float32)
+        for level in range(8):
+            node = 1 << level | c >> np.uint8(8 - level) if level else np.ones(len(c), np.int64)
+            side = ((c >> np.uint8(7 - level) & 1).astype(np.float32) * 2) - 1
+            t = [self.one.take(one.astype(np.int64) << 8 | node) * side, self.two.take(rows << 8 | node) * side]
+            total += self.mixer.cost(t, level * 2 + (t[1] != 0))
+        self.mixer.learn()
+        return np.bincount(word, total, len(starts))
 
 
-def bit_of(symbols: np.ndarray, level: int) -> np.ndarray:
-    return ((symbols >> (BITS - 1 - level)) & 1).astype(np.float32)
+# --- texts to symbols ----------------------------------------------------------------------
 
 
-def bit_inputs(table: np.ndarray, ctx: list[np.ndarray], symbols: np.ndarray, level: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Inputs and bit from a table of whole contexts."""
-    at = node(symbols, level)
-    return [table.take(c * SYMBOLS + at).astype(np.float32) * np.float32(1 / STEPS) for c in ctx], bit_of(symbols, level)
+CODED = "kind int, row long, doc_id long, held boolean, word long, times long, n_tokens long, known long, base double, spelled double, symbols binary, sizes binary, helds binary"
+CODED_SCHEMA = pa.schema([(c, {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}[k]) for c, k in map(str.split, CODED.split(", "))])
 
 
-def start_weights() -> np.ndarray:
-    return np.full((BITS * GATES, INPUTS), 1.05 / INPUTS, np.float32)
+def _rows(n: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in CODED_SCHEMA], schema=CODED_SCHEMA)
 
 
-def learn_weights(texts: list[tuple[bytes, Model]], symbol_of: np.ndarray, step: int = 2048) -> np.ndarray:
-    """Weights by gate, refined online over the texts (each with a model without it), a few symbols at a time."""
-    w, seen = start_weights(), np.full(BITS * GATES, 1.0)
-    for text, model in texts:
-        data = np.frombuffer(text, np.uint8)
-        one = Block(np.zeros(1, np.int64), data, np.array([0, len(data)]), slice(0, 1), None)
-        symbols, begin, word_start = sequences(one, symbol_of)
-        rows, half = [model.rows(c) for c in pairs(symbols, begin, word_start)], halves(symbols)
-        for k in range(0, len(symbols), step):
-            part, held = symbols[k : k + step], model.inputs([r[k : k + step] for r in rows])
-            for level in range(BITS):
-                s, bit = [x[level] for x in held], bit_of(part, level)
-                g = gates(level, s)
-                free = half[k : k + step] & (level < 2)
-                z = sum(w[g, i] * s[i] for i in range(INPUTS))
-                error = bit - 1 / (1 + np.exp(-z))
-                for gate in np.unique(g[~free]):
-                    own = (g == gate) & ~free
-                    seen[gate] += own.sum()
-                    x = np.stack([v[own] for v in s])
-                    # A damped Newton step: the curvature of these bits tells how far to go.
-                    p = 1 / (1 + np.exp(-z[own]))
-                    curve = (x * (p * (1 - p))) @ x.T + np.eye(INPUTS) * (0.02 * seen[gate] + 20.0)
-                    w[gate] += np.linalg.solve(curve, x @ error[own]).astype(np.float32)
-    return w
+def _coded(shared, group_tokens: int):
+    """Kind 0: a row per text, with what the common words give to the base score and what spelling costs (times: its bytes).
+    Kind 1: a row per text and word that is not common. Kind 2: a row per group; its texts' rows follow each other from ``row`` on.
+    """
 
+    def group(row: int, held: list) -> pa.RecordBatch:
+        symbols, sizes, helds = (np.concatenate(x) for x in zip(*held, strict=True))
+        return _rows(1, kind=[2], row=[row], symbols=[packed(symbols)], sizes=[packed(sizes.astype(np.uint32))], helds=[helds.astype(np.uint8).tobytes()])
 
-class Scorer:
-    def __init__(self, model: Model, w: np.ndarray, symbol_of: np.ndarray):
-        self.model, self.w, self.symbol_of = model, np.ascontiguousarray(w.T), symbol_of
-
-    def score(self, b: Block) -> np.ndarray:
-        """log10 probability of each text of the block."""
-        symbols, begin, word_start = sequences(b, self.symbol_of)
-        rows, half = [self.model.rows(c) for c in pairs(symbols, begin, word_start)], halves(symbols)
-        docs, size = len(b.doc_id), np.diff(begin)
-        out = np.zeros(docs)
-        own = np.zeros((docs, INPUTS), np.float32)
-        at, width = 0, FIRST_BLOCK
-        alive = np.arange(docs)
-        while len(alive):
-            take = np.minimum(size[alive] - at, width)
-            edge = np.concatenate([[0], np.cumsum(take)[:-1]])
-            place = np.repeat(begin[alive] + at - edge, take) + np.arange(take.sum())
-            part, here = symbols[place], self.model.inputs([r[place] for r in rows])
-            extra = [np.repeat(own[alive, i], take) for i in range(INPUTS)] if at else []
-            slope, curve = np.zeros((len(alive), INPUTS)), np.zeros((len(alive), INPUTS))
-            for level in range(BITS):
-                s, bit = [x[level] for x in here], bit_of(part, level)
-                g = gates(level, s)
-                z = np.zeros(len(g), np.float32)
-                for i in range(INPUTS):
-                    w = self.w[i].take(g)
-                    if at:
-                        w += extra[i]
-                    w *= s[i]
-                    z += w
-                p = 1 / (1 + np.exp(-z))
-                right = np.where(bit > 0, p, 1 - p)
-                free = np.flatnonzero(half[place]) if level < 2 else []
-                right[free] = 1
-                out[alive] += np.add.reduceat(np.log(np.maximum(right, 1e-6)), edge, dtype=np.float64)
-                error, spread = bit - p, p * (1 - p)
-                error[free] = spread[free] = 0
-                for i in range(INPUTS):
-                    slope[:, i] += np.add.reduceat(error * s[i], edge)
-                    curve[:, i] += np.add.reduceat(spread * s[i] * s[i], edge)
-            own[alive] += (LEARNING_RATE * slope / (curve.sum(axis=1, keepdims=True) + 200.0)).astype(np.float32)
-            at += width
-            width = min(2 * width, LAST_BLOCK)
-            alive = alive[size[alive] > at]
-        return out / np.log(10)
-
-
-PART = "doc_id long, word long, times long, n_tokens long, known long, base double, score double"
-PART_SCHEMA = pa.schema([(x.split()[0], pa.float64() if x.endswith("double") else pa.int64()) for x in PART.split(", ")])
-
-
-def _scored(shared):
-    """A row per text (word is null, times its bytes) with what the common words give, and a row per text and rarer word."""
-
-    def run(texts: pa.Table, model: pa.Table) -> pa.Table:
-        words, counts, end_count, total, weights, symbol_of = shared.value
-        scorer = Scorer(Model(model.column("codes").to_pylist(), model.column("paths").to_pylist()), weights, symbol_of)
-        return pa.Table.from_batches(scored(texts.select(["doc_id", "text"]).to_batches(), words, counts, end_count, total, scorer), PART_SCHEMA)
-
-    def scored(batches: list[pa.RecordBatch], words, counts, end_count, total, scorer: Scorer) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, 1 << 18):
-            n = len(b.doc_id)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        words, counts, of_word, end, escape, end_count, share, letters = shared.value
+        speller = Speller(letters)
+        row = first_row = TaskContext.get().partitionId() << 40
+        held: list = []
+        size = 0
+        for b in blocks(batches, TEXT_BLOCK):
+            n, out = len(b.doc_id), b.batch.column("held").to_numpy(zero_copy_only=False)[b.rows].astype(bool)
             low = LOWER[b.data]
             starts, ends, first = word_spans(low, b.offsets)
             h = word_hashes(low, starts, ends)
             at = np.searchsorted(words, h)
             common = at < len(words)
             common[common] = words[at[common]] == h[common]
-            gain = np.zeros(len(h))
-            gain[common] = np.log10(counts[at[common]] + 1.0)
-            sums = np.concatenate([[0.0], np.cumsum(gain)])
-            # Sums per text start from zero, so they don't depend on the text's neighbours.
-            has = np.flatnonzero(np.diff(first))
-            base = np.full(n, np.log10(end_count + 1.0))
-            known = np.full(n, int(end_count > 0))
-            if len(has):
-                base[has] += np.add.reduceat(gain, first[:-1][has])
-                known[has] += np.add.reduceat(common.astype(np.int64), first[:-1][has])
-            tokens = np.diff(first) + 1
-            base -= tokens * total
-            none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(b.doc_id, pa.int64()), none, pa.array(np.diff(b.offsets)), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(scorer.score(b))], schema=PART_SCHEMA)
-            doc = np.repeat(np.arange(n), np.diff(first))[~common]
-            rare = h[~common]
-            if len(rare):
-                order = np.lexsort((rare, doc))
-                doc, rare = doc[order], rare[order]
-                new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (rare[1:] != rare[:-1])]))
-                times = np.diff(np.append(new, len(doc)))
-                m = len(new)
-                yield pa.RecordBatch.from_arrays([pa.array(b.doc_id[doc[new]], pa.int64()), pa.array(rare[new].view(np.int64)), pa.array(times, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], schema=PART_SCHEMA)
+            own = np.diff(first)
+            doc = np.repeat(np.arange(n), own)
+            rare, near = ~common, at[common]
+            begin = np.cumsum(own + 1) - own - 1
+            symbols = np.full(len(h) + n, end, np.uint32)
+            place = np.arange(len(h)) + doc
+            symbols[place[common]], symbols[place[rare]] = of_word[near], escape
+            spelled = np.bincount(doc[rare], -speller.costs(low, starts[rare], ends[rare]), n) if rare.any() else np.zeros(n)
+            gain = np.zeros(len(symbols))
+            gain[place[common]] = np.log10(counts[near] + 1.0)
+            base = np.add.reduceat(gain, begin) + np.log10(end_count + 1.0) - (own + 1) * share
+            known = np.bincount(doc[common], minlength=n) + int(end_count > 0)
+            rows = row + np.arange(n)
+            yield _rows(n, kind=np.zeros(n, np.int32), row=rows, doc_id=b.doc_id, held=out, times=np.diff(b.offsets), n_tokens=own + 1, known=known, base=base, spelled=spelled / np.log(10))
+            if rare.any():
+                d, w = doc[rare], h[rare]
+                order = np.lexsort((w, d))
+                d, w = d[order], w[order]
+                new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (w[1:] != w[:-1])]))
+                yield _rows(len(new), kind=np.ones(len(new), np.int32), row=rows[d[new]], word=w[new].view(np.int64), times=np.diff(np.append(new, len(d))))
+            held.append((symbols, own + 1, out))
+            row, size = row + n, size + len(symbols)
+            if size >= group_tokens:
+                yield group(first_row, held)
+                first_row, held, size = row, [], 0
+        if held:
+            yield group(first_row, held)
+
+    return run
+
+
+# --- contexts ------------------------------------------------------------------------------
+
+_S, _ONE = np.uint64(SYMBOL_BITS), np.uint64(1)
+TWO_WORDS = np.uint64(1 << (3 * SYMBOL_BITS + 1))
+
+
+def pair_keys(symbols: np.ndarray, sizes: np.ndarray, held: np.ndarray, end: int) -> list[np.ndarray]:
+    """For the one and the two words before: context, symbol and whether the text is held out, as one number. Texts begin behind an end."""
+    s = symbols.astype(np.uint64)
+    one, two = np.full(len(s), end, np.uint64), np.full(len(s), end, np.uint64)
+    one[1:], two[2:] = s[:-1], s[:-2]
+    begin = np.cumsum(sizes) - sizes
+    one[begin] = two[begin] = end
+    two[np.minimum(begin + 1, len(s) - 1)] = end  # the place behind a begin; a text of one token has only its begin
+    out = np.repeat(held.astype(np.uint64), sizes)
+    key = (one << _S | s) << _ONE | out
+    return [key, key | two << (_S + _S + _ONE) | TWO_WORDS]
+
+
+def _group_texts(t) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return unpacked(t["symbols"], np.uint32), unpacked(t["sizes"], np.uint32).astype(np.int64), np.frombuffer(t["helds"], np.uint8)
+
+
+def _asked(end: int, buckets: int):
+    """A group's pairs by bucket of contexts, with their counts in training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.to_pylist():
+                key, n = np.unique(np.concatenate(pair_keys(*_group_texts(t), end)), return_counts=True)
+                n[(key & _ONE) > 0] = 0
+                bucket = (mixed(key >> (_S + _ONE)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+                order = np.argsort(bucket, kind="stable")
+                bucket, key, n = bucket[order], key[order], n[order].astype(np.uint32)
+                first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                last = np.append(first[1:], len(key))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[first].astype(np.int32)), pa.array(np.full(len(first), t["row"], np.int64)), pa.array([packed_keys(key[a:b]) for a, b in zip(first, last, strict=True)], pa.binary()),
+                     pa.array([packed(n[a:b]) for a, b in zip(first, last, strict=True)], pa.binary())],
+                    names=["bucket", "grp", "keys", "n"],
+                )
 
     return run
 
 
-def score_documents(docs: DataFrame, held_out_fold: int = 2, of: int = 7, common: int = COMMON_WORDS, weight_docs: int = 256) -> DataFrame:
+ANSWER = "grp long, keys binary, logits binary"
+
+
+def _answered(shared):
+    """What a bucket knows about each group's pairs; pairs whose context nobody else has seen are left out."""
+
+    def run(t: pa.Table) -> pa.Table:
+        codes, lengths = shared.value
+        groups = t.column("grp").to_pylist()
+        keys = [unpacked_keys(x.as_py()) for x in t.column("keys")]
+        n = np.concatenate([unpacked(x.as_py(), np.uint32) for x in t.column("n")]).astype(np.int64)
+        sizes = np.array([len(k) for k in keys])
+        every = np.concatenate(keys)
+        del keys
+        order = np.argsort(every)
+        pair, sorted_n = every[order] >> _ONE, n[order]
+        new = np.concatenate([[True], pair[1:] != pair[:-1]])
+        first = np.flatnonzero(new)
+        at = np.empty(len(every), np.int64)
+        at[order] = np.cumsum(new) - 1
+        pair, total = pair[first], np.add.reduceat(sorted_n, first)
+        del sorted_n, order, new, first
+        context = pair >> _S
+        head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        seen = np.repeat(np.add.reduceat(total, head), np.diff(np.append(head, len(pair))))
+        # An own occurrence is no knowledge; what nobody else has seen needs no logits.
+        out = (every & _ONE) > 0
+        answered = seen[at] - ~out > 0
+        needed = np.zeros(len(pair), bool)
+        needed[at[answered]] = True
+        of_context = np.zeros(len(head), bool)
+        of_context[np.searchsorted(head, np.flatnonzero(needed), "right") - 1] = True
+        keep = np.repeat(of_context, np.diff(np.append(head, len(pair))))
+        symbol = (pair[keep] & ((_ONE << _S) - _ONE)).astype(np.int64)
+        context = context[keep]
+        head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
+        length = lengths[symbol].astype(np.int64)
+        full, less = path_logits(head, codes[symbol], length, total[keep])
+        begin, place = np.cumsum(length) - length, np.cumsum(keep) - 1
+        rows, a = [], 0
+        for g, size in zip(groups, sizes.tolist(), strict=True):
+            own = np.arange(a, a + size)[answered[a : a + size]]
+            a += size
+            if len(own):
+                p = place[at[own]]
+                i = ragged(begin[p], length[p])
+                rows.append((g, packed_keys(every[own]), np.where(np.repeat(out[own], length[p]), full[i], less[i]).tobytes()))
+        return pa.table({"grp": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()), "logits": pa.array([r[2] for r in rows], pa.binary())})
+
+    return run
+
+
+# --- scoring -------------------------------------------------------------------------------
+
+#: A stored step as a logit, and how much it says: nothing, a little, much.
+LOGIT = np.arange(256, dtype=np.uint8).view(np.int8).astype(np.float32) / STEPS
+SAYS = np.where(LOGIT == 0, 0, np.where(np.abs(LOGIT) < 4, 1, 2)).astype(np.int64)
+
+
+class Scorer:
+    """Costs of the tokens of a group, with weights refined from one run of tokens to the next."""
+
+    def __init__(self, plain: np.ndarray, begin: np.ndarray, lengths: np.ndarray, logits: np.ndarray):
+        self.plain, self.begin, self.lengths, self.logits = plain.view(np.uint8), begin, lengths, logits.view(np.uint8)
+        self.mixer = Mixer(DEPTHS * 9, [0.6, 0.4, 0.6])
+
+    def run(self, symbols: np.ndarray, held: np.ndarray, where: list[np.ndarray]) -> np.ndarray:
+        """where: of each longer context, where a token's logits begin."""
+        length = self.lengths[symbols]
+        order = np.argsort(~length, kind="stable")  # longest first: a bit's tokens are then a slice
+        many = len(order) - np.searchsorted(np.sort(length), np.arange(int(length.max())), "right")
+        at = self.begin[symbols][order] + held[order].astype(np.int64) * (len(self.plain) // 2)
+        one, two = (x[order] for x in where)
+        cost = np.zeros(len(order), np.float32)
+        for level, m in enumerate(many.tolist()):
+            a, b = self.logits.take(one[:m] + level), self.logits.take(two[:m] + level)
+            t = [LOGIT.take(self.plain.take(at[:m] + level)), LOGIT.take(a), LOGIT.take(b)]
+            gate = SAYS.take(a) * 3
+            gate += SAYS.take(b)
+            gate += min(level, DEPTHS - 1) * 9
+            cost[:m] += self.mixer.cost(t, gate)
+        out = np.empty_like(cost)
+        out[order] = cost
+        return out
+
+
+def token_costs(symbols: np.ndarray, sizes: np.ndarray, held: np.ndarray, end: int, keys: np.ndarray, logits: np.ndarray, code: tuple, learn_tokens: int) -> np.ndarray:
+    """Natural-log cost of each token of a group. keys (rising) and logits are what the buckets answered."""
+    plain, begin, lengths = code
+    size = lengths[((keys >> _ONE) & ((_ONE << _S) - _ONE)).astype(np.int64)].astype(np.int64)
+    # A token whose context is unknown reads zeros, which stand in front.
+    pad = int(lengths.max())
+    starts = np.concatenate([pad + np.cumsum(size) - size, [0]])
+    where = []
+    for own in pair_keys(symbols, sizes, held, end):
+        order = np.argsort(own)
+        found = np.searchsorted(keys, own[order])
+        hit = found < len(keys)
+        hit[hit] = keys[found[hit]] == own[order][hit]
+        at = np.empty(len(own), np.int64)
+        at[order] = starts[np.where(hit, found, len(keys))]
+        where.append(at)
+    scorer = Scorer(plain, begin, lengths, np.concatenate([np.zeros(pad, np.int8), logits]))
+    out_of = np.repeat(held, sizes)
+    runs = [slice(a, a + learn_tokens) for a in range(0, len(symbols), learn_tokens)]
+    # The weights see the first tokens a few times before anything is coded with them.
+    for own in [runs[0]] * 3:
+        scorer.run(symbols[own], out_of[own], [w[own] for w in where])
+        scorer.mixer.learn()
+    out = []
+    for own in runs:
+        out.append(scorer.run(symbols[own], out_of[own], [w[own] for w in where]))
+        scorer.mixer.learn()
+    return np.concatenate(out)
+
+
+def _scored(end: int, shared, learn_tokens: int):
+    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
+        if not group.num_rows:
+            return pa.table({"row": pa.array([], pa.int64()), "coded": pa.array([], pa.float64())})
+        t = group.select(["row", "symbols", "sizes", "helds"]).to_pylist()[0]
+        symbols, sizes, held = _group_texts(t)
+        code = shared.value
+        keys = [unpacked_keys(x.as_py()) for x in answers.column("keys")]
+        values = [np.frombuffer(x.as_py(), np.int8) for x in answers.column("logits")]
+        every = np.concatenate([np.zeros(0, np.uint64), *keys])
+        size = code[2][((every >> _ONE) & ((_ONE << _S) - _ONE)).astype(np.int64)].astype(np.int64)
+        order = np.argsort(every)
+        logits = np.concatenate([np.zeros(0, np.int8), *values])[ragged((np.cumsum(size) - size)[order], size[order])]
+        cost = token_costs(symbols, sizes, held, end, every[order], logits, code, learn_tokens)
+        coded = np.add.reduceat(cost, np.cumsum(sizes) - sizes, dtype=np.float64)
+        return pa.table({"row": pa.array(t["row"] + np.arange(len(sizes))), "coded": pa.array(-coded / np.log(10))})
+
+    return run
+
+
+def score_documents(docs: DataFrame, held_out_fold: int = 2, of: int = 7, common: int = COMMON_WORDS, group_tokens: int = GROUP_TOKENS, learn_tokens: int = LEARN_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte per row of docs."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    texts = masked(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    train = texts.filter(fold(F.col("doc_id"), of) != held_out_fold)
+    texts = masked(docs).select("doc_id", F.col("text").cast("binary").alias("text"), (fold(F.col("doc_id"), of) == held_out_fold).alias("held"))
+    texts = texts.withColumn("held", F.coalesce("held", F.lit(False)))
+    train = texts.filter("NOT held")
 
     counted = scratch.put("counts", train.mapInArrow(_word_counts, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words = counted.filter("kind = 0").select(F.col("key").alias("word"), F.col("n").alias("c"))
     n_train = train.select("doc_id").count()
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_words, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = n_words + n_train, distinct + int(n_train > 0)
-    # The table of common words has a fixed size; it is read by every task.
+    # The commonest words and the letters (at most 2^24 rows, by the byte values) have fixed bounds.
     top = words.orderBy(F.desc("c"), "word").limit(common).toPandas().sort_values("word", key=lambda x: x.to_numpy().view(np.uint64))
     top_words, top_counts = top["word"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
-    symbol_of = symbol_table({r["key"]: r["n"] for r in counted.filter("kind = 1").collect()})
-
-    order = unit_hash(F.col("doc_id"), seed=7)
-    apart = [r["doc_id"] for r in train.select("doc_id").orderBy(order, "doc_id").limit(min(weight_docs, n_train // 8)).collect()]
-    groups = -(-size // GROUP_BYTES) or 1
-    buckets = -(-groups // GROUPS_PER_BUCKET)
-    chosen = F.broadcast(spark.createDataFrame(list(zip(apart, range(len(apart)), strict=True)), "doc_id long, sample int"))
-    dealt = texts.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(groups)).cast("int"))
-    flagged = dealt.withColumn("train", fold(F.col("doc_id"), of) != held_out_fold).join(chosen, "doc_id", "left")
-    flagged = flagged.select("grp", "doc_id", "text", "train", F.when(F.col("train"), F.coalesce("sample", F.lit(-1))).otherwise(-1).alias("sample"))
-    tallied = flagged.groupBy("grp").applyInArrow(_tallied(symbol_of, buckets), "bucket int, grp int, codes binary, n binary")
-    answers = scratch.put("answers", tallied.groupBy("bucket").applyInArrow(_answered, "grp int, codes binary, paths binary"))
-    del tallied
+    letters = counted.filter("kind = 1").select("key", "n").orderBy("key").toPandas()
+    code = Code(top_words, top_counts, n_train, n_words - int(top_counts.sum()))
+    share = np.log10(float(n) + (v + 1))
+    send = spark.sparkContext.broadcast
+    looked_up = send((top_words, top_counts, code.word_symbols, code.end, code.escape, n_train, share, letter_logits(letters["key"].to_numpy(np.int64), letters["n"].to_numpy(np.int64))))
+    coded = scratch.put("coded", texts.mapInArrow(_coded(looked_up, group_tokens), CODED))
     scratch.drop()
-    weights = start_weights()
-    if apart:
-        own: dict[int, list] = {-1 - k: [] for k in range(len(apart))}
-        for r in answers.filter("grp < 0").collect():
-            own[r["grp"]].append((bytes(r["codes"]), bytes(r["paths"])))
-        models = {d: Model([c for c, _ in own[-1 - k]], [p for _, p in own[-1 - k]]) for k, d in enumerate(apart)}
-        sample = train.join(chosen, "doc_id", "left_semi").orderBy(order, "doc_id").collect()
-        weights = learn_weights([(bytes(r["text"] or b""), models[r["doc_id"]]) for r in sample], symbol_of)
-    shared = spark.sparkContext.broadcast((top_words, top_counts, n_train, np.log10(float(n) * 1 + (v + 1)), weights, symbol_of))
-
-    parts = scratch.put("parts", dealt.groupBy("grp").cogroup(answers.filter("grp >= 0").groupBy("grp")).applyInArrow(_scored(shared), PART))
+
+    groups = coded.filter("kind = 2").select(F.col("row").alias("grp"), "row", "symbols", "sizes", "helds")
+    buckets = max(1, groups.count())
+    asked = groups.mapInArrow(_asked(code.end, buckets), "bucket int, grp long, keys binary, n binary")
+    answers = scratch.put("answers", asked.groupBy("bucket").applyInArrow(_answered(send((code.codes, code.lengths))), ANSWER))
+    del asked
+    scratch.drop()
+    plain = send((code.plain, code.begin, code.lengths))
+    scores = scratch.put("scores", groups.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_scored(code.end, plain, learn_tokens), "row long, coded double"))
     scratch.drop("answers")
-    rare = parts.filter("word IS NOT NULL").select("doc_id", "word", "times").join(words, "word").groupBy("doc_id").agg(
+
+    rare = coded.filter("kind = 1").select("row", "word", "times").join(words, "word").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("rare_base"), F.sum("times").alias("rare_known"))
-    out = parts.filter("word IS NULL").join(rare, "doc_id", "left")
+    out = coded.filter("kind = 0").select("row", "doc_id", "held", "times", "n_tokens", "known", "base", "spelled").join(scores, "row").join(rare, "row", "left")
+    score = F.col("coded") + F.col("spelled")
     out = out.select(
-        "doc_id", (fold(F.col("doc_id"), of) == held_out_fold).alias("held_out"), "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score",
-        (-F.col("score") / F.log10(F.lit(2.0)) / F.greatest("times", F.lit(1))).alias("bits_per_byte"),
+        "doc_id", F.col("held").alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), score.alias("score"),
+        (-score / F.log10(F.lit(2.0)) / F.greatest("times", F.lit(1))).alias("bits_per_byte"),
     )
     return unmasked(out)

@@ -293,113 +293,203 @@ def test_chunks_rebuild_texts(odd):
 # --- 7 ---------------------------------------------------------------------------------------
 
 
-def test_lm_base_and_score(docs):
+def lm_held(d):
+    return zlib.crc32(str(d).encode()) % 7 == 2
+
+
+@pytest.mark.parametrize("common", [50, 1 << 17])
+def test_lm_base_and_score(docs, common):
     data = rows_of(docs)
-    out = {r.doc_id: r for r in lm_scoring.score_documents(docs, common=50).collect()}
-    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    out = {r.doc_id: r for r in lm_scoring.score_documents(docs, common=common).collect()}
     tokens = {d: [*t.encode().lower().split(), None] for d, t in data}
-    c = collections.Counter(w for d, own in tokens.items() if not held(d) for w in own)
+    c = collections.Counter(w for d, own in tokens.items() if not lm_held(d) for w in own)
     n, v = sum(c.values()), len(c)
     for d, own in tokens.items():
         r = out[d]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(d), len(own), sum(c[w] > 0 for w in own), n)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (lm_held(d), len(own), sum(c[w] > 0 for w in own), n)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own), rel_tol=1e-9)
         assert r.score < 0
-    # Better than eight bits a byte on texts it has not seen.
-    assert sum(r.bits_per_byte for r in out.values() if r.held_out) / sum(r.held_out for r in out.values()) < 4.5
+    assert sum(r.bits_per_byte for r in out.values() if r.held_out) / sum(r.held_out for r in out.values()) < 3.5
 
 
-def test_lm_probabilities_sum_to_one():
-    """Over all first symbols of a text, whatever the weights."""
+def code_of_training_words(texts, held, common):
+    """The operator's own prefix code as bits by word (None: the end, 0: the escape); any prefix code would do."""
     import numpy as np
 
-    r = np.random.default_rng(1)
-    table = lm_scoring.logits(r.integers(0, 9, lm_scoring.FIRST_ROW[-1] * 64))
-    w = lm_scoring.start_weights() * 0.7
-    ctx = [np.full(64, first + 7, np.int64) for first in lm_scoring.FIRST_ROW[:-1]]
-    symbols, logp = np.arange(64).astype(np.uint8), np.zeros(64)
-    for level in range(6):
-        s, bit = lm_scoring.bit_inputs(table, ctx, symbols, level)
-        z = sum(w[lm_scoring.gates(level, s), i] * s[i] for i in range(lm_scoring.INPUTS))
-        p = 1 / (1 + np.exp(-z))
-        logp += np.log(np.where(bit > 0, p, 1 - p))
-    assert math.isclose(np.exp(logp).sum(), 1, rel_tol=1e-4)
+    from faultline.llm import blocks
+
+    c = collections.Counter(w for t, h in zip(texts, held, strict=True) if not h for w in t.lower().split())
+    hashes = {}
+    for w in c:
+        data = np.frombuffer(w, np.uint8)
+        hashes[w] = int(blocks.word_hashes(data, np.array([0]), np.array([len(w)]))[0])
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    top = sorted(sorted(c, key=lambda w: (-c[w], signed(hashes[w])))[:common], key=hashes.get)
+    rest = sum(c.values()) - sum(c[w] for w in top)
+    ends = len(held) - sum(held)
+    code = lm_scoring.Code(np.array([hashes[w] for w in top], np.uint64), np.array([c[w] for w in top], np.int64), ends, rest)
+    bits = lambda s: format(int(code.codes[s]), f"0{lm_scoring.CODE_BITS}b")[: code.lengths[s]]
+    of = {w: bits(s) for w, s in zip(top, code.word_symbols, strict=True)} | {None: bits(code.end), 0: bits(code.escape)}
+    return of, {**{w: c[w] for w in top}, None: ends, 0: rest}
+
+
+def test_lm_code_is_a_best_prefix_code():
+    import heapq
+
+    texts = [" ".join(f"w{min(i % 17, i % 5)}" for i in range(k)).encode() for k in range(3, 90, 7)]
+    of, n = code_of_training_words(texts, [False] * len(texts), 9)
+    assert not any(a != b and b.startswith(a) for a in of.values() for b in of.values())
+    heap = [max(1, x) for x in n.values()]
+    heapq.heapify(heap)
+    least = 0
+    while len(heap) > 1:
+        heapq.heappush(heap, both := heapq.heappop(heap) + heapq.heappop(heap))
+        least += both
+    assert sum(max(1, n[w]) * len(of[w]) for w in of) == least
+
+
+class MixerByForce:
+    def __init__(self, start):
+        self.w, self.slope, self.curve = collections.defaultdict(lambda: list(start)), collections.Counter(), collections.Counter()
+
+    def cost(self, gate, t):
+        z = sum(a * b for a, b in zip(self.w[gate], t, strict=True))
+        p = 1 / (1 + math.exp(-z))
+        for i, x in enumerate(t):
+            self.slope[gate, i] += (1 - p) * x
+            self.curve[gate, i] += p * (1 - p) * abs(x) * sum(map(abs, t))
+        return -math.log(p)
+
+    def learn(self):
+        for (g, i), x in self.slope.items():
+            self.w[g][i] += x / (lm_scoring.DAMPING + self.curve[g, i])
+        self.slope.clear()
+        for k in self.curve:
+            self.curve[k] *= lm_scoring.DECAY
+
+
+def lm_by_force(texts, held, common, learn_tokens):
+    of, _ = code_of_training_words(texts, held, common)
+    tokens, seen = [], collections.Counter()
+    for d, (t, h) in enumerate(zip(texts, held, strict=True)):
+        past = (None, None)
+        for w in [*t.lower().split(), None]:
+            symbol = w if w in of else 0
+            contexts = [(), past[1:], past]
+            tokens.append((d, h, w, symbol, contexts))
+            past = (past[1], symbol)
+            if not h:
+                seen.update((len(c), c, of[symbol][:k]) for c in contexts for k in range(len(of[symbol]) + 1))
+
+    def inputs(h, symbol, contexts, level):
+        out = []
+        for c in contexts:
+            above, own = (seen[len(c), c, of[symbol][: level + k]] for k in (0, 1))
+            right, wrong = max(0, own - (not h)), above - own
+            step = round(max(-15, min(15, math.log((right + lm_scoring.PRIOR) / (wrong + lm_scoring.PRIOR)))) * lm_scoring.STEPS)
+            out.append((step or (right > wrong) - (right < wrong)) / lm_scoring.STEPS)
+        return out
+
+    says = lambda x: 0 if x == 0 else 1 if abs(x) < 4 else 2
+    mixer, score = MixerByForce([0.6, 0.4, 0.6]), [0.0] * len(texts)
+
+    def run(own, count):
+        for d, h, _, symbol, contexts in own:
+            for level in range(len(of[symbol])):
+                t = inputs(h, symbol, contexts, level)
+                score[d] -= count * mixer.cost((min(level, lm_scoring.DEPTHS - 1), says(t[1]), says(t[2])), t)
+        mixer.learn()
+
+    for _ in range(3):
+        run(tokens[:learn_tokens], 0)
+    for k in range(0, len(tokens), learn_tokens):
+        run(tokens[k : k + learn_tokens], 1)
+    # Words without a symbol, spelled.
+    two, one = collections.Counter(), collections.Counter()
+    for w in {w for t, h in zip(texts, held, strict=True) if not h for w in t.lower().split()}:
+        for a, b, c in zip(b"  " + w, b" " + w, w + b" ", strict=False):
+            for k in range(9):
+                two[a, b, format(c, "08b")[:k]] += 1
+                one[b, format(c, "08b")[:k]] += 1
+    spelling = MixerByForce([0.3, 0.7])
+    for d, _, w, symbol, _ in tokens:
+        if symbol == 0:
+            for a, b, c in zip(b"  " + w, b" " + w, w + b" ", strict=False):
+                bits = format(c, "08b")
+                for k in range(8):
+                    t = []
+                    for n in (lambda x, b=b: one[b, x], lambda x, a=a, b=b: two[a, b, x]):
+                        right, other = n(bits[: k + 1]), n(bits[:k]) - n(bits[: k + 1])
+                        t.append(max(-12, min(12, math.log((right + 0.4) / (other + 0.4)))) if right + other else 0)
+                    score[d] -= spelling.cost((k, t[1] != 0), t)
+    return [x / math.log(10) for x in score]
+
+
+@pytest.mark.parametrize("common", [12, 10_000])
+def test_lm_score_by_force(spark, common):
+    import random
 
+    r = random.Random(4)
+    words_ = ["the", "of", "Sun", "sea", "é", "漢字", "x1", "deep", "blue", "far", "and"] + [f"rare{i}" for i in range(30)]
+    texts = [" ".join(r.choice(words_[: r.choice([4, 12, 41])]) for _ in range(r.randrange(0, 40))) for _ in range(24)]
+    texts += [texts[3], texts[5] + " tail", "", "  ", "The SEA"]
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {x.doc_id: x.score for x in lm_scoring.score_documents(t, common=common, learn_tokens=100).collect()}
+    want = lm_by_force([x.encode() for x in texts], [lm_held(d) for d in range(len(texts))], common, 100)
+    for d, x in enumerate(want):
+        assert math.isclose(got[d], x, rel_tol=2e-3, abs_tol=2e-3), d
 
-def test_lm_odd_rows(odd, nothing):
-    out = lm_scoring.score_documents(odd).collect()
-    assert len(out) == odd.count() and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in out)
-    assert lm_scoring.score_documents(nothing).count() == 0
 
+def test_lm_probabilities_sum_to_one():
+    """Over all symbols, whatever the counts and weights: a step is turned round for the other bit."""
+    import numpy as np
 
-def lm_contexts(symbols):
-    """Each context as it is: its number and what it saw."""
-    for at, symbol in enumerate(symbols):
-        word = at
-        while word and symbols[word - 1] != 0:
-            word -= 1
-        for k, order in enumerate(lm_scoring.ORDERS):
-            yield (k, *([lm_scoring.END] * order + symbols[:at])[-order:]), symbol
-        yield (3, *symbols[word:at]), symbol
-
+    r = np.random.default_rng(1)
+    texts = [" ".join(f"w{r.integers(1, 40)}" for _ in range(300)).encode()]
+    of, _ = code_of_training_words(texts, [False], 100)
+    w, total = r.random(3), 0.0
+    node = {b[:k]: r.normal(size=3) for b in of.values() for k in range(len(b))}
+    for b in of.values():
+        total += math.exp(sum(-math.log1p(math.exp(-float(w @ node[b[:k]]) * (1 if b[k] == "1" else -1))) for k in range(len(b))))
+    assert math.isclose(total, 1, rel_tol=1e-9)
+    assert all(int(lm_scoring.steps(np.array([a]), np.array([b]))[0]) == -int(lm_scoring.steps(np.array([b]), np.array([a]))[0]) for a in range(30) for b in range(30))
 
-def test_lm_counts_are_exact_and_whole():
-    """Pairs of two groups in three buckets, with a text to learn weights on, against a dictionary of contexts."""
-    import numpy as np
-    import pyarrow as pa
 
+def test_lm_copies_score_higher(spark):
     from tests.llm.conftest import prose
 
-    symbol_of = lm_scoring.symbol_table({v: 1 for v in b"abcdefghijklmnopqrstuvwxyz0123456789"})
-    texts = [prose(seed, 300).encode() for seed in range(6)]
-    spelled = [lm_scoring.sequences(lm_scoring.Block(np.zeros(1), np.frombuffer(t, np.uint8), np.array([0, len(t)]), slice(0, 1), None), symbol_of) for t in texts]
-    # The last text of each group is held out; the first of all is learned on.
-    groups = [pa.table({"grp": [g] * 3, "doc_id": [3 * g, 3 * g + 1, 3 * g + 2], "text": pa.array(texts[3 * g : 3 * g + 3], pa.binary()), "train": [True, True, False], "sample": pa.array([-1 if g else 0, -1, -1], pa.int32())}) for g in range(2)]
-    tallied = pa.concat_tables([lm_scoring._tallied(symbol_of, 3)(g) for g in groups]).to_pylist()
-    answers = [r for b in range(3) for r in lm_scoring._answered(pa.Table.from_pylist([r for r in tallied if r["bucket"] == b])).to_pylist()]
-    count = collections.Counter(p for i in (0, 1, 3, 4) for p in lm_contexts(spelled[i][0].tolist()))
-    for grp, text, without in ((0, 2, None), (1, 5, None), (-1, 0, 0)):
-        of = collections.defaultdict(collections.Counter)
-        for (c, symbol), n in (count - collections.Counter(lm_contexts(spelled[text][0].tolist())) if without is not None else count).items():
-            of[c][symbol] += n
-        own = [r for r in answers if r["grp"] == grp]
-        model = lm_scoring.Model([r["codes"] for r in own], [r["paths"] for r in own])
-        rows = np.stack([model.rows(c) for c in lm_scoring.pairs(*spelled[text])], axis=1).reshape(-1)
-        for row, (c, symbol) in zip(rows, lm_contexts(spelled[text][0].tolist()), strict=True):
-            for level in range(6):
-                n = [sum(m for s, m in of[c].items() if s >> (5 - level) == (symbol >> (6 - level)) * 2 + bit) for bit in (0, 1)]
-                want = max(-12, min(12, math.log((n[1] + 0.04) / (n[0] + 0.04))))
-                assert abs(model.values[row, level] / lm_scoring.STEPS - want) < 0.0011
-
-
-def test_lm_contexts_do_not_share_rows():
-    import numpy as np
+    rows = [(i, prose(i, 80)) for i in range(200)] + [(1000 + i, prose(i, 80)) for i in range(0, 200, 4)]
+    out = {r.doc_id: r for r in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    copied = [out[i].score for i in range(0, 200, 4) if not lm_held(1000 + i)]
+    single = [out[i].score for i in range(200) if i % 4]
+    assert min(copied) > max(single)
 
-    symbols = np.random.default_rng(3).integers(1, 60, 200_000).astype(np.uint8)
-    keys = lm_scoring.contexts(symbols, np.array([0, len(symbols)]), np.arange(len(symbols)) // 6 * 6)
-    s = [lm_scoring.END] * 5 + symbols.tolist()
-    assert len(set(keys[2].tolist())) == len({tuple(s[i : i + 5]) for i in range(len(symbols))})
-    assert len(set(keys[3].tolist())) == len({tuple(symbols[i // 6 * 6 : i].tolist()) for i in range(len(symbols))})
 
+def test_lm_groups_and_buckets(spark):
+    """Base scores don't depend on groups; pairs meet across groups, whatever their number."""
+    from tests.llm.conftest import prose
 
-def test_lm_learns_rare_bytes(spark):
-    """@ and = are escaped; each follows its own word."""
-    common = " ".join(chr(c) * 50 for c in range(33, 127) if chr(c) not in "@=" and not chr(c).isupper())
-    rows = [(i, common + " mail@home" * 3 + " size=four" * 3) for i in range(40)] + [(100, "mail@home size=four"), (101, "mail=home size@four")]
-    symbol_of = lm_scoring.symbol_table(collections.Counter(common.encode()))
-    assert symbol_of[ord("@")] == symbol_of[ord("=")] == lm_scoring.ESCAPE
-    out = {r.doc_id: r.score for r in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), held_out_fold=-1).collect()}
-    assert out[100] > out[101] + 1
+    rows = [(i, prose(i % 30, 60)) for i in range(60)]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    one = {r.doc_id: r for r in lm_scoring.score_documents(t.coalesce(1)).collect()}
+    many = {r.doc_id: r for r in lm_scoring.score_documents(t.repartition(3), group_tokens=100).collect()}
+    for d in one:
+        assert one[d].base_score == pytest.approx(many[d].base_score) and one[d].n_known == many[d].n_known
+        # Weights are learned group by group, so scores differ a little; the copy in another group is seen all the same.
+        assert abs(one[d].score - many[d].score) < 0.5 * abs(one[d].score)
 
 
-def test_lm_escapes():
-    import numpy as np
+def test_lm_odd_rows(odd, nothing):
+    out = lm_scoring.score_documents(odd).collect()
+    assert len(out) == odd.count() and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in out)
+    got = collections.Counter((r.doc_id, r.n_tokens) for r in out)
+    assert got == collections.Counter((r.doc_id, len(words(r.text or "")) + 1) for r in odd.collect())
+    assert lm_scoring.score_documents(nothing).count() == 0
+
 
-    data = np.frombuffer("a é b".encode(), np.uint8)
-    symbols, begin, word_start = lm_scoring.sequences(lm_scoring.Block(np.zeros(1), data, np.array([0, len(data)]), slice(0, 1), None), lm_scoring.symbol_table({v: 1 for v in range(97, 123)}))
-    assert symbols.tolist()[2:9] == [lm_scoring.ESCAPE, 0xC, 0x3, lm_scoring.ESCAPE, 0xA, 0x9, 0] and begin.tolist() == [0, 11]
-    assert lm_scoring.halves(symbols).tolist() == [False] * 3 + [True] * 2 + [False] + [True] * 2 + [False] * 3
-    assert word_start.tolist() == [0, 0, *[2] * 7, 9, 9]
+def test_lm_without_training_texts(spark):
+    held = next(d for d in range(100) if lm_held(d))
+    assert math.isfinite(lm_scoring.score_documents(spark.createDataFrame([(held, "some words here")], "doc_id long, text string")).first().score)
 
 
 # --- 8 ---------------------------------------------------------------------------------------
