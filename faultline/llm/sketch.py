@@ -86,6 +86,15 @@ def _merged(key: tuple, table: pa.Table) -> pa.Table:
 
 def repeated_bits(texts: DataFrame, key_blocks: Callable, bits: int) -> np.ndarray:
     """ROWS x 2^bits / 8 bytes: bit set where a cell was hit twice or more. Its size is fixed by bits."""
+    return _merged_bits(texts, key_blocks, bits, "again")
+
+
+def seen_bits(rows: DataFrame, key_blocks: Callable, bits: int) -> np.ndarray:
+    """The same, set where a cell was hit at all: which keys may be among those of rows."""
+    return _merged_bits(rows, key_blocks, bits, "seen")
+
+
+def _merged_bits(texts: DataFrame, key_blocks: Callable, bits: int, which: str) -> np.ndarray:
     parts = max(texts.rdd.getNumPartitions(), 1)
     merged = texts.mapInArrow(_partial(key_blocks, bits), FORMAT)
     while parts > 1:
@@ -94,8 +103,8 @@ def repeated_bits(texts: DataFrame, key_blocks: Callable, bits: int) -> np.ndarr
     out = np.zeros((ROWS, 1 << (bits - 3)), np.uint8)
     step = min(1 << (SLICE_BITS - 3), out.shape[1])
     flat = out.reshape(-1)
-    for r in merged.select("slice", "again").toLocalIterator():
-        flat[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(zlib.decompress(r["again"]), np.uint8)
+    for r in merged.select("slice", which).toLocalIterator():
+        flat[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(zlib.decompress(r[which]), np.uint8)
     return out
 
 

@@ -201,8 +201,9 @@ def test_repeats_random(spark):
         r.shuffle(parts)
         rows.append((i, "".join(parts), " ".join("".join(parts))))
     t = spark.createDataFrame([(i, s) for i, s, _ in rows], "doc_id long, text string")
-    got = {x.doc_id: tuple(x)[1:] for x in suffix_dedup.digest(suffix_dedup.remove_repeats(t, 10, 4, 16)).collect()}
-    assert got == suffix_dedup.brute_force([(i, s.encode()) for i, s, _ in rows], 10)
+    for how in ({}, {"split": 3, "together": 20}):
+        got = {x.doc_id: tuple(x)[1:] for x in suffix_dedup.digest(suffix_dedup.remove_repeats(t, 10, 4, 16, **how)).collect()}
+        assert got == suffix_dedup.brute_force([(i, s.encode()) for i, s, _ in rows], 10)
     t = spark.createDataFrame([(i, s) for i, _, s in rows], "doc_id long, text string")
     got = {x.doc_id: tuple(x)[1:] for x in substring_dedup.digest(substring_dedup.remove_repeats(t, 9, 4, 16)).collect()}
     assert got == substring_dedup.brute_force([(i, s.encode()) for i, _, s in rows], 9)
