@@ -50,7 +50,7 @@ COMMON_WORDS = (1 << SYMBOL_BITS) - 2
 #: Code bits are held from the highest of so many.
 CODE_BITS = 48
 #: Symbols of a group (of whole texts), tokens between two refinements of the weights, texts' bytes of a block.
-GROUP_TOKENS, LEARN_TOKENS, TEXT_BLOCK = 3 << 19, 1 << 16, 1 << 20
+GROUP_TOKENS, LEARN_TOKENS, TEXT_BLOCK = 1 << 20, 1 << 16, 1 << 20
 #: Steps to the unit of a stored logit.
 STEPS = 4
 #: Added to both sides of a count.
@@ -65,17 +65,21 @@ DAMPING, DECAY = 30.0, 0.98
 
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ..., start[0] + length[0] - 1, start[1], ..."""
-    return np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+    total = int(length.sum())
+    kind = np.int32 if total < 1 << 31 and (not total or int(start.max()) + int(length.max()) < 1 << 31) else np.int64
+    out = np.repeat((start - np.cumsum(length) + length).astype(kind), length)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Byte by byte, all lowest bytes first: shuffles compress the high bytes away."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    """Byte by byte, all lowest bytes first, compressed."""
+    return squeezed(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
 
 
 def unpacked(data: bytes, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+    return np.ascontiguousarray(np.frombuffer(unsqueezed(data), np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
 def packed_keys(x: np.ndarray) -> bytes:
@@ -87,6 +91,14 @@ def unpacked_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
 
 
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def steps(right: np.ndarray, wrong: np.ndarray) -> np.ndarray:
     """The logit of being right from counts, in STEPS to the unit; 0 stands for nothing seen, or as much on either side."""
     t = np.log((right.astype(np.float32) + np.float32(PRIOR)) / (wrong.astype(np.float32) + np.float32(PRIOR)))
@@ -134,7 +146,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         three, m = np.unique(two.astype(np.uint32) << np.uint32(16) | one.astype(np.uint32) << np.uint32(8) | c, return_counts=True)
         letters.append((three.astype(np.uint64), m))
         size += len(own) + len(three)
-        if size > 1_500_000:
+        if size > 1_000_000:
             yield out(0, words)
             yield out(1, letters)
             words, letters, size = [], [], 0
@@ -217,32 +229,32 @@ def path_logits(first: np.ndarray, code: np.ndarray, length: np.ndarray, n: np.n
 
     Pairs of a context lie together from ``first`` on, by rising code.
     """
-    begin = np.cumsum(length) - length
-    full = np.zeros(int(length.sum()), np.int8)
-    less = np.zeros_like(full)
+    # Where a pair is alone under a node, all further bits have its own count on one side.
+    nothing = np.zeros(len(n), np.int64)
+    full, less = np.repeat(steps(n, nothing), length), np.repeat(steps(np.maximum(n - 1, 0), nothing), length)
     if not len(n):
         return full, less
-    new = np.zeros(len(n), bool)
-    new[first] = True
-    above = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(n))))
-    at = begin
-    for level in range(1, int(length.max()) + 1):
+    at = np.cumsum(length) - length
+    size = np.diff(np.append(first, len(n)))
+    above, head = np.repeat(np.add.reduceat(n, first), size), np.repeat(np.arange(len(first), dtype=np.int32), size)
+    stay = np.repeat(size > 1, size)
+    level = 0
+    while True:
+        code, length, n, above, at, head = (x[stay] for x in (code, length, n, above, at, head))
+        if not len(n):
+            return full, less
+        level += 1
         prefix = code >> np.uint64(CODE_BITS - level)
-        edge = new.copy()
-        edge[1:] |= prefix[1:] != prefix[:-1]
+        edge = np.ones(len(n), bool)
+        edge[1:] = (prefix[1:] != prefix[:-1]) | (head[1:] != head[:-1])
         starts = np.flatnonzero(edge)
-        own = np.repeat(np.add.reduceat(n, starts), np.diff(np.append(starts, len(n))))
+        size = np.diff(np.append(starts, len(n)))
+        own = np.repeat(np.add.reduceat(n, starts), size)
         wrong = above - own
-        full[at + level - 1] = steps(own, wrong)
-        less[at + level - 1] = steps(np.maximum(own - 1, 0), wrong)
+        full[at + (level - 1)] = steps(own, wrong)
+        less[at + (level - 1)] = steps(np.maximum(own - 1, 0), wrong)
         # Symbols that end here leave; no other symbol lies under their node.
-        stay = length > level
-        head = np.cumsum(new) - 1
-        code, length, n, above, at, head = (x[stay] for x in (code, length, n, own, at, head))
-        if not len(n):
-            break
-        new = np.concatenate([[True], head[1:] != head[:-1]])
-    return full, less
+        above, stay = own, np.repeat(size > 1, size) & (length > level)
 
 
 # --- mixing --------------------------------------------------------------------------------
@@ -253,23 +265,23 @@ class Mixer:
 
     def __init__(self, gates: int, start: list[float]):
         self.w = np.tile(np.array(start, np.float32)[:, None], gates)
-        self.slope, self.curve = np.zeros(self.w.shape), np.full(self.w.shape, DAMPING)
+        self.slope, self.curve = np.zeros(self.w.shape), np.full(gates, DAMPING)
 
     def cost(self, t: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         """Natural-log costs of bits."""
         z = np.zeros(len(gate), np.float32)
         size = np.zeros(len(gate), np.float32)
         for w, x in zip(self.w, t, strict=True):
-            z += w.take(gate) * x
-            size += np.abs(x)
-        e = np.exp(-np.clip(z, -40, 40))
+            z -= w.take(gate) * x
+            size += x * x
+        e = np.exp(np.clip(z, -40, 40, out=z), out=z)
         wrong = e / (1 + e)
         size *= wrong
-        size *= 1 - wrong
+        size -= size * wrong
         for i, x in enumerate(t):
             self.slope[i] += np.bincount(gate, wrong * x, self.w.shape[1])
-            self.curve[i] += np.bincount(gate, size * np.abs(x), self.w.shape[1])
-        return np.log1p(e)
+        self.curve += np.bincount(gate, size, self.w.shape[1]) * len(t)
+        return np.log1p(e, out=e)
 
     def learn(self) -> None:
         """Refines the weights by what was coded since the last time: damped steps, shorter as more is known."""
@@ -389,6 +401,12 @@ def _group_texts(t) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return unpacked(t["symbols"], np.uint32), unpacked(t["sizes"], np.uint32).astype(np.int64), np.frombuffer(t["helds"], np.uint8)
 
 
+def in_buckets(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each of some rising keys, and their order by bucket (then rising). A context has one bucket."""
+    bucket = (mixed(key >> (_S + _ONE)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    return bucket, np.argsort(bucket, kind="stable")
+
+
 def _asked(end: int, buckets: int):
     """A group's pairs by bucket of contexts, with their counts in training texts."""
 
@@ -397,8 +415,7 @@ def _asked(end: int, buckets: int):
             for t in batch.to_pylist():
                 key, n = np.unique(np.concatenate(pair_keys(*_group_texts(t), end)), return_counts=True)
                 n[(key & _ONE) > 0] = 0
-                bucket = (mixed(key >> (_S + _ONE)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
-                order = np.argsort(bucket, kind="stable")
+                bucket, order = in_buckets(key, buckets)
                 bucket, key, n = bucket[order], key[order], n[order].astype(np.uint32)
                 first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
                 last = np.append(first[1:], len(key))
@@ -411,70 +428,75 @@ def _asked(end: int, buckets: int):
     return run
 
 
-ANSWER = "grp long, keys binary, logits binary"
+ANSWER = "grp long, bucket int, known binary, logits binary"
 
 
 def _answered(shared):
-    """What a bucket knows about each group's pairs; pairs whose context nobody else has seen are left out."""
+    """For each group, which of the pairs it asked a bucket for have a context that others have seen, and their logits."""
 
     def run(t: pa.Table) -> pa.Table:
         codes, lengths = shared.value
-        groups = t.column("grp").to_pylist()
         keys = [unpacked_keys(x.as_py()) for x in t.column("keys")]
-        n = np.concatenate([unpacked(x.as_py(), np.uint32) for x in t.column("n")]).astype(np.int64)
-        sizes = np.array([len(k) for k in keys])
+        n = np.concatenate([unpacked(x.as_py(), np.uint32) for x in t.column("n")])
+        sizes = [len(k) for k in keys]
         every = np.concatenate(keys)
         del keys
         order = np.argsort(every)
-        pair, sorted_n = every[order] >> _ONE, n[order]
+        pair, out = every[order] >> _ONE, (every & _ONE) > 0
         new = np.concatenate([[True], pair[1:] != pair[:-1]])
         first = np.flatnonzero(new)
-        at = np.empty(len(every), np.int64)
+        at = np.empty(len(every), np.int32)
         at[order] = np.cumsum(new) - 1
-        pair, total = pair[first], np.add.reduceat(sorted_n, first)
-        del sorted_n, order, new, first
+        pair, total = pair[first], np.add.reduceat(n[order], first, dtype=np.int64)
+        del order, new, first, every, n
+        # Contexts lie together. What nobody else has seen needs no logits: an own occurrence is no knowledge.
         context = pair >> _S
         head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        seen = np.repeat(np.add.reduceat(total, head), np.diff(np.append(head, len(pair))))
-        # An own occurrence is no knowledge; what nobody else has seen needs no logits.
-        out = (every & _ONE) > 0
-        answered = seen[at] - ~out > 0
-        needed = np.zeros(len(pair), bool)
-        needed[at[answered]] = True
-        of_context = np.zeros(len(head), bool)
-        of_context[np.searchsorted(head, np.flatnonzero(needed), "right") - 1] = True
-        keep = np.repeat(of_context, np.diff(np.append(head, len(pair))))
+        size = np.diff(np.append(head, len(pair)))
+        seen = np.add.reduceat(total, head)
+        of = np.repeat(np.arange(len(head)), size)
+        known = seen[of[at]] - ~out > 0
+        needed = np.zeros(len(head), bool)
+        needed[of[at[known]]] = True
+        keep = needed[of]
         symbol = (pair[keep] & ((_ONE << _S) - _ONE)).astype(np.int64)
-        context = context[keep]
-        head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
+        head = (np.cumsum(size[needed]) - size[needed]).astype(np.int64)
         length = lengths[symbol].astype(np.int64)
         full, less = path_logits(head, codes[symbol], length, total[keep])
-        begin, place = np.cumsum(length) - length, np.cumsum(keep) - 1
+        begin, place = np.cumsum(length) - length, np.cumsum(keep, dtype=np.int32) - 1
+        both, half = np.concatenate([less, full]), len(less)
         rows, a = [], 0
-        for g, size in zip(groups, sizes.tolist(), strict=True):
-            own = np.arange(a, a + size)[answered[a : a + size]]
-            a += size
-            if len(own):
-                p = place[at[own]]
-                i = ragged(begin[p], length[p])
-                rows.append((g, packed_keys(every[own]), np.where(np.repeat(out[own], length[p]), full[i], less[i]).tobytes()))
-        return pa.table({"grp": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()), "logits": pa.array([r[2] for r in rows], pa.binary())})
+        for g, m in zip(t.column("grp").to_pylist(), sizes, strict=True):
+            own = slice(a, a + m)
+            a += m
+            if known[own].any():
+                p = place[at[own][known[own]]]
+                i = ragged(begin[p] + out[own][known[own]] * half, length[p])
+                rows.append((g, squeezed(np.packbits(known[own]).tobytes()), squeezed(both[i].tobytes())))
+        bucket = t.column("bucket")[0].as_py()
+        return pa.table({"grp": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "known": pa.array([r[1] for r in rows], pa.binary()), "logits": pa.array([r[2] for r in rows], pa.binary())})
 
     return run
 
 
 # --- scoring -------------------------------------------------------------------------------
 
-#: A stored step as a logit, and how much it says: nothing, a little, much.
-LOGIT = np.arange(256, dtype=np.uint8).view(np.int8).astype(np.float32) / STEPS
-SAYS = np.where(LOGIT == 0, 0, np.where(np.abs(LOGIT) < 4, 1, 2)).astype(np.int64)
+#: From this logit on a context says much.
+MUCH = 4
+
+
+def says(x: np.ndarray) -> np.ndarray:
+    """How much stored steps say: nothing, a little, much."""
+    out = (x != 0).view(np.int8)
+    out += ((x >= MUCH * STEPS) | (x <= -MUCH * STEPS)).view(np.int8)
+    return out
 
 
 class Scorer:
     """Costs of the tokens of a group, with weights refined from one run of tokens to the next."""
 
     def __init__(self, plain: np.ndarray, begin: np.ndarray, lengths: np.ndarray, logits: np.ndarray):
-        self.plain, self.begin, self.lengths, self.logits = plain.view(np.uint8), begin, lengths, logits.view(np.uint8)
+        self.plain, self.begin, self.lengths, self.logits = plain, begin, lengths, logits
         self.mixer = Mixer(DEPTHS * 9, [0.6, 0.4, 0.6])
 
     def run(self, symbols: np.ndarray, held: np.ndarray, where: list[np.ndarray]) -> np.ndarray:
@@ -482,42 +504,29 @@ class Scorer:
         length = self.lengths[symbols]
         order = np.argsort(~length, kind="stable")  # longest first: a bit's tokens are then a slice
         many = len(order) - np.searchsorted(np.sort(length), np.arange(int(length.max())), "right")
-        at = self.begin[symbols][order] + held[order].astype(np.int64) * (len(self.plain) // 2)
+        at = self.begin[symbols[order]] + held[order].astype(np.int64) * (len(self.plain) // 2)
         one, two = (x[order] for x in where)
         cost = np.zeros(len(order), np.float32)
         for level, m in enumerate(many.tolist()):
-            a, b = self.logits.take(one[:m] + level), self.logits.take(two[:m] + level)
-            t = [LOGIT.take(self.plain.take(at[:m] + level)), LOGIT.take(a), LOGIT.take(b)]
-            gate = SAYS.take(a) * 3
-            gate += SAYS.take(b)
+            x = [self.plain.take(at[:m]), self.logits.take(one[:m]), self.logits.take(two[:m])]
+            gate = (says(x[1]) * np.int8(3) + says(x[2])).astype(np.int64)
             gate += min(level, DEPTHS - 1) * 9
-            cost[:m] += self.mixer.cost(t, gate)
+            cost[:m] += self.mixer.cost([y.astype(np.float32) * np.float32(1 / STEPS) for y in x], gate)
+            for y in (at, one, two):
+                y[:m] += 1
         out = np.empty_like(cost)
         out[order] = cost
         return out
 
 
-def token_costs(symbols: np.ndarray, sizes: np.ndarray, held: np.ndarray, end: int, keys: np.ndarray, logits: np.ndarray, code: tuple, learn_tokens: int) -> np.ndarray:
-    """Natural-log cost of each token of a group. keys (rising) and logits are what the buckets answered."""
+def token_costs(symbols: np.ndarray, sizes: np.ndarray, held: np.ndarray, where: list[np.ndarray], logits: np.ndarray, code: tuple, learn_tokens: int) -> np.ndarray:
+    """Natural-log cost of each token of a group. where: of each longer context, where a token's logits begin."""
     plain, begin, lengths = code
-    size = lengths[((keys >> _ONE) & ((_ONE << _S) - _ONE)).astype(np.int64)].astype(np.int64)
-    # A token whose context is unknown reads zeros, which stand in front.
-    pad = int(lengths.max())
-    starts = np.concatenate([pad + np.cumsum(size) - size, [0]])
-    where = []
-    for own in pair_keys(symbols, sizes, held, end):
-        order = np.argsort(own)
-        found = np.searchsorted(keys, own[order])
-        hit = found < len(keys)
-        hit[hit] = keys[found[hit]] == own[order][hit]
-        at = np.empty(len(own), np.int64)
-        at[order] = starts[np.where(hit, found, len(keys))]
-        where.append(at)
-    scorer = Scorer(plain, begin, lengths, np.concatenate([np.zeros(pad, np.int8), logits]))
+    scorer = Scorer(plain, begin, lengths, logits)
     out_of = np.repeat(held, sizes)
     runs = [slice(a, a + learn_tokens) for a in range(0, len(symbols), learn_tokens)]
-    # The weights see the first tokens a few times before anything is coded with them.
-    for own in [runs[0]] * 3:
+    # The weights see some tokens a few times before anything is coded with them.
+    for own in [slice(0, learn_tokens // 4)] * 3:
         scorer.run(symbols[own], out_of[own], [w[own] for w in where])
         scorer.mixer.learn()
     out = []
@@ -527,20 +536,32 @@ def token_costs(symbols: np.ndarray, sizes: np.ndarray, held: np.ndarray, end: i
     return np.concatenate(out)
 
 
-def _scored(end: int, shared, learn_tokens: int):
+def _scored(end: int, buckets: int, shared, learn_tokens: int):
     def run(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not group.num_rows:
             return pa.table({"row": pa.array([], pa.int64()), "coded": pa.array([], pa.float64())})
         t = group.select(["row", "symbols", "sizes", "helds"]).to_pylist()[0]
         symbols, sizes, held = _group_texts(t)
         code = shared.value
-        keys = [unpacked_keys(x.as_py()) for x in answers.column("keys")]
-        values = [np.frombuffer(x.as_py(), np.int8) for x in answers.column("logits")]
-        every = np.concatenate([np.zeros(0, np.uint64), *keys])
-        size = code[2][((every >> _ONE) & ((_ONE << _S) - _ONE)).astype(np.int64)].astype(np.int64)
-        order = np.argsort(every)
-        logits = np.concatenate([np.zeros(0, np.int8), *values])[ragged((np.cumsum(size) - size)[order], size[order])]
-        cost = token_costs(symbols, sizes, held, end, every[order], logits, code, learn_tokens)
+        lengths = code[2]
+        # The pairs as they were asked for, and where each one's logits are; zeros stand in front for what nobody has seen.
+        key, back = np.unique(np.concatenate(pair_keys(symbols, sizes, held, end)), return_inverse=True)
+        bucket, order = in_buckets(key, buckets)
+        first = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        length = lengths[((key >> _ONE) & ((_ONE << _S) - _ONE)).astype(np.int64)]
+        pad = int(lengths.max())
+        values, at, start = [np.zeros(pad, np.int8)], pad, np.zeros(len(key), np.int64)
+        for b, known, own in zip(*(answers.column(c) for c in ("bucket", "known", "logits")), strict=True):
+            b = b.as_py()
+            asked = order[first[b] : first[b + 1]]
+            asked = asked[np.unpackbits(np.frombuffer(unsqueezed(known.as_py()), np.uint8), count=len(asked)).astype(bool)]
+            size = length[asked].astype(np.int64)
+            start[asked] = at + np.cumsum(size) - size
+            values.append(np.frombuffer(unsqueezed(own.as_py()), np.int8))
+            at += len(values[-1])
+        del key, bucket, order, length
+        where = np.split(start[back], 2)
+        cost = token_costs(symbols, sizes, held, where, np.concatenate(values), code, learn_tokens)
         coded = np.add.reduceat(cost, np.cumsum(sizes) - sizes, dtype=np.float64)
         return pa.table({"row": pa.array(t["row"] + np.arange(len(sizes))), "coded": pa.array(-coded / np.log(10))})
 
@@ -578,7 +599,7 @@ def score_documents(docs: DataFrame, held_out_fold: int = 2, of: int = 7, common
     del asked
     scratch.drop()
     plain = send((code.plain, code.begin, code.lengths))
-    scores = scratch.put("scores", groups.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_scored(code.end, plain, learn_tokens), "row long, coded double"))
+    scores = scratch.put("scores", groups.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_scored(code.end, buckets, plain, learn_tokens), "row long, coded double"))
     scratch.drop("answers")
 
     rare = coded.filter("kind = 1").select("row", "word", "times").join(words, "word").groupBy("row").agg(

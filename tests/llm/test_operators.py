@@ -358,12 +358,12 @@ class MixerByForce:
         p = 1 / (1 + math.exp(-z))
         for i, x in enumerate(t):
             self.slope[gate, i] += (1 - p) * x
-            self.curve[gate, i] += p * (1 - p) * abs(x) * sum(map(abs, t))
+        self.curve[gate] += p * (1 - p) * sum(x * x for x in t) * len(t)
         return -math.log(p)
 
     def learn(self):
         for (g, i), x in self.slope.items():
-            self.w[g][i] += x / (lm_scoring.DAMPING + self.curve[g, i])
+            self.w[g][i] += x / (lm_scoring.DAMPING + self.curve[g])
         self.slope.clear()
         for k in self.curve:
             self.curve[k] *= lm_scoring.DECAY
@@ -402,7 +402,7 @@ def lm_by_force(texts, held, common, learn_tokens):
         mixer.learn()
 
     for _ in range(3):
-        run(tokens[:learn_tokens], 0)
+        run(tokens[: learn_tokens // 4], 0)
     for k in range(0, len(tokens), learn_tokens):
         run(tokens[k : k + learn_tokens], 1)
     # Words without a symbol, spelled.
