@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, blocks
-from .text_sql import masked, only, unit_hash, unmasked
+from .blocks import LOWER, Block, blocks
+from .text_sql import NO_ID, free_name, masked, unit_hash, unmasked
 
 BITS = 12
 UNKNOWN = "und"
@@ -151,35 +151,55 @@ def _has_letter(text: bytes) -> bool:
     return any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
+def judged(model: Model | None, b: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text of a block."""
+    n = len(b.doc_id)
+    size = np.diff(b.offsets)
+    lang, score = np.full(n, UNKNOWN, object), np.zeros(n)
+    letters = np.concatenate([[0], np.cumsum(_LETTER[b.data])])
+    known = letters[b.offsets[1:]] > letters[b.offsets[:-1]]
+    for i in np.flatnonzero(~known & (size > 1)):
+        known[i] = _has_letter(b.data[b.offsets[i] : b.offsets[i + 1]].tobytes())
+    if model is not None and known.any():
+        margin = np.tile(model.constant, (n, 1))
+        long = np.flatnonzero(size > 2)
+        if len(long):
+            gram = trigrams(b.data)
+            # From the first trigram of a document to its last, and from there to the next document's first.
+            cut = np.stack([b.offsets[long], b.offsets[long + 1] - 2], axis=1).reshape(-1)
+            cut = cut[:-1] if cut[-1] >= len(gram) else cut
+            for m, w in enumerate(model.weights):
+                margin[long, m] += np.add.reduceat(w[gram], cut)[::2] / (size[long] - 2)
+        best, sure = model.decide(margin)
+        lang[known] = np.array(model.languages, object)[best[known]]
+        score[known] = sure[known]
+    return lang, score
+
+
 def _predicted(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for b in blocks(batches):
-            n = len(b.doc_id)
-            size = np.diff(b.offsets)
-            lang, score = np.full(n, UNKNOWN, object), np.zeros(n)
-            letters = np.concatenate([[0], np.cumsum(_LETTER[b.data])])
-            known = letters[b.offsets[1:]] > letters[b.offsets[:-1]]
-            for i in np.flatnonzero(~known & (size > 1)):
-                known[i] = _has_letter(b.data[b.offsets[i] : b.offsets[i + 1]].tobytes())
-            if model is not None and known.any():
-                margin = np.tile(model.constant, (n, 1))
-                long = np.flatnonzero(size > 2)
-                if len(long):
-                    gram = trigrams(b.data)
-                    # From the first trigram of a document to its last, and from there to the next document's first.
-                    cut = np.stack([b.offsets[long], b.offsets[long + 1] - 2], axis=1).reshape(-1)
-                    cut = cut[:-1] if cut[-1] >= len(gram) else cut
-                    for m, w in enumerate(model.weights):
-                        margin[long, m] += np.add.reduceat(w[gram], cut)[::2] / (size[long] - 2)
-                best, sure = model.decide(margin)
-                lang[known] = np.array(model.languages, object)[best[known]]
-                score[known] = sure[known]
+            lang, score = judged(shared.value, b)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(b.doc_id, pa.int64()), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score)})
 
     return run
 
 
+def _known(shared, min_score: float, key: str, text: str):
+    """Whole rows whose text (bytes in a column of its own) has a language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays([batch.column(key), batch.column(text)], names=["doc_id", "text"])
+            keep = [np.zeros(0, bool)]
+            for b in blocks([own]):
+                lang, score = judged(shared.value, b)
+                keep.append((lang != UNKNOWN) & (score >= min_score))
+            yield batch.select([c for c in batch.schema.names if c not in (key, text)]).filter(pa.array(np.concatenate(keep)))
+
+    return run
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score per row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -201,8 +221,10 @@ def identify(docs: DataFrame, held_out_fold: int = 2, of: int = 4) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """The rows of docs with a language: not ``und`` and scored at least min_score."""
+    """The rows of docs with a language: not ``und`` and scored at least min_score. Rows are judged where they lie."""
     own = masked(docs)
     model = fit(own.filter(fold(F.col("doc_id"), 4) != 2))
-    kept = predict(own, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
-    return only(docs, kept)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    key, text = free_name(docs, "_judged_id"), free_name(docs, "_judged_text")
+    rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(text, F.col("text").cast("binary"))
+    return rows.mapInArrow(_known(shared, min_score, key, text), docs.schema)

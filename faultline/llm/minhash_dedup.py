@@ -15,7 +15,8 @@ built, and no candidate pair across components is missed. With 18 bands of 4 coo
 pair at similarity 0.85 escapes banding with probability 2e-6.
 
 Null and empty texts have an empty set and are linked with nothing. Rows that repeat a
-doc_id each give a row. Extra columns are ignored. An empty table gives an empty result.
+doc_id each give a row and may be in different groups; a component is named by the smallest
+doc_id in it. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .blocks import LOWER, blocks, mixed, word_hashes, word_spans
 from .components import connected_components
 from .scratch import Scratch
-from .text_sql import masked, only, unmasked
+from .text_sql import masked, only, text_hash, unmasked
 
 BANDS, ROWS = 18, 4
 #: Estimates this far below the threshold (over five standard deviations) are not verified.
@@ -110,7 +111,7 @@ def _signed(width: int, bands: int, rows: int):
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(b.doc_id, pa.int64()), "n_shingles": pa.array(n, pa.int64()),
                 "f1": pa.array(f1.view(np.int64)), "f2": pa.array(f2.view(np.int64)),
-                "sig": pa.array(sig, pa.binary()), "bands": pa.array(keys, pa.list_(pa.int64())),
+                "sig": pa.array(sig, pa.binary()), "bands": pa.array(keys, pa.list_(pa.int64())), "h": b.batch.column("h").slice(b.rows.start, len(n)),
             })
 
     return run
@@ -153,23 +154,24 @@ def _agreeing(coordinates: int):
     return agree
 
 
-def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept per row of docs; links are at 100 * intersection >= percent * union."""
+def grouped(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id (masked), h (text_hash), n_shingles and first (doc_id, h) of its component per row of docs; first is null for an empty set."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    binary = masked(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
+    binary = masked(docs).select("doc_id", text_hash().alias("h"), F.col("text").cast("binary").alias("text"))
     signed = scratch.put("signed", binary.mapInArrow(
-        _signed(width, bands, rows), "doc_id long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>"))
+        _signed(width, bands, rows), "doc_id long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>, h long"))
+    # A set is known by its fingerprints, not by a doc_id, which rows with other texts may repeat.
     reps = scratch.put("reps", signed.filter("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(
-        F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+        F.min(F.struct("doc_id", "h")).alias("at"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).withColumn("rep", F.xxhash64("f1", "f2", "n_shingles")))
 
     rows_ = reps.select("rep", F.explode("bands").alias("key"))
-    shared = rows_.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    shared = rows_.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     member = scratch.put("member", rows_.join(shared, "key"))
-    met = member.select(F.col("rep").alias("doc_id")).distinct()
-    texts = scratch.put("texts", binary.join(met, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    facts = reps.select("rep", "n_shingles", "sig").join(met, reps["rep"] == met["doc_id"], "left_semi")
-    facts = scratch.put("facts", facts)
+    met = member.select("rep").distinct()
+    at = reps.join(met, "rep", "left_semi").select("rep", "at.doc_id", "at.h")
+    texts = scratch.put("texts", binary.join(at, ["doc_id", "h"]).select("rep", "text").dropDuplicates(["rep"]))
+    facts = scratch.put("facts", reps.select("rep", "n_shingles", "sig").join(met, "rep", "left_semi"))
 
     links: DataFrame | None = None
     comp: DataFrame | None = None
@@ -185,22 +187,28 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
         near = pairs.join(fb, "b").join(fa, "a").filter(100 * low >= percent * high)
         near = near.filter(_agreeing(bands * rows)("sig_a", "sig_b") >= percent / 100 - SLACK).select("a", "b")
         near = scratch.put(f"near{turn}", near)
-        full = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        full = full.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").sortWithinPartitions("a")
+        full = near.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+        full = full.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").sortWithinPartitions("a")
         found = full.select("a", "b", "text_a", "text_b").mapInArrow(_verified(width, percent), "a long, b long")
         for other in (links, more):
             found = found if other is None else found.unionByName(other)
         links = scratch.put(f"links{turn}", found)
         comp = connected_components(links, scratch, f"comp{turn}")
 
-    pivots = member.groupBy("key").agg(F.min("rep").alias("pivot"))
-    verify(member.join(pivots, "key").filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+    # A pivot serves at most some BLOCK_MEMBERS members of a bucket; the pivots of its blocks meet the first of them.
+    part = F.pmod(F.xxhash64("rep", F.lit(11)), F.ceil(F.col("members") / BLOCK_MEMBERS))
+    dealt = member.withColumn("part", part)
+    pivots = dealt.groupBy("key", "part").agg(F.min("rep").alias("pivot"))
+    heads = pivots.groupBy("key").agg(F.min("pivot").alias("head"))
+    pairs = dealt.join(pivots, ["key", "part"]).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+    pairs = pairs.unionByName(pivots.join(heads, "key").select(F.col("head").alias("a"), F.col("pivot").alias("b")))
+    verify(pairs.filter("a <> b").distinct())
 
     of = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     sizes = reps.select("rep", "n_shingles")
     open_ = of.join(sizes, "rep").groupBy("key").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"), F.sum("n_shingles").alias("weight")).filter("lo < hi")
-    now = scratch.put("open", of.join(open_.select("key", "members", "weight"), "key"))
+    now = scratch.put("open", of.drop("members").join(open_.select("key", "members", "weight"), "key"))
     small = now.filter(F.col("members") <= SMALL)
     left, right = _sided(small, reps, "a"), _sided(small, reps, "b")
     apart = (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))
@@ -208,15 +216,19 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     pairs = left.join(right, apart & fits & (F.col("key_a") == _first_common(F.col("bands_a"), F.col("bands_b")))).select("a", "b")
     verify(pairs, _large_links(now.filter(F.col("members") > SMALL), reps, texts, width, percent))
 
-    of_rep = reps.select("f1", "f2", "n_shingles", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    of_rep = of_rep.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n_shingles").alias("gn"),
-                           F.coalesce("comp", "rep").alias("component"))
+    named = reps.select("f1", "f2", "n_shingles", "rep", "at").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    first = named.groupBy("comp").agg(F.min("at").alias("first"))
+    of_rep = scratch.put("named", named.join(first, "comp").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n_shingles").alias("gn"), "first"))
     same = (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") == F.col("gn"))
-    out = signed.select("doc_id", "n_shingles", "f1", "f2").join(of_rep, same, "left")
-    component = F.coalesce("component", "doc_id")
-    return unmasked(out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept")), "doc_id", "component_id")
+    return signed.select("doc_id", "h", "n_shingles", "f1", "f2").join(of_rep, same, "left").select("doc_id", "h", "n_shingles", "first")
 
 
+def near_groups(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept per row of docs; links are at 100 * intersection >= percent * union."""
+    component = F.coalesce("first.doc_id", "doc_id")
+    out = grouped(docs, **how).select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return unmasked(out, "doc_id", "component_id")
+
 
 def _with_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +304,7 @@ def _intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096)
 
 def _large_links(now: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) across the components of large buckets, block against block."""
-    wanted = texts.join(now.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = texts.join(now.select("rep").distinct(), "rep", "left_semi").withColumnRenamed("rep", "doc_id")
     sets = wanted.mapInArrow(_with_sets(width), "rep long, shingles binary")
     blocks_ = F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
     dealt = now.select("rep", "key", "comp", blocks_.alias("n_blocks")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
@@ -310,9 +322,11 @@ def _sided(now: DataFrame, reps: DataFrame, side: str) -> DataFrame:
 
 
 def _first_common(x: Column, y: Column) -> Column:
-    return F.element_at(F.filter(F.zip_with(x, y, lambda p, q: F.when(p == q, p)), lambda k: k.isNotNull()), 1)
+    return F.get(F.filter(F.zip_with(x, y, lambda p, q: F.when(p == q, p)), lambda k: k.isNotNull()), F.lit(0))
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that stay: of each group the one with the smallest doc_id."""
-    return only(docs, masked(near_groups(docs, **how).filter("kept").select("doc_id")))
+    """The rows of docs that stay: of each group the one with the smallest doc_id (and text hash), and all without shingles."""
+    own = F.struct("doc_id", "h")
+    stay = grouped(docs, **how).filter(F.col("first").isNull() | (own == F.col("first")))
+    return only(docs, stay.select("doc_id", "h", F.col("first").isNull().alias("many")))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text_sql import NO_ID, free_name, masked, n_words, unit_hash, unmasked
+from .text_sql import NO_ID, free_name, masked, n_words, text_hash, unit_hash, unmasked
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -36,11 +36,11 @@ def quality_weight(text: Column, size: Column) -> Column:
 
 def sized(docs: DataFrame) -> DataFrame:
     size = n_words(F.col("text"))
-    out = masked(docs).select("doc_id", "source", size.alias("size"), quality_weight(F.col("text"), size).alias("w"))
+    out = masked(docs).select("doc_id", text_hash(F.col("source")).alias("h"), "source", size.alias("size"), quality_weight(F.col("text"), size).alias("w"))
     exponential = -F.log(unit_hash(F.col("doc_id"), seed=5)) / F.col("w")
     # 1 - e^-key is between 0 and 1 and rises with the key, so its ranges are ranges of keys.
     place = F.floor((F.lit(1.0) - F.exp(-exponential)) * BUCKETS)
-    return out.select("doc_id", "source", "size", exponential.alias("es_key"),
+    return out.select("doc_id", "h", "source", "size", exponential.alias("es_key"),
                       F.least(place, F.lit(BUCKETS - 1)).cast("int").alias("bucket"))
 
 
@@ -72,6 +72,11 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken (size times the copies the mix takes) and copies, per row of docs."""
+    return unmasked(mixed(docs).drop("h"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The same with doc_id masked and h, which tells rows of other texts or sources apart."""
     items = sized(docs)
     ranges = items.groupBy("source", "bucket").agg(F.sum("size").alias("range_size"))
     sizes = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
@@ -92,18 +97,21 @@ def mix(docs: DataFrame) -> DataFrame:
     whole = placed.filter(~F.col("edge")).withColumn(
         "copies", F.col("epochs") + F.when(F.col("before") + F.col("range_size") <= F.col("rest"), 1).otherwise(0)
     )
-    inside = Window.partitionBy("source", "bucket").orderBy("es_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("es_key", "doc_id", "h").rowsBetween(Window.unboundedPreceding, -1)
     at_edge = placed.filter("edge").withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     nearer = F.col("before") + F.col("size") - F.col("rest") <= F.col("rest") - F.col("before")
     at_edge = at_edge.withColumn("copies", F.col("epochs") + F.when(nearer & (F.col("before") < F.col("rest")), 1).otherwise(0))
-    cols = ["doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"),
+    cols = ["doc_id", "h", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"),
             F.col("copies").cast("long").alias("copies")]
-    return unmasked(whole.select(cols).unionByName(at_edge.select(cols)))
+    return whole.select(cols).unionByName(at_edge.select(cols))
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """docs with every row as often as the mix takes it (0, 1 or 2 times)."""
-    key, n, i = free_name(docs, "_mix_id"), free_name(docs, "_mix_copies"), free_name(docs, "_mix_copy")
-    copies = masked(mix(docs)).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(n)).filter(f"{n} > 0")
-    out = docs.join(copies, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == copies[key]).drop(key)
-    return out.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(n, i)
+    key, own, each, turn, i = (free_name(docs, n) for n in ("_mix_id", "_mix_h", "_mix_copies", "_mix_turn", "_mix_copy"))
+    # Rows that are alike in id, text and source share out the copies that the mix gives to them.
+    copies = mixed(docs).groupBy(F.col("doc_id").alias(key), F.col("h").alias(own)).agg(F.sort_array(F.collect_list(F.col("copies").cast("int")), asc=False).alias(each))
+    rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(own, text_hash(F.col("source")))
+    rows = rows.join(copies.filter(F.col(each)[0] > 0), [key, own]).withColumn(turn, F.row_number().over(Window.partitionBy(key, own).orderBy(key)))
+    times = F.get(F.col(each), F.col(turn) - 1)
+    return rows.withColumn(i, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).select([f"`{c}`" for c in docs.columns])

@@ -7,16 +7,16 @@ than ``max(min_docs, max_share * texts of the host)`` texts of its host hold it.
 that loses so many words that fewer than ``min_left_share`` of them stay is rejected.
 The base rules (enough words, not too many repeated three-word windows) come first.
 
-Null text has no words and fails the base rules; null hosts form one host. Repeated rows
-each give a row. Extra columns are ignored. An empty table gives an empty result.
+Null text has no words and fails the base rules; null and empty are one text of a host;
+null hosts form one host. Rows that repeat a doc_id each give a row, judged by its own text. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text_sql import NO_ID, free_name, masked, unmasked, words
+from .text_sql import NO_ID, free_name, masked, text_hash, unmasked, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -61,10 +61,11 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     """doc_id, source, text_key and the base counts of every document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     w = F.col("w")
-    cut = masked(docs).select("doc_id", "source", text.alias("text"), words(F.col("text")).alias("w"))
+    cut = masked(docs).select("doc_id", text_hash(F.col("source")).alias("h"), "source", text.alias("text"), words(F.col("text")).alias("w"))
     lines = F.filter(F.split(F.col("text"), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     hashed = cut.select(
         "doc_id",
+        "h",
         "source",
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
@@ -85,7 +86,7 @@ def base_metrics(docs: DataFrame) -> DataFrame:
         )
     )
     windowed = hashed.select(
-        "doc_id", "source", "n_words", "word_chars", "n_symbols",
+        "doc_id", "h", "source", "n_words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         windows.alias("windows"),
     )
@@ -98,17 +99,22 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]", "0"), r"[\x20\x09-\x0D]+", " "))
 
 
+def text_key() -> Column:
+    """Tells texts apart; null and empty are one."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def document_lines(docs: DataFrame) -> DataFrame:
     """A row for each distinct normalised line of a document, with the words it holds there (repeats summed)."""
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     exploded = masked(docs).select(
-        "doc_id", "source", F.xxhash64("text").alias("text_key"),
+        "doc_id", text_hash(F.col("source")).alias("h"), "source", text_key().alias("text_key"),
         F.explode(F.transform(lines, lambda x: F.struct(
             F.xxhash64(normalised(x)).alias("line"),
             F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("line_words"),
         ))).alias("l"),
     )
-    return exploded.select("doc_id", "source", "text_key", "l.line", "l.line_words")
+    return exploded.select("doc_id", "h", "source", "text_key", "l.line", "l.line_words")
 
 
 def frequent_lines(docs: DataFrame, min_docs: int, max_share: float) -> DataFrame:
@@ -117,7 +123,7 @@ def frequent_lines(docs: DataFrame, min_docs: int, max_share: float) -> DataFram
     counts = seen.groupBy("source", "line").agg(F.count("*").alias("texts"))
     counts = counts.filter(F.col("texts") > min_docs)
     hosts = (
-        docs.select("source", F.xxhash64("text").alias("text_key")).distinct()
+        docs.select("source", text_key().alias("text_key")).distinct()
         .groupBy("source").agg(F.count("*").alias("host_texts"))
         .withColumnRenamed("source", "host")
     )
@@ -126,19 +132,22 @@ def frequent_lines(docs: DataFrame, min_docs: int, max_share: float) -> DataFram
 
 
 def removed_words(docs: DataFrame, min_docs: int, max_share: float) -> DataFrame:
-    """doc_id, removed_words of documents that hold frequent lines."""
+    """doc_id, h, removed_words of documents that hold frequent lines; rows that are alike are summed."""
     hot = frequent_lines(docs, min_docs, max_share).select(F.col("source").alias("hot_source"), F.col("line").alias("hot_line"))
     held = document_lines(docs).join(
         hot, (F.col("line") == F.col("hot_line")) & F.col("source").eqNullSafe(F.col("hot_source"))
     )
-    return held.groupBy("doc_id").agg(F.sum("line_words").alias("removed_words"))
+    return held.groupBy("doc_id", "h").agg(F.sum("line_words").alias("removed_words"))
 
 
 def quality(docs: DataFrame, min_docs: int = 20, max_share: float = 0.05, min_left_share: float = 0.3) -> DataFrame:
     """The base counts, removed_words and the verdict of each document."""
     base = base_metrics(docs)
-    out = base.join(removed_words(docs, min_docs, max_share), "doc_id", "left")
-    removed = F.coalesce("removed_words", F.lit(0)).cast("long")
+    out = base.join(removed_words(docs, min_docs, max_share), ["doc_id", "h"], "left")
+    # Rows alike in id, text and source have the same lines, so each has its share of the sum.
+    alike = F.count("*").over(Window.partitionBy("doc_id", "h"))
+    out = out.withColumn("removed_words", (F.coalesce("removed_words", F.lit(0)) / alike).cast("long"))
+    removed = F.col("removed_words")
     depleted = (F.col("n_words") - removed) < F.lit(min_left_share) * F.col("n_words")
     out = out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -155,16 +164,16 @@ def strip_lines(docs: DataFrame, min_docs: int = 20, max_share: float = 0.05) ->
     held = document_lines(docs).join(
         hot, (F.col("line") == F.col("hot_line")) & F.col("source").eqNullSafe(F.col("hot_source"))
     )
-    lines, key = free_name(docs, "_cut_lines"), free_name(docs, "_cut_id")
-    cut = held.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(lines))
+    lines, key, own = free_name(docs, "_cut_lines"), free_name(docs, "_cut_id"), free_name(docs, "_cut_h")
+    cut = held.groupBy(F.col("doc_id").alias(key), F.col("h").alias(own)).agg(F.collect_set("line").alias(lines))
     kept = F.array_join(
         F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1),
                  lambda x: ~F.array_contains(F.col(lines), F.xxhash64(normalised(x)))), "\n",
     )
     return (
-        docs.join(cut, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == cut[key], "left")
+        docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(own, text_hash(F.col("source"))).join(cut, [key, own], "left")
         .withColumn("text", F.when(F.col(lines).isNull(), F.col("text")).otherwise(kept))
-        .select(docs.columns)
+        .select([f"`{c}`" for c in docs.columns])
     )
 
 

@@ -1,14 +1,13 @@
-"""Repeated windows of fixed length, found from anchors: the engine under the two passage removers.
+"""Repeated windows of fixed length, found from anchors. The byte remover takes its anchors from here, the word remover all of it.
 
 A sequence is the bytes or the words of one document. Its windows of ``window`` units are
 judged; its q-grams ("grams", ``gram`` units) are the initial buckets. Each window picks
 the gram with the least fingerprint as its anchor, leftmost on ties, so equal windows pick
 the same gram at the same place and an anchor is a place both share.
 
-Identifiers are refined as in bucket-pointer refinement: the identifier of 2k units at a
-place is made from the identifiers of k units there and k units further on, over and over,
-each level reusing the one before. Identifiers are fingerprints instead of ranks, so a
-pointer to a later offset is read where the text is and costs no join.
+The identifier of 2k units at a place is made from the identifiers of k units there and k
+units further on, over and over, each level reusing the one before. Identifiers are
+fingerprints, read where the text is.
 
   1. a sketch of all anchor grams tells which grams are surely unique (``sketch.py``);
   2. the anchors left are sorted into classes by their gram and by the units around it
@@ -90,7 +89,7 @@ def window_minima(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def minimisers(units: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, Names]:
+def minimisers(units: np.ndarray, first: np.ndarray, window: int, gram: int, stretch: int = 1 << (PLACE_BITS - 1)) -> tuple[np.ndarray, np.ndarray, Names]:
     """Start of every window, the place of its anchor, and the identifiers of the block. Windows lie within documents."""
     names = Names(units, window)
     none = np.zeros(0, np.int64)
@@ -99,14 +98,19 @@ def minimisers(units: np.ndarray, first: np.ndarray, window: int, gram: int) ->
     order = mixed(names.of(np.arange(len(units) - gram + 1), gram))
     order >>= np.uint64(PLACE_BITS)
     order <<= np.uint64(PLACE_BITS)
-    order |= np.arange(len(order), dtype=np.uint64)
-    least = window_minima(order, window - gram + 1)
+    width, parts = window - gram + 1, []
+    # Places are counted from the begin of a stretch, so they never need more than their bits.
+    for s in range(0, len(order) - width + 1, stretch):
+        own = order[s : s + stretch + width - 1]
+        own = own | np.arange(len(own), dtype=np.uint64)
+        parts.append((window_minima(own, width) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64) + s)
+    least = np.concatenate(parts)
     mark = np.zeros(len(units) + 1, np.int32)
     own = np.diff(first) >= window
     np.add.at(mark, first[:-1][own], 1)
     np.add.at(mark, first[1:][own] - window + 1, -1)
     start = np.flatnonzero(np.cumsum(mark)[: len(least)] > 0)
-    return start, (least[start] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64), names
+    return start, least[start], names
 
 
 def anchors(units: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Names]:
@@ -130,13 +134,13 @@ def _keys(read: Reader, window: int, gram: int):
     return run
 
 
-CANDIDATE = "c1 long, c2 long, left long, right long, doc_id long, place int, more array<int>, before short, after short"
+CANDIDATE = "c1 long, c2 long, left long, right long, doc_id long, h long, place int, more array<int>, before short, after short"
 
 
-def _candidates(read: Reader, window: int, gram: int, within: bool, again, bits: int):
+def _candidates(read: Reader, window: int, gram: int, again, bits: int):
     """Anchors that may repeat: identifiers of the gram with all units around it, and with half of them on either side.
 
-    Where repeats within a document don't count, equal anchors of a document are one row with further places.
+    Repeats within a document don't count, so its equal anchors are one row with further places.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,19 +163,18 @@ def _candidates(read: Reader, window: int, gram: int, within: bool, again, bits:
             left = _joined(key, names.spans(place - near, near))
             right = _joined(names.spans(place + gram, far), key)
             place -= first[doc]
-            more = pa.nulls(len(place), pa.list_(pa.int32()))
-            if not within:
-                order = np.lexsort((place, c2, c1, doc))
-                head = np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(c1[order]) != 0) | (np.diff(c2[order]) != 0)])
-                begin = np.append(np.flatnonzero(head), len(order))
-                own = order[begin[:-1]]
-                # Places of a row from its second on; the lists lie end to end.
-                rest = np.delete(place[order], begin[:-1]).astype(np.int32)
-                ends = np.concatenate([[0], np.cumsum(np.diff(begin) - 1)]).astype(np.int32)
-                more = pa.ListArray.from_arrays(pa.array(ends), pa.array(rest))
-                c1, c2, left, right, doc, place, before, after = (x[own] for x in (c1, c2, left, right, doc, place, before, after))
+            order = np.lexsort((place, c2, c1, doc))
+            head = np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(c1[order]) != 0) | (np.diff(c2[order]) != 0)])
+            begin = np.append(np.flatnonzero(head), len(order))
+            own = order[begin[:-1]]
+            # Places of a row from its second on; the lists lie end to end.
+            rest = np.delete(place[order], begin[:-1]).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(np.diff(begin) - 1)]).astype(np.int32)
+            more = pa.ListArray.from_arrays(pa.array(ends), pa.array(rest))
+            c1, c2, left, right, doc, place, before, after = (x[own] for x in (c1, c2, left, right, doc, place, before, after))
+            h = b.batch.column("h").to_numpy(zero_copy_only=False)[b.rows]
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (c1, c2, left, right)), pa.array(b.doc_id[doc], pa.int64()),
+                [*(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (c1, c2, left, right)), pa.array(b.doc_id[doc], pa.int64()), pa.array(h[doc], pa.int64()),
                  pa.array(place, pa.int32()), more, pa.array(before, pa.int16()), pa.array(after, pa.int16())],
                 names=[x.split()[0] for x in CANDIDATE.split(", ")],
             )
@@ -179,7 +182,7 @@ def _candidates(read: Reader, window: int, gram: int, within: bool, again, bits:
     return run
 
 
-WINDOW = "w1 long, w2 long, doc_id long, place int"
+WINDOW = "w1 long, w2 long, doc_id long, h long, place int"
 
 
 def _asked_windows(read: Reader, window: int, gram: int, batches: Iterator[pa.RecordBatch]):
@@ -193,9 +196,7 @@ def _asked_windows(read: Reader, window: int, gram: int, batches: Iterator[pa.Re
         sides = np.zeros(len(units) + 1, np.uint8)
         for i in range(len(b.doc_id)):
             cell = b.batch.column("asked")[b.rows.start + i].values
-            at = cell.field("place").to_numpy() + first[i]
-            inside = at < first[i + 1]  # rows that repeat a doc_id may be shorter
-            np.bitwise_or.at(sides, at[inside], cell.field("side").to_numpy().astype(np.uint8)[inside])
+            np.bitwise_or.at(sides, cell.field("place").to_numpy() + first[i], cell.field("side").to_numpy().astype(np.uint8))
         left = place - start
         wanted = ((sides[place] & 1) > 0) & (left >= half) | ((sides[place] & 2) > 0) & (window - gram - left >= half)
         start = start[wanted]
@@ -220,10 +221,11 @@ def _windows(read: Reader, window: int, gram: int, again, bits: int):
             start, w1 = start[ok], w1[ok]
             owner = np.searchsorted(first, start, "right") - 1
             w2 = Spans(units, 1).of(start, start + window)
+            h = b.batch.column("h").to_numpy(zero_copy_only=False)[b.rows]
             for k in range(0, len(start), 1 << 18):
                 own = slice(k, k + (1 << 18))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w1[own].view(np.int64)), pa.array(w2[own].view(np.int64)), pa.array(b.doc_id[owner[own]], pa.int64()), pa.array((start - first[owner])[own], pa.int32())],
+                    [pa.array(w1[own].view(np.int64)), pa.array(w2[own].view(np.int64)), pa.array(b.doc_id[owner[own]], pa.int64()), pa.array(h[owner[own]], pa.int64()), pa.array((start - first[owner])[own], pa.int32())],
                     names=[x.split()[0] for x in WINDOW.split(", ")],
                 )
 
@@ -232,56 +234,49 @@ def _windows(read: Reader, window: int, gram: int, again, bits: int):
 
 def _ranges(rows: DataFrame) -> DataFrame:
     pair = F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))
-    return rows.groupBy("doc_id").agg(F.collect_set(pair).alias("ranges"))
+    return rows.groupBy("doc_id", "h").agg(F.collect_set(pair).alias("ranges"))
 
 
-def repeated_ranges(docs: DataFrame, read: Reader, window: int, gram: int, within: bool, bits: int, operator: str) -> DataFrame:
-    """doc_id, ranges (array of struct<a, b>: units a to b - 1) that equal an earlier window; not merged.
+def repeated_ranges(docs: DataFrame, read: Reader, window: int, gram: int, bits: int, operator: str) -> DataFrame:
+    """doc_id, h, ranges (array of struct<a, b>: units a to b - 1) that equal a window of a smaller doc_id; not merged.
 
-    docs has doc_id (long) and text (binary). An earlier window starts in a smaller doc_id or,
-    with ``within``, at an earlier place of the same document.
+    docs has doc_id (long), h (long, tells rows of one doc_id apart) and text (binary).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, operator)
     again = spark.sparkContext.broadcast(repeated_bits(docs, _keys(read, window, gram), bits))
-    cand = scratch.put("candidates", docs.mapInArrow(_candidates(read, window, gram, within, again, bits), CANDIDATE))
-    where = F.struct("doc_id", "place")
+    cand = scratch.put("candidates", docs.mapInArrow(_candidates(read, window, gram, again, bits), CANDIDATE))
     all_places = lambda p, m: F.concat(F.array(p), F.coalesce(m, F.array().cast("array<int>")))
     classes = scratch.put("classes", cand.groupBy("c1", "c2").agg(
-        F.min(where if within else F.struct("doc_id", "place", "more")).alias("first"), F.max("doc_id").alias("last_doc"), F.count("*").alias("members"),
-        *(F.first(c).alias(c) for c in ("left", "right", "before", "after"))))
+        F.min(F.struct("doc_id", "h", "place", "more")).alias("first"), F.max("doc_id").alias("last_doc"), *(F.first(c).alias(c) for c in ("left", "right", "before", "after"))))
 
-    later = (F.col("doc_id") > F.col("first.doc_id")) | F.lit(within) & (F.col("doc_id") == F.col("first.doc_id")) & (F.col("place") > F.col("first.place"))
-    several = classes.filter("members > 1" if within else "last_doc > first.doc_id")
+    later = F.col("doc_id") > F.col("first.doc_id")
+    several = classes.filter("last_doc > first.doc_id")
     reach = window - gram
     wide = F.col("before") + F.col("after") >= reach
-    covered = cand.join(several.select("c1", "c2", "first"), ["c1", "c2"]).filter(later & wide)
-    if not within:
-        covered = covered.withColumn("place", F.explode(all_places(F.col("place"), F.col("more"))))
-    covered = covered.select("doc_id", (F.col("place") - F.col("before")).alias("a"), (F.col("place") + gram + F.col("after")).alias("b"))
+    covered = cand.join(several.select("c1", "c2", "first"), ["c1", "c2"]).filter(later & wide).withColumn("place", F.explode(all_places(F.col("place"), F.col("more"))))
+    covered = covered.select("doc_id", "h", (F.col("place") - F.col("before")).alias("a"), (F.col("place") + gram + F.col("after")).alias("b"))
     whole = scratch.put("whole", _ranges(covered))
     scratch.drop("candidates")
 
     # A window reaches half the context or more on one side, so only classes that share a half can share a window.
     halves = classes.filter(wide).select("first", F.explode(F.array(
-        F.struct(F.lit(1).cast("byte").alias("side"), F.col("left").alias("half")), F.struct(F.lit(2).cast("byte").alias("side"), F.col("right").alias("half")))).alias("h"))
-    places = F.array("first.place") if within else all_places(F.col("first.place"), F.col("first.more"))
-    halves = halves.select("first.doc_id", places.alias("places"), "h.side", "h.half")
+        F.struct(F.lit(1).cast("byte").alias("side"), F.col("left").alias("half")), F.struct(F.lit(2).cast("byte").alias("side"), F.col("right").alias("half")))).alias("s"))
+    halves = halves.select("first.doc_id", "first.h", all_places(F.col("first.place"), F.col("first.more")).alias("places"), "s.side", "s.half")
     shared = halves.groupBy("side", "half").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("side", "half")
-    asked = scratch.put("asked", halves.join(shared, ["side", "half"]).select("doc_id", "side", F.explode("places").alias("place"))
-                         .groupBy("doc_id").agg(F.collect_list(F.struct("place", "side")).alias("asked")))
+    asked = scratch.put("asked", halves.join(shared, ["side", "half"]).select("doc_id", "h", "side", F.explode("places").alias("place"))
+                         .groupBy("doc_id", "h").agg(F.collect_list(F.struct("place", "side")).alias("asked")))
     scratch.drop("classes")
-    texts = scratch.put("texts", docs.join(asked, "doc_id"))
+    texts = scratch.put("texts", docs.join(asked, ["doc_id", "h"]))
     scratch.drop("asked")
     often = spark.sparkContext.broadcast(repeated_bits(texts, _window_keys(read, window, gram), bits))
     spelled = texts.mapInArrow(_windows(read, window, gram, often, bits), WINDOW)
-    earliest = spelled.groupBy("w1", "w2").agg(F.min(where).alias("first"), F.count("*").alias("members")).filter("members > 1")
+    earliest = spelled.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "h", "place")).alias("first"), F.count("*").alias("members")).filter("members > 1")
     found = spelled.join(earliest.select("w1", "w2", "first"), ["w1", "w2"]).filter(later).select(
-        "doc_id", F.col("place").alias("a"), (F.col("place") + window).alias("b"))
+        "doc_id", "h", F.col("place").alias("a"), (F.col("place") + window).alias("b"))
     part = scratch.put("part", _ranges(found))
     scratch.drop("texts")
-    both = whole.unionByName(part).groupBy("doc_id").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    return both
+    return whole.unionByName(part).groupBy("doc_id", "h").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def covered_mask(n: int, ranges: np.ndarray) -> np.ndarray:

@@ -7,8 +7,8 @@ left. Every word in a window of ``length`` words that also starts in a document
 smaller doc_id goes; windows are judged on the input.
 
 Null has no words; texts with fewer than ``length`` words stay whole. Rows that repeat a
-doc_id are one document: they keep each other's words, and a range found in one goes from all. Extra columns are ignored. An empty table gives an empty
-result. Words that stay are joined by one space.
+doc_id keep each other's words (neither has the smaller one); each loses its own repeats of
+smaller doc_ids. Extra columns are ignored. An empty table gives an empty result. Words that stay are joined by one space.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Block, word_hashes, word_spans
 from .repeats import covered_mask, ranges_of, repeated_ranges
-from .text_sql import masked, unmasked
+from .text_sql import masked, text_hash, unmasked
 
 LENGTH, GRAM = 50, 25
 SKETCH_BITS = 26
@@ -49,9 +49,9 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int = SKETCH_BITS) -> DataFrame:
     """doc_id, n_words, n_removed and kept (UTF-8 of the words that stay) per row of docs."""
-    texts = masked(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    ranges = repeated_ranges(texts, read_words, length, gram, False, bits, "substring")
-    return unmasked(texts.join(ranges, "doc_id", "left").mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept binary"))
+    texts = masked(docs).select("doc_id", text_hash().alias("h"), F.col("text").cast("binary").alias("text"))
+    ranges = repeated_ranges(texts, read_words, length, gram, bits, "substring")
+    return unmasked(texts.join(ranges, ["doc_id", "h"], "left").mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept binary"))
 
 
 def digest(removed: DataFrame) -> DataFrame:

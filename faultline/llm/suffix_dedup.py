@@ -48,7 +48,7 @@ from .blocks import Block, Spans, blocks, byte_values, mixed
 from .repeats import anchors, covered_mask, ranges_of
 from .scratch import Scratch
 from .sketch import maybe_repeated, repeated_bits, seen_bits
-from .text_sql import masked, unmasked
+from .text_sql import masked, text_hash, unmasked
 
 LENGTH, GRAM = 100, 32
 SKETCH_BITS = 27
@@ -298,7 +298,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int = SKETCH_BITS, **how) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay) per row of docs."""
-    texts = masked(docs).select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
+    texts = masked(docs).select("doc_id", text_hash().alias("h"), F.col("text").cast("binary").alias("text"))
     ranges = repeated_bytes(texts, length, gram, bits, **how)
     return unmasked(texts.join(ranges, ["doc_id", "h"], "left").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"))
 

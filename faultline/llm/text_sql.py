@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six ASCII space characters that separate words.
@@ -51,8 +51,15 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids (masked)."""
-    key = free_name(docs, "_kept_id")
-    wanted = ids.select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(wanted, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == wanted[key], "left_semi")
+def text_hash(*more: Column) -> Column:
+    """Tells rows that repeat a doc_id apart: a hash of the text (null and empty differ) and of more."""
+    return F.xxhash64(F.col("text"), F.col("text").isNull(), *more)
+
+
+def only(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id and text_hash are among rows (doc_id masked, h); one of those that repeat both, unless ``many`` is true there."""
+    key, own, many, turn = (free_name(docs, n) for n in ("_kept_id", "_kept_h", "_kept_many", "_kept_turn"))
+    wanted = rows.groupBy(F.col("doc_id").alias(key), F.col("h").alias(own)).agg(F.max("many").alias(many))
+    held = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(own, text_hash())
+    held = held.join(wanted, [key, own]).withColumn(turn, F.row_number().over(Window.partitionBy(key, own).orderBy(key)))
+    return held.filter(F.col(many) | (F.col(turn) == 1)).select([f"`{c}`" for c in docs.columns])

@@ -35,9 +35,25 @@ def _tokenizer(file: str):
     from tokenizers import Tokenizer
     from public_tokenizers import path
 
-    t = Tokenizer.from_file(path(file))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path(file))
+
+
+@cache
+def special_tokens(file: str) -> re.Pattern | None:
+    """A pattern of the vocabulary's special tokens, which are one id wherever they stand; None where there are none."""
+    import json
+
+    from public_tokenizers import path
+
+    with open(path(file), encoding="utf-8") as f:
+        found = [t["content"] for t in json.load(f).get("added_tokens", [])]
+    return re.compile("|".join(map(re.escape, sorted(found, key=len, reverse=True)))) if found else None
+
+
+@cache
+def _special(file: str) -> re.Pattern | None:
+    found = special_tokens(file)
+    return found and re.compile(found.pattern.encode())
 
 
 @cache
@@ -77,7 +93,8 @@ class Encoder:
     def encode(self, text: bytes) -> bytes:
         if not text:
             return b""
-        if _odd(text):
+        special = _special(self.file)
+        if special is not None and special.search(text) or _odd(text):
             return self.whole(text)
         head, *rest = text.split(b" ")
         units = self.units

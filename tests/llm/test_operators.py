@@ -528,15 +528,43 @@ def test_random_edits():
     import random
 
     t, c, r = _tokenizer(token_counts.VOCABULARY), token_counts.Counter(), random.Random(2)
-    for case in range(25):
-        text = "".join(r.choice(["word", " ", "  ", "\n", "'s", "12", "é", ", ", "The "]) for _ in range(r.randrange(0, 300)))
+
+    def sums(node):
+        if node is None:
+            return 0, 0, 0
+        left, right = sums(node.left), sums(node.right)
+        assert abs(left[2] - right[2]) <= 1 and node.height == 1 + max(left[2], right[2])
+        own = left[0] + right[0] + sum(map(len, node.pieces)), left[1] + right[1] + sum(node.counts)
+        assert own == (node.chars, node.tokens)
+        return *own, node.height
+
+    for case in range(40):
+        text = "".join(r.choice(["word", " ", "  ", "\n", "'s", "12", "é", ", ", "The ", "<|endoftext|>", "<|endo", "ftext|>"]) for _ in range(r.randrange(0, 4000 if case % 5 == 0 else 300)))
         tree = token_counts.Tree(text, c)
         for _ in range(8):
-            place, deleted, inserted = r.randrange(len(text) + 2), r.choice([0, 1, 5, 60]), r.choice(["", " ", "\n", "ab", "  c", "'"])
+            place, deleted, inserted = r.randrange(len(text) + 2), r.choice([0, 1, 5, 60]), r.choice(["", " ", "\n", "ab", "  c", "'", "<", "|>", "x " * 300])
             tree.edit(place, deleted, inserted)
             at = min(place, len(text))
             text = text[:at] + inserted + text[at + deleted :]
             assert tree.text() == text and tree.total == len(t.encode(text, add_special_tokens=False).ids)
+            sums(tree.root)
+
+
+def test_kept_trees(spark):
+    from tests.llm.conftest import prose
+
+    t = _tokenizer(token_counts.VOCABULARY)
+    texts = {1: prose(4, 900), 2: "", 3: "short one"}
+    trees = token_counts.build_trees(spark.createDataFrame([(d, x or None) for d, x in texts.items()], "doc_id long, text string"))
+    for turn in range(3):
+        edits = spark.createDataFrame([(d, [(7 * turn, 2, f"new{turn} ")]) for d in (1, 2)], "doc_id long, edits array<struct<place:int,deleted:int,inserted:string>>")
+        trees = token_counts.edit_trees(trees, edits)
+        for d in (1, 2):
+            at = min(7 * turn, len(texts[d]))
+            texts[d] = texts[d][:at] + f"new{turn} " + texts[d][at + 2 :]
+        for r in trees.collect():
+            assert bytes(r.text).decode() == texts[r.doc_id] and sum(r.counts) == len(t.encode(texts[r.doc_id], add_special_tokens=False).ids)
+            assert r.reencoded < 40
 
 
 # --- 9 ---------------------------------------------------------------------------------------
@@ -563,11 +591,14 @@ def test_language_learns_every_label(spark):
 
 
 def test_language_odd_rows(spark, odd, nothing):
-    out = {r.doc_id: r for r in langid.identify(odd).collect()}
-    assert len(out) == len({r.doc_id for r in odd.collect()})
+    every = langid.identify(odd).collect()
+    assert len(every) == odd.count()
+    out = {r.doc_id: r for r in every}
     assert out[0].lang_pred == out[1].lang_pred == out[10].lang_pred == "und" and out[0].score == 0
     assert out[13].lang_pred != "und"
     assert langid.identify(nothing).count() == 0
     unlabelled = spark.createDataFrame([(1, "hello there")], "doc_id long, text string").selectExpr("*", "cast(null as string) as lang")
     assert langid.identify(unlabelled).first().lang_pred == "und"
-    assert {r.doc_id for r in langid.keep_known(odd).collect()} == {r for r in out if out[r].lang_pred != "und"}
+    known = langid.keep_known(odd)
+    assert known.columns == odd.columns
+    assert collections.Counter(r.doc_id for r in known.collect()) == collections.Counter(r.doc_id for r in every if r.lang_pred != "und")
