@@ -13,11 +13,12 @@ windows pick the same gram at the same place, so suffixes that start at anchors
      by all bytes that a window over the anchor can touch. All but the earliest member of a
      class are covered as far as these bytes reach.
   2. In a bucket that holds several classes, the earliest member of each brings these bytes.
-     Buckets are then refined: the bucket of the first 2k bytes at a place is found by
-     sorting on the bucket identifiers of the first k bytes there and of the k bytes at the
-     later offset k; each level is sorted on identifiers of the level before, from q-grams
-     of eight bytes up to whole windows. Identifiers are ranks, so nothing collides here.
-     Members of a last bucket hold equal windows; all but the earliest are covered.
+     Buckets are then refined by sorting on identifiers at later offsets: of the bytes to the
+     right of the gram, and of those to its left. A level is sorted on the identifiers of
+     the level before and those one offset further; who is alone in a bucket is done. The
+     buckets of windows come from sorting on the identifiers of both parts, which all
+     windows over the gram share. Identifiers are ranks, so nothing collides here. Members
+     of a last bucket hold equal windows; all but the earliest are covered.
   3. Half the bytes on one side of the anchor split a bucket before it is refined (a window
      reaches that far on one side or the other), so a gram that many texts share is many
      small buckets. One that still has more than ``SPLIT`` classes is not brought together:
@@ -52,8 +53,6 @@ from .text_sql import masked, text_hash, unmasked
 
 LENGTH, GRAM = 100, 32
 SKETCH_BITS = 27
-#: Bytes of the q-grams whose buckets are refined.
-FIRST = 8
 #: Classes of a split bucket that are brought together at most, and of all buckets in one task (on average).
 SPLIT, TOGETHER = 4096, 12_288
 
@@ -142,26 +141,26 @@ def _contexts(window: int, gram: int, asked, bits: int):
 # --- refinement ----------------------------------------------------------------------------
 
 
-def refined(ids: np.ndarray, later: np.ndarray) -> np.ndarray:
-    """Bucket identifiers (ranks) of places, sorted on their bucket and on that of a later place."""
-    pair = ids.astype(np.int64) * (int(later.max(initial=0)) + 1) + later
-    return np.unique(pair, return_inverse=True)[1].reshape(ids.shape)
+def refined(bucket: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Bucket identifiers (ranks), sorted on the bucket and on an identifier at a later place; -1 for who is alone in a bucket."""
+    _, rank, size = np.unique(bucket.astype(np.int64) * (int(later.max(initial=0)) + 1) + later, return_inverse=True, return_counts=True)
+    return np.where(size[rank] > 1, rank, -1)
 
 
-def window_buckets(text: np.ndarray, window: int, places: np.ndarray) -> np.ndarray:
-    """Identifier of the window at each of the places (columns) of each row of bytes."""
-    k = 1
-    while 2 * k <= min(FIRST, window):
-        k *= 2
-    n = text.shape[1]
-    ids = np.zeros((len(text), n - k + 1), np.uint64)
-    for i in range(k):
-        ids = ids << np.uint64(8) | text[:, i : n - k + 1 + i]
-    ids = np.unique(ids, return_inverse=True)[1].reshape(ids.shape)
-    while 2 * k <= window:
-        ids = refined(ids[:, : n - 2 * k + 1], ids[:, k:])
-        k *= 2
-    return refined(ids[:, places], ids[:, places + window - k])
+def levels(bucket: np.ndarray, text: np.ndarray, there: np.ndarray) -> list[np.ndarray]:
+    """Identifiers of the rows of a bucket by their first 0, 1, 2, ... bytes; -1 for rows alone in their bucket or without so many bytes (there).
+
+    Each level sorts on the level before and on the byte at the next later place; who is alone is not sorted again.
+    """
+    out, alive = [bucket], np.arange(len(bucket))
+    for k in range(text.shape[1]):
+        alive = alive[there[alive] > k]
+        own = refined(out[-1][alive], text[alive, k])
+        level = np.full(len(bucket), -1, np.int64)
+        level[alive] = own
+        alive = alive[own >= 0]
+        out.append(level)
+    return out
 
 
 def _refined(window: int, gram: int):
@@ -175,38 +174,44 @@ def _refined(window: int, gram: int):
         own = t.column("bytes").combine_chunks().cast(pa.large_binary())
         data = np.frombuffer(own.buffers()[2] or b"", np.uint8)
         offsets = np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + len(own) + 1]
+        _, doc_rank = np.unique(np.stack([doc, h], axis=1), axis=0, return_inverse=True)
+        doc_rank = doc_rank.reshape(-1)
         out: list = []
         for s in (1, 2):
             rows = np.flatnonzero(side == s)
-            # Windows that start at a column of the text whose anchor is at column reach; the left ones, then the right ones.
-            starts = np.arange(reach - half + 1) if s == 1 else np.arange(reach - half + 1, reach + 1)
-            if not len(rows) or not len(starts):
+            # How many bytes lie on either side of what all rows of a split bucket share; windows reach left by x and right by the rest.
+            near, far = (half, 0) if s == 1 else (0, half)
+            width = reach - half
+            if not len(rows) or s == 2 and not half:
                 continue
-            size = before[rows] + gram + after[rows]
-            text = np.zeros((len(rows), reach + window), np.uint8)
-            r = np.repeat(np.arange(len(rows)), size)
-            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            text[r, step + (reach - before[rows])[r]] = data[np.repeat(offsets[rows], size) + step]
-            shift = int(starts[0])
-            bucket = window_buckets(text[:, shift : int(starts[-1]) + window], window, starts - shift)
-            inside = (reach - starts[None, :] <= before[rows][:, None]) & (starts[None, :] <= after[rows][:, None])
-            r, c = np.nonzero(inside)
-            # Equal windows of a split bucket, the earliest in front. Two anchors may bring the same window.
-            start = place[rows][r] + c
-            order = np.lexsort((start, h[rows][r], doc[rows][r], bucket[r, c], sub[rows][r]))
-            r, c, start = r[order], c[order], start[order]
-            b, u = bucket[r, c], sub[rows][r]
-            new = np.concatenate([[True], (b[1:] != b[:-1]) | (u[1:] != u[:-1])]) if len(r) else np.zeros(0, bool)
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            again = (start != start[first]) | (rows[r] != rows[r[first]]) & ((doc[rows][r] != doc[rows][r[first]]) | (h[rows][r] != h[rows][r[first]]))
-            hit = np.zeros((len(rows), len(starts) + 1), np.int8)
-            hit[r[again], c[again]] = 1
-            # Windows next to each other are one range.
+            left, right = np.zeros((len(rows), width), np.uint8), np.zeros((len(rows), width), np.uint8)
+            base, lead, tail = offsets[rows], before[rows] - near, after[rows] - far
+            for k in range(width):
+                has = lead > k
+                left[has, k] = data[base[has] + lead[has] - 1 - k]
+                has = tail > k
+                right[has, k] = data[base[has] + before[rows][has] + gram + far + k]
+            bucket = np.unique(sub[rows], return_inverse=True)[1].reshape(-1)
+            lefts, rights = levels(bucket, left, lead), levels(bucket, right, tail)
+            hit = np.zeros((len(rows), width + 2), np.int8)
+            # Windows of the right side that reach half or more to the left are the left side's.
+            for x in range(width + 1 if s == 1 else min(width, half - 1) + 1):
+                own_ = np.flatnonzero((lefts[x] >= 0) & (rights[width - x] >= 0))
+                last = refined(lefts[x][own_], rights[width - x][own_])
+                own_, last = own_[last >= 0], last[last >= 0]
+                # Equal windows, the earliest in front. Two anchors may bring the same window.
+                start, of = place[rows][own_] - near - x, doc_rank[rows][own_]
+                order = np.lexsort((start, of, last))
+                own_, last, start, of = own_[order], last[order], start[order], of[order]
+                new = np.concatenate([[True], last[1:] != last[:-1]]) if len(own_) else np.zeros(0, bool)
+                first = np.flatnonzero(new)[np.cumsum(new) - 1]
+                hit[own_, width - x] = (start != start[first]) | (of != of[first])
+            # Windows next to each other are one range; column c starts at place - near - width + c.
             edge = np.diff(hit, axis=1, prepend=np.zeros((len(rows), 1), np.int8))
             r, a = np.nonzero(edge == 1)
             b = np.nonzero(edge == -1)[1]
             at = rows[r]
-            out.append((doc[at], h[at], place[at] - reach + starts[0] + a, place[at] - reach + starts[0] + b - 1 + window))
+            out.append((doc[at], h[at], place[at] - near - width + a, place[at] - near - width + b - 1 + window))
         doc, h, a, b = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(4))
         return pa.table({"doc_id": pa.array(doc, pa.int64()), "h": pa.array(h, pa.int64()), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32())})
 
