@@ -1,22 +1,31 @@
 """Best-fit packing in bulk-synchronous rounds: token sequences of at most ``capacity`` ids.
 
 A document longer than a sequence is cut into full pieces, the first one taking the rest,
-so only its first piece needs a partner. Pieces and open gaps are both kept sorted by size.
-A round takes the largest size still waiting: its pieces sweep to their successor gap (the
-least that holds them), conflicts for a gap are settled by rank (the pieces' order within
-their size against the gaps' order within theirs), the matched gaps shrink and move to
-their new size, and what found none opens sequences. Since sizes are whole numbers up to
-``capacity``, both sorted lists are held as runs (size, how many), so a round moves runs,
-not rows: the plan is bounded by the capacity and does not grow with the data. Rows only
-learn their rank, by a two-level prefix sum, and look their place up in the plan.
+so only its first piece needs a partner. Sequences are opened by the total that waits; what
+is left of one is its gap. A round sorts the waiting pieces and the gaps by size and sweeps
+them together: largest first, each piece takes its successor, the least gap that holds it
+and that no larger piece took. Conflicts for a gap are settled by rank. Matched gaps shrink,
+and the round repeats with what waits; when a round places next to nothing, sequences are
+opened for the rest.
+
+The sweep is distributed. Pieces count as opening and gaps as closing brackets in the order
+of sizes, and a piece's gap is the bracket that closes it. A row's depth follows from its
+rank within its size and from prefix sums over sizes (at most ``capacity`` of them, in
+shards, whatever the input), and brackets of one depth are matched by a window over the
+depth. So every round shuffles only (id, size) rows, by many keys, and no list of sizes
+reaches the driver, which counts what waits.
+
+A gap takes one piece a round. So that short documents don't need many rounds, pieces
+shorter than a sixteenth of a sequence are first laid end to end to bundles of about that
+length, which are packed like pieces.
 
 Null text counts as empty (one end id). Rows that repeat a doc_id are packed each. Extra
-columns are ignored. An empty table gives an empty result. Reruns agree.
+columns are ignored. An empty table gives an empty result. Reruns over the same partitions
+agree.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +40,9 @@ from .tokens import Encoder
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k.json"
 #: Shards of a size whose rows are ranked apart from each other.
-RANK_SHARDS = 64
+RANK_SHARDS = 16
+#: A round that places less than this share of the waiting ids opens sequences for them.
+LEAST_SHARE = 0.02
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
@@ -73,69 +84,74 @@ def pieces(docs: DataFrame, file: str = VOCABULARY, capacity: int = CAPACITY, en
     return texts.mapInArrow(_pieces(file, capacity, end_id, with_ids), PIECE)
 
 
-def plan_rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs (size, first rank, how many, first sequence, offset): piece r of a size goes to sequence first + r - rank.
+def matched(waiting: DataFrame, gaps: DataFrame) -> DataFrame:
+    """kind (0: piece, 1: gap), id, size, and for pieces that find one the gap: other (its id), other_size; for gaps that are taken the piece.
 
-    Best fit by falling size on runs. gaps: size of the gap -> runs of sequences (first, how many) that have it.
+    waiting: id, size. gaps: id, size. Pieces, largest first, take the least gap that holds them.
     """
-    plan, gaps, sizes, opened = [], {}, [], 0
-
-    def leave(gap: int, first: int, n: int) -> None:
-        if gap:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(sizes, gap)
-            gaps[gap].append((first, n))
-
-    for size in sorted(counts, reverse=True):
-        rank, left = 0, counts[size]
-        while left:
-            at = bisect.bisect_left(sizes, size)
-            if at == len(sizes):
-                # No gap holds it: open as many sequences as hold what waits, full of this size if need be.
-                n = -(-left // (capacity // size))
-                leave(capacity, opened, n)
-                opened += n
-                continue
-            gap = sizes[at]
-            first, n = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap], sizes[at]
-            m = min(n, left)
-            if m < n:
-                leave(gap, first + m, n - m)
-            plan.append((size, rank, m, first, capacity - gap))
-            leave(gap - size, first, m)
-            rank, left = rank + m, left - m
-    return plan
-
-
-def ranked(rows: DataFrame) -> DataFrame:
-    """rows with their rank (from 0) within their length, by (shard, doc_id, piece), without one task for a length."""
-    shard = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_SHARDS)).cast("int")
-    rows = rows.withColumn("shard", shard)
-    counts = rows.groupBy("length", "shard").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("length", "shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    own = Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32")
-    # At most capacity * RANK_SHARDS rows, whatever the input.
-    return rows.withColumn("own", F.row_number().over(own) - 1).join(F.broadcast(base), ["length", "shard"]).withColumn("rank", F.col("base") + F.col("own"))
+    rows = waiting.select(F.lit(0).alias("kind"), "id", "size").unionByName(gaps.select(F.lit(1).alias("kind"), "id", "size"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(RANK_SHARDS)).cast("int"))
+    counts = rows.groupBy("size", "kind", "shard").agg(F.count("*").alias("n"))
+    # Depth before a size, over all smaller ones: at most capacity rows. Pieces come before gaps of their size.
+    sizes = counts.groupBy("size").agg(F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("opened"), F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))).alias("rise"))
+    smaller = Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("size", "opened", F.coalesce(F.sum("rise").over(smaller), F.lit(0)).alias("depth"))
+    before = Window.partitionBy("size", "kind").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("size", "kind", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).join(sizes, "size")
+    # At most 2 * capacity * RANK_SHARDS rows, whatever the input.
+    ranked = rows.withColumn("own", F.row_number().over(Window.partitionBy("size", "kind", "shard").orderBy("id"))).join(F.broadcast(base), ["size", "kind", "shard"])
+    rank = F.col("base") + F.col("own")
+    level = F.when(F.col("kind") == 0, F.col("depth") + rank).otherwise(F.col("depth") + F.col("opened") - rank + 1)
+    line = Window.partitionBy("level").orderBy("size", "kind")
+    pair = lambda f, kind: F.when(f("kind", 1).over(line) == kind, F.struct(f("id", 1).over(line).alias("id"), f("size", 1).over(line).alias("size")))
+    out = ranked.withColumn("level", level).withColumn("other", F.when(F.col("kind") == 0, pair(F.lead, 1)).otherwise(pair(F.lag, 0)))
+    return out.select("kind", "id", "size", F.col("other.id").alias("other"), F.col("other.size").alias("other_size"))
+
+
+def bundles(rows: DataFrame, capacity: int, total: int) -> DataFrame:
+    """pid, item, inner, item_size: short pieces lie in bundles from ``inner`` on; a long piece is an item of its own.
+
+    rows: pid, length. total: ids in short pieces.
+    """
+    least = max(1, capacity // 16)
+    shards = max(1, -(-total // (32 * capacity)))
+    short = rows.filter(F.col("length") < least).withColumn("shard", F.pmod(F.xxhash64("pid"), F.lit(shards)).cast("long"))
+    so_far = Window.partitionBy("shard").orderBy("length", "pid").rowsBetween(Window.unboundedPreceding, -1)
+    short = short.withColumn("at", F.coalesce(F.sum("length").over(so_far), F.lit(0))).withColumn("bundle", F.floor(F.col("at") / least))
+    own = Window.partitionBy("shard", "bundle")
+    short = short.select("pid", (-1 - F.col("shard") * (64 * capacity) - F.col("bundle")).alias("item"), (F.col("at") - F.min("at").over(own)).alias("inner"), F.sum("length").over(own).alias("item_size"))
+    long = rows.filter(F.col("length") >= least).select("pid", F.col("pid").alias("item"), F.lit(0).cast("long").alias("inner"), F.col("length").alias("item_size"))
+    return long.unionByName(short)
 
 
 def pack(docs: DataFrame, file: str = VOCABULARY, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """The pieces with sequence_id and offset (their place in the sequence, gapless from 0)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    rows = scratch.put("pieces", pieces(docs, file, capacity, end_id, with_ids))
-    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = spark.createDataFrame(
-        plan_rounds(counts, capacity) or [(0, 0, 0, 0, 0)], "p_length long, p_rank long, p_n long, p_sequence long, offset long"
-    )
-    # The runs of one length are few; a rank falls into exactly one of them.
-    runs = plan.groupBy("p_length").agg(F.array_sort(F.collect_list(F.struct("p_rank", "p_n", "p_sequence", "offset"))).alias("runs"))
-    placed = ranked(rows).join(F.broadcast(runs), F.col("length") == F.col("p_length"))
-    run = F.filter("runs", lambda r: (F.col("rank") >= r["p_rank"]) & (F.col("rank") < r["p_rank"] + r["p_n"]))[0]
-    placed = placed.withColumn("run", run)
-    cols = ["doc_id", "piece", "start", "length", "ids_crc32", (F.col("run.p_sequence") + F.col("rank") - F.col("run.p_rank")).alias("sequence_id"),
-            F.col("run.offset").alias("offset")]
-    return unmasked(placed.select(*cols, *(["ids"] if with_ids else [])))
+    rows = scratch.put("pieces", pieces(docs, file, capacity, end_id, with_ids).withColumn("pid", F.monotonically_increasing_id()))
+    total = rows.agg(F.sum(F.when(F.col("length") < max(1, capacity // 16), F.col("length")))).first()[0] or 0
+    items = scratch.put("items", bundles(rows.select("pid", "length"), capacity, total))
+    waiting = items.filter("inner = 0").select(F.col("item").alias("id"), F.col("item_size").alias("size"))
+    state = waiting.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.min("size")).first()
+    placed = spark.createDataFrame([], "id long, sequence_id long, offset long")
+    gaps = spark.createDataFrame([], "id long, size long")
+    opened, turn, few = 0, 0, True
+    while state[0]:
+        if few:
+            new = -(-state[1] // capacity)
+            gaps = gaps.unionByName(spark.range(opened, opened + new).select("id", F.lit(capacity).cast("long").alias("size")))
+            opened += new
+        swept = scratch.put(f"round{turn}", matched(waiting, gaps))
+        own = swept.filter("kind = 0 AND other IS NOT NULL").select("id", F.col("other").alias("sequence_id"), (F.lit(capacity) - F.col("other_size")).cast("long").alias("offset"))
+        placed = placed.unionByName(own)
+        waiting = swept.filter("kind = 0 AND other IS NULL").select("id", "size")
+        was = state[1]
+        state = waiting.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.min("size")).first()
+        few = was - state[1] < LEAST_SHARE * was
+        # A gap that holds nothing of what waits is out.
+        left = F.col("size") - F.coalesce("other_size", F.lit(0))
+        gaps = swept.filter("kind = 1").select("id", left.alias("size")).filter(F.col("size") >= (state[2] or capacity + 1))
+        turn += 1
+    cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", (F.col("offset") + F.col("inner")).alias("offset")]
+    out = rows.join(items, "pid").join(placed.withColumnRenamed("id", "item"), "item")
+    return unmasked(out.select(*cols, *(["ids"] if with_ids else [])))

@@ -115,32 +115,36 @@ def test_packing_odd_rows(odd, nothing):
     assert packing.pack(nothing).count() == 0
 
 
-def test_best_fit_runs_equal_best_fit_of_single_pieces():
+def test_a_round_is_best_fit_of_single_pieces(spark):
+    """Pieces by falling size, each into the least gap that holds it: the same sizes meet."""
     import random
 
     r = random.Random(3)
-    counts = collections.Counter(r.choice([5, 7, 40, 64, 33, 99, 100]) for _ in range(400))
-    plan = packing.plan_rounds(counts, 100)
-    fill = collections.Counter()
-    for size, _, n, first, offset in plan:
-        for k in range(n):
-            assert fill[first + k] == offset
-            fill[first + k] += size
-    assert sum(n for s, _, n, _, _ in plan) == 400 and max(fill.values()) <= 100
-    gaps = []
-    for size in sorted(counts.elements(), reverse=True):
-        fit = [g for g in gaps if g >= size]
-        if fit:
-            gaps.remove(min(fit))
-            gaps.append(min(fit) - size)
-        else:
-            gaps.append(100 - size)
-    assert len(fill) <= len(gaps) * 1.02 + 1
+    for case in range(4):
+        sizes = [r.randrange(1, 60) for _ in range(r.choice([0, 40, 300]))]
+        holes = [r.randrange(1, 70) for _ in range(r.choice([5, 200]))]
+        table = lambda x: spark.createDataFrame(list(enumerate(x)), "id long, size long")
+        out = packing.matched(table(sizes), table(holes)).collect()
+        left, want = sorted(holes), collections.Counter()
+        for s in sorted(sizes, reverse=True):
+            fit = next((g for g in left if g >= s), None)
+            if fit is not None:
+                left.remove(fit)
+            want[s, fit] += 1
+        assert collections.Counter((x.size, x.other_size) for x in out if x.kind == 0) == want
+        taken = [x.other for x in out if x.kind == 0 and x.other is not None]
+        assert len(set(taken)) == len(taken) and {x.id for x in out if x.kind == 1 and x.other is not None} == set(taken)
+
+
+def test_short_documents_are_bundled(spark):
+    docs = spark.createDataFrame([(i, "a b c d " * (i % 5)) for i in range(3000)], "doc_id long, text string")
+    bins, least = check_packing(rows_of(docs), packing.pack(docs).collect())
+    assert bins <= least * 1.02 + 1
 
 
 def test_units_encode_like_whole_texts():
     e, t = Encoder(packing.VOCABULARY), _tokenizer(packing.VOCABULARY)
-    for s in ["a b", " a", "a ", "a  b", "a \n b", "a\n\nb c", "it's 12,5 x", "é ü   z", "\t x", "<|endoftext|> y", "", "a　 b", "漢 字 。x"]:
+    for s in ["a b", " a", "a ", "a  b", "x <|endoftext|> <|endoftext|>y", "a \n b", "a\n\nb c", "it's 12,5 x", "é ü   z", "\t x", "<|endoftext|> y", "", "a　 b", "漢 字 。x"]:
         assert list(memoryview(e.encode(s.encode())).cast("I")) == t.encode(s, add_special_tokens=False).ids, s
 
 
