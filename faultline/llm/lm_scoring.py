@@ -51,6 +51,8 @@ COMMON_WORDS = (1 << SYMBOL_BITS) - 2
 CODE_BITS = 48
 #: Symbols of a group (of whole texts), tokens between two refinements of the weights, texts' bytes of a block.
 GROUP_TOKENS, LEARN_TOKENS, TEXT_BLOCK = 1 << 20, 1 << 16, 1 << 20
+#: Groups are scored in so many turns.
+WAVES = 4
 #: Steps to the unit of a stored logit.
 STEPS = 4
 #: Added to both sides of a count.
@@ -595,11 +597,18 @@ def score_documents(docs: DataFrame, held_out_fold: int = 2, of: int = 7, common
     groups = coded.filter("kind = 2").select(F.col("row").alias("grp"), "row", "symbols", "sizes", "helds")
     buckets = max(1, groups.count())
     asked = groups.mapInArrow(_asked(code.end, buckets), "bucket int, grp long, keys binary, n binary")
-    answers = scratch.put("answers", asked.groupBy("bucket").applyInArrow(_answered(send((code.codes, code.lengths))), ANSWER))
+    # Groups are scored in waves, so that only a share of the answers is shuffled (and on disk twice) at a time.
+    wave = F.pmod(F.xxhash64("grp"), F.lit(WAVES)).cast("int").alias("wave")
+    answers = scratch.put("answers", asked.groupBy("bucket").applyInArrow(_answered(send((code.codes, code.lengths))), ANSWER).select("*", wave), "wave")
     del asked
     scratch.drop()
     plain = send((code.plain, code.begin, code.lengths))
-    scores = scratch.put("scores", groups.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_scored(code.end, buckets, plain, learn_tokens), "row long, coded double"))
+    scores = None
+    for k in range(WAVES):
+        own = groups.filter(wave == k).groupBy("grp").cogroup(answers.filter(F.col("wave") == k).drop("wave").groupBy("grp"))
+        own = scratch.put(f"scores{k}", own.applyInArrow(_scored(code.end, buckets, plain, learn_tokens), "row long, coded double"))
+        scores = own if scores is None else scores.unionByName(own)
+        scratch.drop(f"answers/wave={k}")
     scratch.drop("answers")
 
     rare = coded.filter("kind = 1").select("row", "word", "times").join(words, "word").groupBy("row").agg(
