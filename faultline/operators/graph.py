@@ -19,33 +19,40 @@ def of_kinds(edges: DataFrame, kinds: Iterable[str] | None) -> DataFrame:
     return edges if kinds is None else edges.filter(F.col("kind").isin(*kinds))
 
 
+def union_all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def diffuse(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """seed, key, w, depth, via, parent: the best product of edge factors from any seed row (seed, key) against the edges.
 
-    One batch for all seeds. A round extends only what the last one improved; parallel
-    edges are reduced to their best first. Factors are below one, so rounds are bounded.
+    One batch for all seeds. A round extends only what the last one improved; parallel edges are
+    reduced to their best before a round's own aggregate. Rounds only append: what a round found
+    is one table, and the best of all rounds is taken at the end. Factors are below one, so
+    rounds are bounded.
     """
     factor = F.greatest("confidence", F.lit(0.0)) * kind_weight(F.col("kind")) * DECAY
     best_edge = F.max_by("kind", F.struct(F.col("factor"), F.col("kind")))
     steps = edges.withColumn("factor", factor).groupBy("src", "dst").agg(F.max("factor").alias("factor"), best_edge.alias("via"))
     steps = cut(steps)
-    frontier = seeds.select("seed", "key").distinct().select(
-        "seed", "key", F.lit(1.0).alias("w"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("parent"))
-    best = cut(frontier)
-    frontier = best
+    found = [cut(seeds.select("seed", "key").distinct().select(
+        "seed", "key", F.lit(1.0).alias("w"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("parent")))]
+    # Ties go to the least depth, then to the edge kind and the parent that come first.
+    order = F.struct((-F.col("w")).alias("low"), F.col("depth"), F.col("via"), F.col("parent"))
+    best = lambda rows: rows.groupBy("seed", "key").agg(F.min(order).alias("o")).select("seed", "key", (-F.col("o.low")).alias("w"), "o.depth", "o.via", "o.parent")
     for _ in range(MAX_ROUNDS):
-        reached = frontier.select("seed", F.col("key").alias("dst"), "w", "depth").join(steps, "dst").select(
+        reached = found[-1].select("seed", F.col("key").alias("dst"), "w", "depth").join(steps, "dst").select(
             "seed", F.col("src").alias("key"), (F.col("w") * F.col("factor")).alias("w"), (F.col("depth") + 1).alias("depth"), steps["via"], F.col("dst").alias("parent"))
-        # Ties go to the least depth, then to the edge kind and the parent that come first.
-        order = F.struct(-F.col("w"), F.col("depth"), F.col("via"), F.col("parent"))
-        reached = reached.filter(F.col("w") >= EPSILON).groupBy("seed", "key").agg(F.min(order).alias("o"))
-        reached = reached.select("seed", "key", (-F.col("o.col1")).alias("w"), "o.depth", "o.via", "o.parent")
-        old = best.select("seed", "key", F.col("w").alias("old_w"))
-        frontier = cut(reached.join(old, ["seed", "key"], "left").filter("old_w IS NULL OR w > old_w").drop("old_w"))
-        if frontier.isEmpty():
+        reached = best(reached.filter(F.col("w") >= EPSILON))
+        old = union_all([t.select("seed", "key", "w") for t in found]).groupBy("seed", "key").agg(F.max("w").alias("old_w"))
+        new = cut(reached.join(old, ["seed", "key"], "left").filter("old_w IS NULL OR w > old_w").drop("old_w"))
+        if new.isEmpty():
             break
-        best = cut(best.join(frontier.select("seed", "key"), ["seed", "key"], "left_anti").unionByName(frontier))
-    return best
+        found.append(new)
+    return best(union_all(found))
 
 
 def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, budget: int | None = 20) -> DataFrame:
@@ -68,44 +75,57 @@ def neighbors(edges: DataFrame, start: DataFrame, direction: str = "out", kinds:
     """depth, src, dst, kind, confidence: every edge out of each level; a node is expanded once, when first met."""
     near, far = ("src", "dst") if direction == "out" else ("dst", "src")
     own = of_kinds(edges, kinds)
-    seen = cut(start.select("key").distinct())
-    level, hops = seen, None
+    seen, hops = [cut(start.select("key").distinct())], []
     for d in range(1, depth + 1):
-        hop = own.join(level.select(F.col("key").alias(near)), near).select(F.lit(d).alias("depth"), "src", "dst", "kind", "confidence")
-        hop = cut(hop)
-        hops = hop if hops is None else hops.unionByName(hop)
-        level = cut(hop.select(F.col(far).alias("key")).distinct().join(seen, "key", "left_anti"))
+        hops.append(cut(own.join(seen[-1].select(F.col("key").alias(near)), near).select(F.lit(d).alias("depth"), "src", "dst", "kind", "confidence")))
+        if d == depth:
+            break
+        level = cut(hops[-1].select(F.col(far).alias("key")).distinct().join(union_all(seen), "key", "left_anti"))
         if level.isEmpty():
             break
-        seen = cut(seen.unionByName(level))
-    return hops
+        seen.append(level)
+    return union_all(hops)
 
 
 def paths(edges: DataFrame, pairs: DataFrame, depth: int = 6, limit: int | None = 3, kinds: Iterable[str] | None = None) -> DataFrame:
     """start, goal, route (keys), route_kinds, hops, confidence, rank: simple routes of pairs (start, goal), shortest first.
 
     Co-change edges are no routes; parallel edges give routes of their own. A route ends at its goal.
+    Only edges that some start reaches are looked at, and a route grows only where its goal can
+    still be reached in the hops that are left. Since shorter routes come first, a pair is done
+    with the first level that completes its limit.
     """
-    own = of_kinds(edges, kinds).filter("kind <> 'ChangesWith'").select("src", "dst", "kind", "confidence")
-    live = pairs.filter("start <> goal").select(
-        "start", "goal", F.array("start").alias("route"), F.array().cast("array<string>").alias("route_kinds"), F.lit(1.0).alias("confidence"))
-    done = None
-    for _ in range(depth):
+    cap = MAX_ROUTES if limit is None else min(limit, MAX_ROUTES)
+    pairs = cut(pairs.select("start", "goal").filter("start <> goal").distinct())
+    near = neighbors(edges.filter("kind <> 'ChangesWith'"), pairs.select(F.col("start").alias("key")), "out", kinds, depth)
+    own = cut(near.select("src", "dst", "kind", "confidence"))
+    step = own.select("src", "dst").distinct()
+    # How far every key is from every goal.
+    away = [cut(pairs.select("goal", F.col("goal").alias("key"), F.lit(0).alias("far")).distinct())]
+    for d in range(1, depth):
+        level = away[-1].join(step.withColumnRenamed("dst", "key"), "key").select("goal", F.col("src").alias("key")).distinct()
+        level = cut(level.join(union_all(away).select("goal", "key"), ["goal", "key"], "left_anti").withColumn("far", F.lit(d)))
+        if level.isEmpty():
+            break
+        away.append(level)
+    away = union_all(away).withColumnRenamed("key", "dst")
+    live = pairs.select("start", "goal", F.array("start").alias("route"), F.array().cast("array<string>").alias("route_kinds"), F.lit(1.0).alias("confidence"))
+    done = []
+    for hop in range(1, depth + 1):
         grown = live.withColumn("src", F.element_at("route", -1)).join(own.withColumnRenamed("confidence", "c"), "src")
-        grown = grown.filter(~F.array_contains("route", F.col("dst"))).select(
+        grown = grown.filter(~F.array_contains("route", F.col("dst"))).join(away.filter(F.col("far") <= depth - hop).drop("far"), ["goal", "dst"], "left_semi").select(
             "start", "goal", F.concat("route", F.array("dst")).alias("route"), F.concat("route_kinds", F.array("kind")).alias("route_kinds"),
             (F.col("confidence") * F.col("c")).alias("confidence"))
         grown = cut(grown)
         there = F.element_at("route", -1) == F.col("goal")
-        arrived = grown.filter(there)
-        done = arrived if done is None else done.unionByName(arrived)
-        live = grown.filter(~there)
-        if live.isEmpty():
+        done.append(grown.filter(there))
+        full = union_all(done).groupBy("start", "goal").count().filter(F.col("count") >= cap)
+        live = grown.filter(~there).join(full, ["start", "goal"], "left_anti")
+        if hop == depth or live.isEmpty():
             break
-    done = done.withColumn("hops", F.size("route_kinds"))
+    found = union_all(done).withColumn("hops", F.size("route_kinds"))
     order = Window.partitionBy("start", "goal").orderBy("hops", F.desc(F.round("confidence", 9)), F.array_join("route", ">"), F.array_join("route_kinds", ">"))
-    ranked = done.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= MAX_ROUTES)
-    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap)
 
 
 def reachable_modules(nodes: DataFrame, edges: DataFrame, start: DataFrame, kinds: Iterable[str], depth: int) -> DataFrame:

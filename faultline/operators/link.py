@@ -176,13 +176,21 @@ def external_nodes(imports: DataFrame, ecosystem: Column) -> tuple[DataFrame, Da
 # --- places --------------------------------------------------------------------------------
 
 
+#: Lines of a block in which points and spans meet.
+BLOCK_LINES = 64
+
+
 def enclosing(points: DataFrame, spans: DataFrame, by: str, innermost: str = "latest") -> DataFrame:
     """points (by, module_path, line) with the span (key) around them: of several the latest start, or the shortest.
 
-    The join is on the file, so a task holds one file's spans; no container gives null.
+    The join is on the file and on blocks of BLOCK_LINES lines, each of which holds the spans
+    that reach into it; so a point meets its containers and the spans of its own block, however
+    long the file. No container gives null.
     """
     inside = (F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("end_line"))
-    hit = points.select(by, "module_path", "line").join(spans.select("module_path", "key", "start_line", "end_line"), "module_path").filter(inside)
+    block = lambda c: F.floor(F.col(c) / BLOCK_LINES)
+    held = spans.filter("end_line >= start_line").select("module_path", "key", "start_line", "end_line", F.explode(F.sequence(block("start_line"), block("end_line"))).alias("block"))
+    hit = points.select(by, "module_path", "line", block("line").alias("block")).join(held, ["module_path", "block"]).filter(inside)
     order = F.struct(-F.col("start_line"), F.col("end_line"), F.col("key")) if innermost == "latest" else F.struct(F.col("end_line") - F.col("start_line"), -F.col("start_line"), F.col("key"))
     best = hit.groupBy(by).agg(F.min_by("key", order).alias("container"))
     return points.join(best, by, "left")
@@ -255,9 +263,10 @@ def qualified_calls(refs: DataFrame, defs: DataFrame) -> DataFrame:
     """
     owned = _hits(refs, defs.select("root", F.col("owner").alias("qualifier"), "name", "key"), ["root", "qualifier", "name"], CONF_QUALIFIED_OWNER)
     stop = refs.filter(F.col("qualifier").rlike(r"^\p{Lu}")).select("ref", F.lit(None).cast("string").alias("dst"), F.lit(None).cast("double").alias("base"))
-    named = _hits(refs, defs.select("root", "name", "key"), ["root", "name"], CONF_QUALIFIED_NAME)
-    few = named.withColumn("n", F.count("*").over(Window.partitionBy("ref"))).filter(F.col("n") <= QUALIFIED_NAME_CAP).drop("n")
-    return first_rule(owned, stop, few, by=["ref"])
+    # Names with more definitions are out before any call meets them.
+    few = defs.groupBy("root", "name").agg(F.count("*").alias("n")).filter(F.col("n") <= QUALIFIED_NAME_CAP).select("root", "name")
+    named = _hits(refs, defs.select("root", "name", "key").join(few, ["root", "name"], "left_semi"), ["root", "name"], CONF_QUALIFIED_NAME)
+    return first_rule(owned, stop, named, by=["ref"])
 
 
 def member_calls(refs: DataFrame, defs: DataFrame, imported: DataFrame) -> DataFrame:

@@ -11,30 +11,16 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut
 from ..schema import COMMIT_WINDOW, FIX_WORDS, MAX_FILES_PER_COMMIT, MAX_RENAME_HOPS, MIN_COUPLING, MIN_SHARED, RISK_WEIGHTS
 from .graph import test_side
+from .order import with_place, with_share_below
 
 
 def is_fix(message: Column) -> Column:
     return F.lower(message).rlike("|".join(FIX_WORDS))
 
 
-def percentile(value: str, *partition: str) -> Column:
-    """Share of rows with a smaller value: ties share, the least gets 0 (this is not percent_rank)."""
-    below = F.rank().over(Window.partitionBy(*partition).orderBy(value) if partition else Window.orderBy(value)) - 1
-    total = F.count("*").over(Window.partitionBy(*partition)) if partition else F.count("*").over(Window.partitionBy())
-    return below / total
-
-
-def value_percentiles(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """The same for a table of any size: values are counted first, so the one ordered window holds distinct values only."""
-    counts = rows.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    below = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select("_v", (F.coalesce(F.sum("_n").over(below), F.lit(0)) / F.sum("_n").over(Window.partitionBy())).alias(out))
-    return rows.join(ranks, rows[value].eqNullSafe(ranks["_v"]), "left").drop("_v")
-
-
 def usable_commits(commit_files: DataFrame, window: int = COMMIT_WINDOW, least: int = 1, most: int = MAX_FILES_PER_COMMIT) -> DataFrame:
     """Files of the newest commits that touch least to most files (bulk commits say nothing about single files)."""
-    files = commit_files.select("commit", "seq", "author", "file", "is_fix").distinct()
+    files = cut(commit_files.select("commit", "seq", "author", "file", "is_fix").distinct())
     size = files.groupBy("commit").agg(F.count("*").alias("n_files"), F.min("seq").alias("first_seq")).filter(F.col("n_files").between(least, most))
     newest = size.orderBy("first_seq", "commit").limit(window).select("commit")
     return files.join(newest, "commit", "left_semi")
@@ -53,9 +39,9 @@ def ratio(a: Column, b: Column) -> Column:
 def file_risk(stats: DataFrame) -> DataFrame:
     """Percentiles over files with history: churn (commits), bug_density (fixes / commits), ownership (1 / authors)."""
     raw = stats.withColumn("fix_ratio", ratio(F.col("fixes"), F.col("commits"))).withColumn("owner", ratio(F.lit(1.0), F.col("authors")))
-    out = value_percentiles(raw, "commits", "churn")
-    out = value_percentiles(out, "fix_ratio", "bug_density")
-    return value_percentiles(out, "owner", "ownership").drop("fix_ratio", "owner")
+    out = with_share_below(raw, "commits", "churn")
+    out = with_share_below(out, "fix_ratio", "bug_density")
+    return with_share_below(out, "owner", "ownership").drop("fix_ratio", "owner")
 
 
 def informative(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -101,7 +87,7 @@ def fanout(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     own = edges.filter("kind NOT IN ('Tests', 'ChangesWith')").join(test_side(edges).withColumnRenamed("key", "src"), "src", "left_anti")
     counts = own.filter("src <> dst").select("src", "dst").distinct().groupBy(F.col("dst").alias("key")).agg(F.count("*").alias("dependents"))
     all_nodes = nodes.select("key").join(counts, "key", "left").withColumn("dependents", F.coalesce("dependents", F.lit(0)))
-    return value_percentiles(all_nodes, "dependents", "fanout")
+    return with_share_below(all_nodes, "dependents", "fanout")
 
 
 def structural_risk(nodes: DataFrame, edges: DataFrame, weights: dict[str, float] = RISK_WEIGHTS) -> DataFrame:
@@ -158,7 +144,10 @@ def holdout(commit_files: DataFrame, k: int, skip: int = 0) -> DataFrame:
 def precision_at(files: DataFrame, score: str, fraction: float) -> DataFrame:
     """k, precision, base, lift of the files (file, fixed boolean) ranked by score; ties by path."""
     n = files.agg(F.count("*").alias("n"), F.avg(F.col("fixed").cast("double")).alias("base"))
-    ranked = files.withColumn("r", F.row_number().over(Window.orderBy(F.desc(score), "file")))
-    both = ranked.crossJoin(F.broadcast(n)).withColumn("k", F.greatest(F.lit(1), F.round(F.col("n") * fraction)).cast("int"))
+    n = n.withColumn("k", F.greatest(F.lit(1), F.round(F.col("n") * fraction)).cast("int"))
+    # How many come before: rows with a larger score, from counts of scores; ties go by path within their score.
+    placed = with_place(files, score, "place")
+    tied = Window.partitionBy(score).orderBy("file")
+    both = placed.withColumn("r", F.col("place") + F.row_number().over(tied)).crossJoin(F.broadcast(n))
     top = both.filter(F.col("r") <= F.col("k")).groupBy("k", "base").agg(F.avg(F.col("fixed").cast("double")).alias("precision"))
     return top.select("k", "precision", "base", ratio(F.col("precision"), F.col("base")).alias("lift"))

@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import search_terms, task_terms, tokenize
+from ..plans.lineage import cut
 from .graph import diffuse, impact, in_edge_counts, test_side, tested
+from .order import first_rows, with_place
 
 RRF = 60
 
 
-def shared_rank(value: str) -> Column:
-    """Competition rank from 0: equal values share a place."""
-    return F.rank().over(Window.orderBy(F.desc(value))) - 1
+def shared_rank(rows: DataFrame, value: str, out: str = "place") -> DataFrame:
+    """rows with their competition rank from 0: equal values share a place."""
+    return with_place(rows, value, out)
 
 
 def locate_scores(nodes: DataFrame, task: str) -> DataFrame:
@@ -41,12 +43,19 @@ def locate(nodes: DataFrame, edges: DataFrame, task: str, budget: int = 10) -> D
     of 1 / (60 + place). ambiguous: the last row shown ties with the first one cut.
     """
     scored = locate_scores(nodes, task).join(in_edge_counts(edges), "key", "left").withColumn("centrality", F.coalesce("centrality", F.lit(0)))
-    rrf = sum((1.0 / (RRF + shared_rank(c)) for c in ("lexical", "centrality", "composite")), F.lit(0.0))
-    fused = scored.withColumn("rrf", rrf)
-    order = Window.orderBy(F.desc(F.round("rrf", 12)), "module_path", "qualified_name", "key")
-    ranked = fused.withColumn("rank", F.row_number().over(order)).withColumn("next_rrf", F.lead("rrf").over(order)).withColumn("total", F.count("*").over(Window.partitionBy()))
-    at_cut = F.max(F.when((F.col("rank") == budget) & (F.abs(F.col("rrf") - F.col("next_rrf")) < 1e-12), True).otherwise(False)).over(Window.partitionBy())
-    return ranked.withColumn("ambiguous", at_cut).filter(F.col("rank") <= budget).drop("next_rrf")
+    scored = cut(scored)
+    fields = ("lexical", "centrality", "composite")
+    fused = scored
+    for c in fields:
+        fused = shared_rank(fused, c, f"{c}_place")
+    fused = fused.withColumn("rrf", sum((1.0 / (RRF + F.col(f"{c}_place")) for c in fields), F.lit(0.0))).drop(*(f"{c}_place" for c in fields))
+    total = scored.agg(F.count("*").alias("total"))
+    order = [F.desc(F.round("rrf", 12)), "module_path", "qualified_name", "key"]
+    # One more than is shown, to see whether the cut goes through a tie.
+    top = first_rows(fused, order, budget + 1)
+    line = Window.orderBy("rank")
+    tie = (F.col("rank") == budget) & (F.abs(F.col("rrf") - F.lead("rrf").over(line)) < 1e-12)
+    return top.withColumn("_tie", tie).withColumn("ambiguous", F.max(F.coalesce("_tie", F.lit(False))).over(Window.partitionBy())).drop("_tie").filter(F.col("rank") <= budget).crossJoin(F.broadcast(total))
 
 
 def locate_with_preview(nodes: DataFrame, edges: DataFrame, task: str, budget: int = 10, preview: int = 3) -> DataFrame:
@@ -110,10 +119,10 @@ def review(nodes: DataFrame, edges: DataFrame, spans: DataFrame, changed: DataFr
     )
     out = out.withColumn("reasons", F.array_join(F.filter(reasons, lambda r: r.isNotNull()), "; "))
     out = out.withColumn("review_priority", priority(F.col("composite"), F.col("down_weight"), F.col("changed_lines"), F.col("rewrite_share")))
-    order = Window.orderBy(F.desc(F.round("review_priority", 9)), "module_path", "qualified_name", "key")
-    out = out.withColumn("rank", F.row_number().over(order)).withColumn("total", F.count("*").over(Window.partitionBy()))
+    out = cut(out)
+    order = [F.desc(F.round("review_priority", 9)), "module_path", "qualified_name", "key"]
     cols = ["key", "rank", "total", "review_priority", "downstream", "down_weight", "changed_lines", "rewrite_share", "reasons", "untested"]
-    return (out if budget is None else out.filter(F.col("rank") <= budget)).select(cols)
+    return first_rows(out, order, budget).crossJoin(F.broadcast(out.agg(F.count("*").alias("total")))).select(cols)
 
 
 def missing_cochange(modules: DataFrame, edges: DataFrame, changed: DataFrame, least: float = 0.5) -> DataFrame:

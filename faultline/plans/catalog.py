@@ -433,4 +433,4 @@ def k6_szz(spark, d):
 
 @query("SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part) WHERE i % (n // 7) = 0 AND i // (n // 7) < 7")
 def f8_spread_sample(spark, d):
-    return evaluation.spread_sample(view(spark, d, "SELECT p_partkey FROM part"), ["p_partkey"], 7)
+    return evaluation.spread_sample(view(spark, d, "SELECT p_partkey FROM part"), "p_partkey", 7)

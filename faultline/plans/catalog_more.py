@@ -87,7 +87,7 @@ def e18_route_confidence(spark, d):
 
 @query("SELECT p_partkey, rank() OVER (ORDER BY p_size DESC) - 1 AS place FROM part")
 def f1_shared_rank(spark, d):
-    return view(spark, d, "SELECT p_partkey, p_size FROM part").select("p_partkey", ranking.shared_rank("p_size").cast("long").alias("place"))
+    return ranking.shared_rank(view(spark, d, "SELECT p_partkey, p_size FROM part"), "p_size").select("p_partkey", "place")
 
 
 @query("""SELECT * FROM (VALUES ('e', NULL, 0, 'e'), ('a', 'Calls', 1, 'e/a:Calls'), ('d', 'Calls', 1, 'e/d:Calls'), ('b', 'Calls', 2, 'e/a:Calls/b:Calls'), ('xg', 'Calls', 2, 'e/a:Calls/xg:Calls'),
@@ -195,11 +195,9 @@ def b2_snapshot_roundtrip(spark, d):
     import uuid
 
     from ..store import SnapshotStore
-    from .lineage import ensure_checkpoint_dir
+    from .lineage import shared_dir
 
-    ensure_checkpoint_dir(spark)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    store = SnapshotStore(spark, f"{shared}/snapshot-{uuid.uuid4().hex}")
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}")
     store.write({"t": view(spark, d, "SELECT n_name FROM nation")}, "one")
     first = store.read("t").agg(F.lit("A").alias("from_snapshot"), F.count("*").alias("n"))
     store.write({"t": view(spark, d, "SELECT r_name FROM region")}, "one")

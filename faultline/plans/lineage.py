@@ -1,19 +1,29 @@
-"""Cutting the lineage of loops with reliable checkpoints in the folder that the cluster shares."""
+"""Cutting the lineage of loops with tables in the folder that the cluster shares."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return
-    spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints")
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; one is set only where none is, and only on a single machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    jsc = spark.sparkContext._jsc.sc()
+    if not jsc.getCheckpointDir().isDefined():
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints")
+    return jsc.getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the shared folder; a lost executor re-reads it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """df, computed once, written to the shared folder and read again; a lost executor re-reads it."""
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
