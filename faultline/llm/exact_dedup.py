@@ -7,6 +7,7 @@ within each task) and to verify that one 64-bit identifier stands for one conten
 are then compared by their ordered identifier lists, which are some hundred times shorter.
 A text that holds a chunk whose identifier turned out to be shared by two contents is
 compared by the SHA-256 of its whole text as well, so no result rests on a 64-bit hash.
+Where no identifier is shared (the usual case) nothing is joined to find that out.
 
 Null text counts as empty; empty texts form one group. A null doc_id counts as the smallest. Rows that repeat a doc_id each give
 a row. Extra columns are ignored. An empty table gives an empty result.
@@ -17,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .text_sql import NO_ID, free_name, masked, unmasked
 
 MIN_CHUNK, MAX_CHUNK = 256, 2048
@@ -38,22 +40,20 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id (largest doc_id of the equal texts), group_size, kept, text_sha256; one row per row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
     cut = masked(docs).select("doc_id", text.alias("text")).withColumn("chunks", chunks(F.col("text")))
-    shared = collided_chunks(cut)
+    shared = Scratch(docs.sparkSession, "exact").put("shared", collided_chunks(cut))
     recipes = cut.select(
         "doc_id",
         F.transform("chunks", lambda c: F.xxhash64(c)).alias("recipe"),
         F.sha2(F.col("text"), 256).alias("text_sha256"),
     )
-    doubtful = (
-        recipes.select("doc_id", F.explode("recipe").alias("chunk_id"))
-        .join(shared, "chunk_id", "left_semi")
-        .select("doc_id")
-        .distinct()
-        .withColumn("doubtful", F.lit(True))
-    )
-    keyed = recipes.join(doubtful, "doc_id", "left").select(
-        "doc_id", "recipe", "text_sha256", F.when(F.col("doubtful"), F.col("text_sha256")).alias("proof")
-    )
+    if shared.isEmpty():
+        # The usual case: every identifier stands for one content, so lists of them are proof enough.
+        keyed = recipes.withColumn("proof", F.lit(None).cast("string"))
+    else:
+        held = F.col("doc_id"), F.col("text_sha256")
+        doubtful = recipes.select(*held, F.explode(F.array_distinct("recipe")).alias("chunk_id")).join(shared, "chunk_id", "left_semi").select(*held).distinct()
+        keyed = recipes.join(doubtful.withColumn("doubtful", F.lit(True)), ["doc_id", "text_sha256"], "left").select(
+            "doc_id", "recipe", "text_sha256", F.when(F.col("doubtful"), F.col("text_sha256")).alias("proof"))
     groups = keyed.groupBy("recipe", "proof").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     # Most texts stand alone; only groups of two or more are joined back.
     several = groups.filter("group_size > 1").select(

@@ -7,22 +7,11 @@ plan. The folder is read from the session; one is set only where none is configu
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a local one is set only where ``spark.checkpoint.dir`` is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return jsc.getCheckpointDir().get()
-    spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints")
-    return jsc.getCheckpointDir().get()
+from ..plans.lineage import shared_dir
 
 
 class Scratch:
