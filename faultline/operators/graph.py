@@ -217,3 +217,8 @@ def tree(edges: DataFrame, root: str, depth: int) -> DataFrame:
 def route_confidence(confidences: Column) -> Column:
     """The product of the edges of a route."""
     return F.aggregate(confidences, F.lit(1.0), lambda a, x: a * x)
+
+
+def repeated_edges(edges: DataFrame) -> DataFrame:
+    """One row: repeated, the edges beyond the first of their (src, dst, kind)."""
+    return edges.groupBy("src", "dst", "kind").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"))

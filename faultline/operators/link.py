@@ -384,3 +384,16 @@ def focus_files(seeds: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFra
     """module_path of the seeds (key) and of their direct callers."""
     callers = edges.join(seeds.select(F.col("key").alias("dst")), "dst", "left_semi").select(F.col("src").alias("key"))
     return nodes.join(seeds.select("key").unionByName(callers).distinct(), "key", "left_semi").select("module_path").distinct()
+
+
+def replayed(verdicts: DataFrame, current: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """Cached verdicts (hash, ...) that still hold: those of files whose content (hash) is there unchanged, of the wanted kinds."""
+    own = verdicts if kinds is None else verdicts.filter(F.col("kind").isin(*kinds))
+    return own.join(current.select("hash").distinct(), "hash", "left_semi")
+
+
+def sides(ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct keys of two tables with side: both, ours or theirs. One join gives the intersection and both differences."""
+    a, b = (x.select(*keys).distinct().withColumn(f"_{n}", F.lit(True)) for n, x in (("a", ours), ("b", theirs)))
+    side = F.when(F.col("_a").isNull(), "theirs").when(F.col("_b").isNull(), "ours").otherwise("both")
+    return a.join(b, keys, "full").select(*keys, side.alias("side"))

@@ -151,3 +151,9 @@ def precision_at(files: DataFrame, score: str, fraction: float) -> DataFrame:
     both = placed.withColumn("r", F.col("place") + F.row_number().over(tied)).crossJoin(F.broadcast(n))
     top = both.filter(F.col("r") <= F.col("k")).groupBy("k", "base").agg(F.avg(F.col("fixed").cast("double")).alias("precision"))
     return top.select("k", "precision", "base", ratio(F.col("precision"), F.col("base")).alias("lift"))
+
+
+def max_coupling(pairs: DataFrame) -> DataFrame:
+    """file, coupling: the strongest coupling of each file in pairs (a, b, coupling)."""
+    both = pairs.select(F.col("a").alias("file"), "coupling").unionByName(pairs.select(F.col("b").alias("file"), "coupling"))
+    return both.groupBy("file").agg(F.max("coupling").alias("coupling"))

@@ -125,6 +125,27 @@ def review(nodes: DataFrame, edges: DataFrame, spans: DataFrame, changed: DataFr
     return first_rows(out, order, budget).crossJoin(F.broadcast(out.agg(F.count("*").alias("total")))).select(cols)
 
 
+def review_by_case(nodes: DataFrame, edges: DataFrame, spans: DataFrame, changed: DataFrame) -> DataFrame:
+    """case, key, module_path, review_priority, rank, total: a review of each case's changes, all cases in one diffusion.
+
+    changed: case, module_path, from_line, to_line.
+    """
+    meets = (F.col("start_line") <= F.col("to_line")) & (F.col("end_line") >= F.col("from_line"))
+    overlap = F.greatest(F.lit(0), F.least("to_line", "end_line") - F.greatest("from_line", "start_line") + 1)
+    hit = spans.join(changed, "module_path").filter(meets).groupBy("case", "key").agg(F.sum(overlap).alias("changed_lines"))
+    total = spans.groupBy("key").agg(F.sum(F.col("end_line") - F.col("start_line") + 1).alias("total_lines"))
+    share = F.least(F.lit(1.0), F.coalesce(F.try_divide("changed_lines", "total_lines"), F.lit(0.0)))
+    syms = cut(hit.join(total, "key").withColumn("rewrite_share", share).join(nodes.select("key", "module_path", "qualified_name", "composite"), "key"))
+    best = diffuse(edges, syms.select(F.col("key").alias("seed"), "key"))
+    hits = best.filter("seed <> key").join(nodes.select("key"), "key", "left_semi").join(test_side(edges), "key", "left_anti")
+    down = hits.groupBy(F.col("seed").alias("key")).agg(F.sum("w").alias("down_weight"))
+    out = syms.join(down, "key", "left").withColumn("down_weight", F.coalesce("down_weight", F.lit(0.0)))
+    out = out.withColumn("review_priority", priority(F.col("composite"), F.col("down_weight"), F.col("changed_lines"), F.col("rewrite_share")))
+    order = Window.partitionBy("case").orderBy(F.desc(F.round("review_priority", 9)), "module_path", "qualified_name", "key")
+    out = out.withColumn("rank", F.row_number().over(order)).withColumn("total", F.count("*").over(Window.partitionBy("case")))
+    return out.select("case", "key", "module_path", "review_priority", "rank", "total")
+
+
 def missing_cochange(modules: DataFrame, edges: DataFrame, changed: DataFrame, least: float = 0.5) -> DataFrame:
     """Modules that change with a changed one (coupling at least ``least``) but are not in the change."""
     files = changed.select("module_path").distinct()

@@ -176,28 +176,38 @@ def tokens_sql(c: str) -> str:
     return f"list_transform({words}, lambda w: CASE WHEN len(w) > 3 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, len(w) - 1) ELSE w END)"
 
 
-LOCATE = f"""terms(term, raw) AS (VALUES ('ring', 'rings'), ('steel', 'steel')),
+def locate_sql(terms: str, nodes: str, edges: str) -> str:
+    return f"""terms(term, raw) AS (VALUES {terms}),
  pts AS (SELECT n.key, n.module_path, n.qualified_name, n.composite, raw,
    CASE WHEN list_contains({tokens_sql('n.name')}, term) THEN 4 WHEN contains(lower(n.name), term) THEN 2
         WHEN list_contains({tokens_sql('n.module_path')}, term) OR contains(lower(n.qualified_name), term) THEN 2 WHEN list_contains({tokens_sql('n.doc')}, term) THEN 1 ELSE 0 END AS p,
    CASE WHEN list_contains({tokens_sql('n.name')}, term) THEN 'name' WHEN contains(lower(n.name), term) THEN 'name'
         WHEN list_contains({tokens_sql('n.module_path')}, term) OR contains(lower(n.qualified_name), term) THEN 'module' ELSE 'doc' END AS f
-   FROM t_nodes n, terms),
+   FROM {nodes} n, terms),
  scored AS (SELECT key, module_path, qualified_name, composite, CAST(sum(p) AS BIGINT) AS lexical, string_agg(concat(f, ':', raw), ' ' ORDER BY concat(f, ':', raw)) AS why FROM pts WHERE p > 0 GROUP BY ALL),
- cent AS (SELECT dst AS key, count(*) AS centrality FROM t_edges GROUP BY dst),
+ cent AS (SELECT dst AS key, count(*) AS centrality FROM {edges} GROUP BY dst),
  both_ AS (SELECT s.*, coalesce(c.centrality, 0) AS centrality FROM scored s LEFT JOIN cent c ON c.key = s.key),
  ranked AS (SELECT *, CAST(1 AS DOUBLE) / (60 + rank() OVER (ORDER BY lexical DESC) - 1) + CAST(1 AS DOUBLE) / (60 + rank() OVER (ORDER BY centrality DESC) - 1)
    + CAST(1 AS DOUBLE) / (60 + rank() OVER (ORDER BY composite DESC) - 1) AS rrf FROM both_),
  final AS (SELECT *, row_number() OVER (ORDER BY round(rrf, 12) DESC, module_path, qualified_name, key) AS rank, lead(rrf) OVER (ORDER BY round(rrf, 12) DESC, module_path, qualified_name, key) AS nxt, count(*) OVER () AS total FROM ranked)"""
 
 
+LOCATE = locate_sql("('ring', 'rings'), ('steel', 'steel')", "t_nodes", "t_edges")
+LOCATE_PEOPLE = locate_sql("('customer', 'customer'), ('building', 'building')", "g_nodes", "g_edges")
+
+
 @query(f"WITH {LOCATE} SELECT key, lexical, why, centrality, round(rrf, 9) AS rrf, CAST(rank AS INT) AS rank, total, (SELECT abs(rrf - nxt) < 1e-12 FROM final WHERE rank = 10) AS ambiguous FROM final WHERE rank <= 10")
 def j13_locate(spark, d):
     out = ranking.locate(view(spark, d, "t_nodes"), view(spark, d, "t_edges"), "implement the steel rings")
     return out.select("key", "lexical", "why", "centrality", F.round("rrf", 9).alias("rrf"), "rank", "total", "ambiguous")
 
 
-@query()
+@query(f"""WITH RECURSIVE {LOCATE_PEOPLE}, steps AS {STEPS % "g_edges"}, top10 AS (SELECT key, CAST(rank AS INT) AS rank FROM final WHERE rank <= 10),
+ t(seed, key, w) AS (SELECT key, key, CAST(1 AS DOUBLE) FROM top10 UNION ALL SELECT t.seed, s.src, t.w * s.f FROM t JOIN steps s ON s.dst = t.key WHERE t.w * s.f >= {EPSILON}),
+ best AS (SELECT seed, key, max(w) AS w FROM t WHERE seed <> key GROUP BY ALL),
+ hit AS (SELECT b.seed, b.key, row_number() OVER (PARTITION BY b.seed ORDER BY round(b.w * (1 + n.composite), 9) DESC, n.module_path, n.qualified_name, b.key) AS r FROM best b JOIN g_nodes n ON n.key = b.key),
+ shown AS (SELECT seed, string_agg(key, ' ' ORDER BY r) AS preview FROM hit WHERE r <= 3 GROUP BY seed)
+ SELECT x.key, x.rank, s.preview FROM top10 x LEFT JOIN shown s ON s.seed = x.key""")
 def j13_locate_with_preview(spark, d):
     return ranking.locate_with_preview(view(spark, d, "g_nodes"), view(spark, d, "g_edges"), "customer building", 10).select("key", "rank", "preview")
 
@@ -321,7 +331,7 @@ def e8_structural_risk(spark, d):
 
 @query("SELECT count(*) - count(DISTINCT (src, dst, kind)) AS repeated FROM g_edges")
 def e12_repeated_edges(spark, d):
-    return view(spark, d, "g_edges").agg((F.count("*") - F.countDistinct("src", "dst", "kind")).alias("repeated"))
+    return graph.repeated_edges(view(spark, d, "g_edges"))
 
 
 @query("SELECT src, dst, kind, count(*) AS sites FROM g_edges WHERE dst = 's1' GROUP BY ALL")
@@ -373,12 +383,17 @@ def k3_risk_precision(spark, d):
     return out.select("term", "fraction", "k", F.round("precision", 6).alias("precision"), F.round("base", 6).alias("base"), F.round("lift", 6).alias("lift"))
 
 
-@query(f"""WITH {PERCENTILES}, {FIXED}, s AS (SELECT unnest([0, 0.5, 1]) AS v), g AS (SELECT a.v AS wc, b.v AS wb, c.v AS wo FROM s a, s b, s c),
- r AS (SELECT wc, wb, wo, fixed, row_number() OVER (PARTITION BY wc, wb, wo ORDER BY round(CASE WHEN wc + wb + wo = 0 THEN 0 ELSE (wc * churn + wb * bug_density + wo * ownership) / (wc + wb + wo) END, 9) DESC, file) AS r FROM files, g), n AS (SELECT greatest(1, round(count(*) * 0.25)) AS k FROM files)
- SELECT CAST(wc AS DOUBLE) AS w_churn, CAST(wb AS DOUBLE) AS w_bug_density, CAST(wo AS DOUBLE) AS w_ownership, round(avg(CAST(fixed AS INT)), 6) AS precision FROM r, n WHERE r <= k GROUP BY ALL""")
+# The steps of the weights that are tried.
+GRID = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6]
+
+
+@query(f"""WITH {PERCENTILES}, {FIXED}, f4 AS (SELECT *, (churn + ownership) / 2 AS fanout FROM files), s AS (SELECT CAST(unnest({GRID}) AS DOUBLE) AS v), g AS (SELECT a.v AS wc, b.v AS wb, c.v AS wo, d.v AS wf FROM s a, s b, s c, s d WHERE a.v + b.v + c.v + d.v > 0),
+ r AS (SELECT wc, wb, wo, wf, fixed, row_number() OVER (PARTITION BY wc, wb, wo, wf ORDER BY round((wc * churn + wb * bug_density + wo * ownership + wf * fanout) / (wc + wb + wo + wf), 9) DESC, file) AS r FROM f4, g), n AS (SELECT greatest(1, round(count(*) * 0.25)) AS k FROM files)
+ SELECT wc AS w_churn, wb AS w_bug_density, wo AS w_ownership, wf AS w_fanout, round(avg(CAST(fixed AS INT)), 6) AS precision FROM r, n WHERE r <= k GROUP BY ALL""")
 def k4_weight_grid(spark, d):
-    out = evaluation.weight_grid(risk_files(spark, d), ["churn", "bug_density", "ownership"], [0, 0.5, 1])
-    return out.select("w_churn", "w_bug_density", "w_ownership", F.round("precision", 6).alias("precision"))
+    files = risk_files(spark, d).withColumn("fanout", (F.col("churn") + F.col("ownership")) / 2)
+    out = evaluation.weight_grid(files, ["churn", "bug_density", "ownership", "fanout"], GRID)
+    return out.select("w_churn", "w_bug_density", "w_ownership", "w_fanout", F.round("precision", 6).alias("precision"))
 
 
 IDENT = "list_distinct(regexp_extract_all(text, '[A-Za-z0-9_]{3,}'))"

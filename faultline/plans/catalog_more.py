@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation, graph, link, overlay, ranking
-from .catalog import PERCENTILES, USABLE, PAIRS, query, risk_files, rows, usable
+from ..schema import EPSILON
+from .catalog import BACK, CHANGED_SYMS, PAIRS, PERCENTILES, STEPS, USABLE, diffusion_sql, query, risk_files, rows, usable
 from .fixtures import view
 
 IMPORTS = "SELECT concat('f', p_partkey) AS module_path, CASE p_partkey % 4 WHEN 0 THEN './local' WHEN 1 THEN concat('@org/', p_brand) ELSE concat(p_brand, '/sub') END AS spec, p_name AS imported, CASE WHEN p_partkey % 4 = 0 THEN 'x' END AS target FROM part"
@@ -54,11 +55,13 @@ def d16_member_calls(spark, d):
     return link.member_calls(refs, defs, imported).select("ref", "dst", "rule_no")
 
 
-@query("SELECT DISTINCT concat('h', user_id % 50) AS hash, event_type AS verdict FROM events WHERE user_id % 50 < 10")
+VERDICTS = "SELECT concat('h', user_id) AS hash, event_id AS src, event_type AS kind, value AS verdict FROM events"
+CONTENT = "SELECT concat('h', c_custkey) AS hash FROM customer WHERE c_acctbal > 0"
+
+
+@query(f"SELECT v.* FROM ({VERDICTS}) v WHERE hash IN (SELECT hash FROM ({CONTENT})) AND kind IN ('click', 'purchase')")
 def d46_verdict_replay(spark, d):
-    verdicts = view(spark, d, "SELECT DISTINCT concat('h', user_id % 50) AS hash, event_type AS verdict FROM events")
-    current = view(spark, d, "SELECT DISTINCT concat('h', user_id % 50) AS hash FROM events WHERE user_id % 50 < 10")
-    return verdicts.join(current, "hash", "left_semi")
+    return link.replayed(view(spark, d, VERDICTS), view(spark, d, CONTENT), ["click", "purchase"])
 
 
 @query(f"WITH {USABLE} SELECT file, round(CASE WHEN commits = 0 THEN 0 ELSE fixes / commits END, 6) AS fix_ratio FROM stats")
@@ -74,9 +77,7 @@ def e6_informative(spark, d):
 
 @query(f"WITH {USABLE}, {PAIRS}, k AS (SELECT * FROM kept WHERE coupling >= 0.3) SELECT file, round(max(coupling), 6) AS coupling FROM (SELECT a AS file, coupling FROM k UNION ALL SELECT b, coupling FROM k) GROUP BY file")
 def e17_max_coupling(spark, d):
-    pairs = overlay.cochange(usable(spark, d))
-    both = pairs.select(F.col("a").alias("file"), "coupling").unionByName(pairs.select(F.col("b").alias("file"), "coupling"))
-    return both.groupBy("file").agg(F.round(F.max("coupling"), 6).alias("coupling"))
+    return overlay.max_coupling(overlay.cochange(usable(spark, d))).select("file", F.round("coupling", 6).alias("coupling"))
 
 
 @query("SELECT l_orderkey, round(product(1 - l_discount / 3), 6) AS confidence FROM lineitem GROUP BY l_orderkey")
@@ -169,11 +170,12 @@ def c16_graphql_paths(spark, d):
     return extract(files).filter("fact IN ('consume', 'spread')").select("path", F.when(F.col("fact") == "spread", F.col("name")).alias("spread"))
 
 
-from ..extract.base import capabilities  # noqa: E402
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {b}, {c}, {e})".lower() for a, b, c, e in capabilities()) + ") v(language, imports, refs, binds)")
+@query("""SELECT * FROM (VALUES ('elixir', true, true, false), ('gleam', true, true, false), ('go', true, true, true), ('graphql', false, false, false), ('html', false, false, false),
+ ('php', true, true, false), ('python', true, true, true), ('ruby', true, true, false), ('rust', true, true, true), ('svelte', true, true, true), ('tsx', true, true, true),
+ ('typescript', true, true, true), ('vue', true, true, true)) v(language, imports, refs, binds)""")
 def c18_capabilities(spark, d):
+    from ..extract.base import capabilities
+
     return rows(spark, "language string, imports boolean, refs boolean, binds boolean", *capabilities())
 
 
@@ -183,13 +185,61 @@ def k5_given_weights(spark, d):
     return overlay.precision_at(files, "score", 0.25).select("k", F.round("precision", 6).alias("precision"))
 
 
-@query("WITH r AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders), c AS (SELECT * FROM r WHERE o_orderkey % 7 = 0) SELECT count(*) AS cases, round(avg(CASE WHEN total > 1 THEN (rank - 1) / (total - 1) ELSE 0 END), 6) AS mean_rank, round(avg(CASE WHEN rank <= 3 THEN 1 ELSE 0 END), 6) AS hit_rate, round(0.5 / avg(CASE WHEN total > 1 THEN (rank - 1) / (total - 1) ELSE 0 END), 6) AS lift FROM c")
+#: Cases: what changed in the customers of a nation; the culprit is the file of the first of them.
+CASES = "SELECT concat('n', c_nationkey) AS case, g.module_path, g.from_line, g.to_line FROM (SELECT * FROM g_changed) g JOIN customer ON g.module_path = concat('customer/', c_custkey)"
+
+
+@query(f"""WITH RECURSIVE {CHANGED_SYMS}, steps AS {STEPS % ('(' + BACK + ')')}, t(seed, key, w) AS (
+   SELECT key, key, CAST(1 AS DOUBLE) FROM syms UNION ALL SELECT t.seed, s.src, t.w * s.f FROM t JOIN steps s ON s.dst = t.key WHERE t.w * s.f >= {EPSILON}),
+ best AS (SELECT seed, key, max(w) AS w FROM t GROUP BY ALL), down AS (SELECT seed, sum(w) AS down_weight FROM best WHERE seed <> key GROUP BY seed),
+ r AS (SELECT c_nationkey AS nation_no, c_custkey, y.key, n.module_path, n.qualified_name,
+   (1 + n.composite) * (1 + ln(1 + coalesce(down_weight, 0))) * (1 + ln(1 + changed_lines) * (0.5 + 0.5 * least(1, changed_lines / total_lines))) AS p
+   FROM syms y JOIN g_nodes n ON n.key = y.key JOIN customer ON n.module_path = concat('customer/', c_custkey) LEFT JOIN down ON down.seed = y.key),
+ k AS (SELECT *, row_number() OVER (PARTITION BY nation_no ORDER BY round(p, 9) DESC, module_path, qualified_name, key) AS rank, count(*) OVER (PARTITION BY nation_no) AS total, min(c_custkey) OVER (PARTITION BY nation_no) AS first FROM r),
+ c AS (SELECT nation_no, min(rank) AS rank, min(total) AS total FROM k WHERE c_custkey = first GROUP BY nation_no)
+ SELECT count(*) AS cases, round(avg(CASE WHEN total > 1 THEN (rank - 1) / (total - 1) ELSE 0 END), 6) AS mean_rank, round(avg(CASE WHEN rank <= 3 THEN 1 ELSE 0 END), 6) AS hit_rate,
+   round(0.5 / avg(CASE WHEN total > 1 THEN (rank - 1) / (total - 1) ELSE 0 END), 6) AS lift FROM c""")
 def k7_normalized_ranks(spark, d):
-    ranked = view(spark, d, "SELECT o_orderkey AS case_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders").filter("case_id % 7 = 0")
-    out = evaluation.normalized_ranks(ranked, 3)
+    from .fixtures import VIEWS
+
+    nodes = view(spark, d, "g_nodes")
+    spans = nodes.filter("kind = 'Function' AND key LIKE 'o%'")
+    changed = view(spark, d, CASES.replace("SELECT * FROM g_changed", VIEWS["g_changed"]))
+    syms = ranking.changed_symbols(spans, changed).join(nodes.select("key", "module_path"), "key")
+    culprits = syms.join(changed.select("case", "module_path").distinct(), "module_path").groupBy("case").agg(F.min_by("module_path", F.substring("module_path", 10, 20).cast("long")).alias("module_path"))
+    reviews = ranking.review_by_case(nodes, view(spark, d, BACK.replace("g_edges", "(" + VIEWS["g_edges"] + ") g")), spans, changed)
+    out = evaluation.normalized_ranks(evaluation.culprit_ranks(reviews, culprits), 3)
     return out.select("cases", *(F.round(c, 6).alias(c) for c in ("mean_rank", "hit_rate", "lift")))
 
 
+SUPPLIERS = "SELECT concat('s', s_suppkey) AS query, concat('s', s_suppkey) AS key FROM supplier"
+
+
+@query(diffusion_sql("g_edges", "SELECT query AS seed, key FROM (" + SUPPLIERS + ")") + """
+ , files AS (SELECT h.seed AS query, n.module_path AS file, max(h.w * (1 + n.composite)) AS score FROM hits h JOIN g_nodes n ON n.key = h.key GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, file) AS rank FROM files),
+ wanted AS (SELECT DISTINCT concat('s', l_suppkey) AS query, concat('customer/', o_custkey) AS file FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 49),
+ h AS (SELECT w.query, r.rank FROM wanted w LEFT JOIN r ON r.query = w.query AND r.file = w.file), p AS (SELECT query, avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END) AS recall, coalesce(1 / min(rank), 0) AS rr FROM h GROUP BY query)
+ SELECT count(*) AS queries, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, (SELECT round(least(1, 10 / count(DISTINCT module_path)), 6) FROM g_nodes) AS floor FROM p""")
+def k8_impact_ranking(spark, d):
+    nodes = view(spark, d, "g_nodes")
+    ranked = evaluation.impact_ranking(nodes, view(spark, d, "g_edges"), view(spark, d, SUPPLIERS))
+    wanted = view(spark, d, "SELECT DISTINCT concat('s', l_suppkey) AS query, concat('customer/', o_custkey) AS file FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 49")
+    out = evaluation.recall_and_mrr(ranked, wanted)
+    floor = evaluation.random_floor(nodes.select("module_path").distinct().count())
+    return out.select("queries", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"), F.round(F.lit(floor), 6).alias("floor"))
+
+
+SALES = "SELECT DISTINCT concat('c', o_custkey) AS src, concat('s', l_suppkey) AS dst, 'Calls' AS kind FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 50 AND l_discount >= 0.1"
+PEOPLE = "SELECT concat('c', c_custkey) AS key, concat('nation/', c_nationkey) AS module_path FROM customer UNION ALL SELECT concat('s', s_suppkey), concat('nation/', s_nationkey) FROM supplier"
+
+
+@query(f"SELECT DISTINCT a.module_path AS a, b.module_path AS b FROM ({SALES}) e JOIN ({PEOPLE}) a ON a.key = e.src JOIN ({PEOPLE}) b ON b.key = e.dst WHERE a.module_path <> b.module_path")
+def k2_module_reach(spark, d):
+    nodes = view(spark, d, PEOPLE)
+    return evaluation.module_reach(nodes, view(spark, d, SALES), nodes.select(F.col("module_path").alias("file")).distinct(), ["Calls", "Imports", "GraphqlCall", "DbQuery"])
+
+
 @query("SELECT 'A' AS from_snapshot, count(*) AS n FROM nation UNION ALL SELECT 'B', count(*) FROM region")
 def b2_snapshot_roundtrip(spark, d):
     import uuid

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_ignored, language_of
+from ..schema import LANGUAGES
+
+#: A glob of the names that some adapter reads.
+SUFFIXES = "*{" + ",".join(x for own in LANGUAGES.values() for x in own) + "}"
 
 
 def unique_tags(paths: list[str]) -> list[tuple[str, str]]:
@@ -41,9 +45,11 @@ def discover(spark: SparkSession, paths: list[str]) -> DataFrame:
     roots = unique_tags(paths)
     found = None
     for tag, path in roots:
-        one = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        one = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", SUFFIXES).load(path)
         canonical = F.regexp_replace("path", r"^[a-z]+:/*(?=/)", "")
         one = one.select(canonical.alias("canonical"), "content", F.lit(tag).alias("tag"), F.lit(path.split("://")[-1]).alias("base"))
+        # Ignored folders are out before any content is carried on.
+        one = one.withColumn("rel", F.expr("substring(canonical, instr(canonical, base) + length(base) + 1)")).filter(~is_ignored(F.col("rel"))).drop("rel")
         found = one if found is None else found.unionByName(one)
     table = spark.createDataFrame([(t, p) for t, p in roots], "tag string, path string")
     own = claim(found, table)
@@ -70,3 +76,14 @@ def stale(stamps: DataFrame, current: DataFrame) -> DataFrame:
     """Indexed files that changed or are gone; files that were never indexed are not stale."""
     now = current.select("module_path", F.col("hash").alias("now"))
     return stamps.join(now, "module_path", "left").filter("now IS NULL OR now <> hash").select("module_path")
+
+
+def languages_per_root(files: DataFrame) -> DataFrame:
+    """root, languages (distinct, in order, joined by a space)."""
+    own = files.select("root", "language").distinct()
+    return own.groupBy("root").agg(F.array_join(F.array_sort(F.collect_list("language")), " ").alias("languages"))
+
+
+def dropped_roots(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """Roots of the previous index that the current one no longer has."""
+    return previous.select("root").distinct().join(current.select("root").distinct(), "root", "left_anti")
