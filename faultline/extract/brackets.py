@@ -8,6 +8,7 @@ lines are right for conventional code; macros and exotic syntax are missed.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from .base import Facts, register
@@ -33,6 +34,7 @@ class Syntax:
     requests: list[str] = field(default_factory=list)
     reexports: list[str] = field(default_factory=list)
     test_scope: str | None = None
+    macros: Callable | None = None
 
 
 def blanked(text: str, syntax: Syntax) -> str:
@@ -155,7 +157,7 @@ def scan(text: str, syntax: Syntax) -> Facts:
         elif recv in syntax.this:
             fact |= {"recv_kind": "this", "recv_text": recv}
         elif recv and (recv[0].isupper() or "::" in m[0]):
-            fact |= {"qualifier": re.split(r"\.|::|->", recv)[-1]}
+            fact |= {"qualifier": re.split(r"\.|::|->", recv)[-1], "recv_text": recv}
         elif recv:
             fact |= {"recv_kind": "ident" if re.fullmatch(r"[\w$@]+", recv) else "other", "recv_text": recv.lstrip("$@")}
         facts.append(fact)
@@ -169,12 +171,46 @@ def scan(text: str, syntax: Syntax) -> Facts:
             for m in re.compile(pattern, re.M).finditer(text):
                 verb = (m.groupdict().get("verb") or "get").upper()
                 facts.append({"fact": fact, "transport": "Http", "method": verb, "path": m["path"], "name": m.groupdict().get("handler"), "start_line": line_of(m.start())})
+    if syntax.macros:
+        facts += syntax.macros(text, clean, line_of, lambda at: end_of(clean, at, syntax.ends))
     if syntax.test_scope:
         for m in re.compile(syntax.test_scope, re.M).finditer(clean):
             facts.append({"fact": "test_scope", "start_line": line_of(m.start()), "end_line": line_of(end_of(clean, m.end(), syntax.ends))})
     return facts
 
 
+def _camel(name: str) -> str:
+    head, *rest = name.split("_")
+    return head + "".join(x[:1].upper() + x[1:] for x in rest)
+
+
+def elixir_macros(text: str, clean: str, line_of, ends) -> Facts:
+    """Fields with their resolvers and included scopes of a schema, tables, what names a table's module, and whole-module imports."""
+    facts: Facts = []
+    scopes = []
+    for m in re.finditer(r"(?m)^[ \t]*(?:(query|mutation|subscription)|object\s*\(?\s*:(\w+))\b[^\n]*\bdo\b", clean):
+        scopes.append((m.start(), ends(m.end() - 2), m[1] or m[2]))
+    around = lambda at: next((s for a, b, s in reversed(scopes) if a <= at <= b), None)
+    fields = [(m.start(), m[1]) for m in re.finditer(r"(?m)^[ \t]*field\s*\(?\s*:(\w+)", clean)]
+    for i, (at, name) in enumerate(fields):
+        scope = around(at)
+        if scope is None:
+            continue
+        body = clean[at : fields[i + 1][0] if i + 1 < len(fields) else len(clean)]
+        to = re.search(r"resolve\s*\(?\s*&([A-Z][\w.]*)\.(\w+[!?]?)/\d", body)
+        facts.append({"fact": "provide", "transport": "Graphql", "method": scope, "path": _camel(name), "name": to and f"{to[1]}.{to[2]}", "start_line": line_of(at)})
+    for m in re.finditer(r"(?m)^[ \t]*import_fields\s*\(?\s*:(\w+)", clean):
+        if around(m.start()):
+            facts.append({"fact": "include", "owner": around(m.start()), "name": m[1], "start_line": line_of(m.start())})
+    for m in re.finditer(r"(?m)^[ \t]*schema\s+\"(\w+)\"\s+do", text):
+        facts.append({"fact": "table", "name": m[1], "start_line": line_of(m.start())})
+    for m in re.finditer(r"(?:\bRepo\.\w+[!?]?\(\s*|\bfrom\s*\(?\s*\w+\s+in\s+|%)([A-Z][\w.]*)", clean):
+        facts.append({"fact": "entity", "name": m[1], "start_line": line_of(m.start(1))})
+    for m in re.finditer(r"(?m)^[ \t]*import\s+([A-Z][\w.]*)", clean):
+        facts.append({"fact": "star", "spec": m[1], "start_line": line_of(m.start())})
+    return facts
+
+
 _JS_STRINGS = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"
 SCRIPT = Syntax(
     line_comment=r"//[^\n]*",
@@ -209,7 +245,7 @@ SYNTAX = {
         line_comment=r"#[^\n]*", block_comment=r'"""(?:.*?)"""', ends="end", exported=r"\b(?:def|defmodule|defmacro|defstruct)\b(?!p)", strings=r"\"(?:\\.|[^\"\\])*\"",
         defs=[("Module", r"^[ \t]*defmodule\s+(?P<name>[\w.]+)"), ("Function", r"^[ \t]*(?:def|defp|defmacro|defmacrop)\s+(?P<name>\w+[!?]?)")],
         imports=[r"^[ \t]*(?:alias|import|use|require)\s+(?P<spec>[A-Z][\w.]*)(?:\s*,\s*as:\s*(?P<whole>\w+))?"],
-        routes=[r"^[ \t]*(?P<verb>get|post|put|patch|delete)\s+\"(?P<path>/[^\"]*)\"\s*,\s*\w+\s*,\s*:(?P<handler>\w+)"],
+        routes=[r"^[ \t]*(?P<verb>get|post|put|patch|delete)\s+\"(?P<path>/[^\"]*)\"\s*,\s*\w+\s*,\s*:(?P<handler>\w+)"], macros=elixir_macros,
     ),
     "rust": Syntax(
         line_comment=r"//[^\n]*", strings=r"\"(?:\\.|[^\"\\])*\"", exported=r"\bpub\b", this=("self", "Self"), test_scope=r"#\[cfg\(test\)\]\s*mod\s+\w+",

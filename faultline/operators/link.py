@@ -34,6 +34,15 @@ from ..schema import (
 )
 
 
+#: Rows of a configuration table that are sent to every task.
+SMALL_ROWS = 10_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """table, marked to be sent to every task where it is known to be small; otherwise left to the optimiser."""
+    return F.broadcast(table) if table.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else table
+
+
 def first_rule(*rules: DataFrame, by: list[str]) -> DataFrame:
     """The rows of the first rule that has any for its key; rules hold the same columns."""
     tagged = None
@@ -95,16 +104,21 @@ def resolve_imports(imports: DataFrame, files: DataFrame, ts_paths: DataFrame |
         "module_path", "spec", normal_path(F.concat(here, F.col("spec"))).alias("base"), F.lit(0).alias("priority")).filter("base IS NOT NULL")
     rules = [probe(relative, files, suffixes, ["module_path", "spec"])]
     bare = own.filter(~F.col("spec").startswith("."))
-    if ts_paths is not None:  # pattern, target, ord, base_url: the small table of one configuration
+    if ts_paths is not None:  # pattern, target, ord, base_url; dir: the folder it holds for, if not for all
         star = F.col("pattern").contains("*")
         pre, post = F.substring_index("pattern", "*", 1), F.substring_index("pattern", "*", -1)
         fits = F.when(star, F.col("spec").startswith(pre) & F.col("spec").endswith(post) & (F.length("spec") >= F.length("pattern") - 1)).otherwise(F.col("pattern") == F.col("spec"))
-        hit = bare.join(F.broadcast(ts_paths), fits)
+        if "dir" in ts_paths.columns:
+            fits = fits & ((F.col("dir") == "") | F.col("module_path").startswith(F.concat("dir", F.lit("/"))))
+        hit = bare.join(small(ts_paths), fits)
         rest = F.when(star, F.col("spec").substr(F.length(pre) + 1, F.length("spec") - F.length("pattern") + 1)).otherwise(F.lit(""))
         base = normal_path(F.concat_ws("/", "base_url", F.replace("target", F.lit("*"), rest)))
         rules.append(probe(hit.select("module_path", "spec", base.alias("base"), F.col("ord").alias("priority")), files, suffixes, ["module_path", "spec"]))
-    if packages is not None:  # name, dir
-        hit = bare.join(F.broadcast(packages), (F.col("spec") == F.col("name")) | F.col("spec").startswith(F.concat("name", F.lit("/"))))
+    if packages is not None:  # name, dir; root: the root that sees it, if not all do
+        named = (F.col("spec") == F.col("name")) | F.col("spec").startswith(F.concat("name", F.lit("/")))
+        if "root" in packages.columns:
+            named = named & ((F.col("root") == "") | F.col("module_path").startswith(F.concat("root", F.lit("/"))))
+        hit = bare.join(small(packages), named)
         whole = F.col("spec") == F.col("name")
         bases = F.when(whole, F.array(F.concat("dir", F.lit("/index")), F.concat("dir", F.lit("/src/index")))).otherwise(F.array(F.concat("dir", F.expr("substring(spec, length(name) + 1)"))))
         longest = hit.select("module_path", "spec", F.posexplode(bases).alias("i", "base"), (F.col("i") - 2 * F.length("name")).alias("priority"))
@@ -130,7 +144,7 @@ def python_candidates(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 def go_candidates(imports: DataFrame, files: DataFrame, modules: DataFrame) -> DataFrame:
     """Go imports below a module's own path: the folder they name, as its first file."""
-    hit = imports.join(F.broadcast(modules), (F.col("spec") == F.col("module")) | F.col("spec").startswith(F.concat("module", F.lit("/"))))
+    hit = imports.join(small(modules), (F.col("spec") == F.col("module")) | F.col("spec").startswith(F.concat("module", F.lit("/"))))
     folder = hit.select("module_path", "spec", F.expr("trim(LEADING '/' FROM concat(dir, substring(spec, length(module) + 1)))").alias("folder"))
     at = files.select(F.col("module_path").alias("target"), F.regexp_replace("module_path", r"/?[^/]*$", "").alias("folder")).filter(F.col("target").endswith(".go"))
     return folder.join(at, "folder").groupBy("module_path", "spec").agg(F.min("target").alias("target"))

@@ -34,6 +34,26 @@ def tsconfig_paths(content: str) -> list[tuple[str, str, int, str]]:
     return out
 
 
+def path_aliases(files: DataFrame) -> DataFrame:
+    """dir, pattern, target, ord, base_url of every tsconfig.json or jsconfig.json; base_url is counted from the top."""
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path, content in zip(b.module_path, b.content, strict=True):
+                folder = path.rpartition("/")[0]
+                try:
+                    found = tsconfig_paths(bytes(content).decode("utf-8", "replace"))
+                except (ValueError, AttributeError):
+                    continue
+                out += [(folder, p, t, o, f"{folder}/{base}" if folder else base) for p, t, o, base in found]
+            yield pd.DataFrame(out, columns=["dir", "pattern", "target", "ord", "base_url"])
+
+    own = files.filter(F.col("module_path").rlike(r"(^|/)[tj]sconfig[^/]*\.json$")).select("module_path", "content")
+    return own.mapInPandas(run, "dir string, pattern string, target string, ord int, base_url string")
+
+
 def package_dirs(files: DataFrame) -> DataFrame:
     """name, dir of every package.json (module_path, content)."""
     own = files.filter(F.col("module_path").rlike(r"(^|/)package\.json$"))
@@ -55,6 +75,12 @@ def shared_packages(packages: DataFrame) -> DataFrame:
     return own.select("root").distinct().join(once, F.col("root") != F.col("home")).select("root", "name", "home")
 
 
+def visible_packages(packages: DataFrame) -> DataFrame:
+    """name, dir, root: every package as each root sees it, its own ones and those that only one other root declares. packages: name, dir, root."""
+    shared = shared_packages(packages).join(packages.select("name", "dir", F.col("root").alias("home")), ["name", "home"])
+    return packages.select("name", "dir", "root").unionByName(shared.select("name", "dir", "root"))
+
+
 def looks_like_spec(text: str) -> bool:
     return any(re.match(r'\s*["\']?(openapi|swagger)["\']?\s*:', line) for line in text.splitlines()[:40])
 

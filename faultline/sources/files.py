@@ -31,6 +31,7 @@ def roots_table(spark: SparkSession, paths: list[str]) -> DataFrame:
 def claim(files: DataFrame, roots: DataFrame) -> DataFrame:
     """One row per canonical file: the deepest root claims it. files: canonical, tag; roots: tag, path."""
     depth = F.length("root_path")
+    # A row for each root that was named.
     both = files.join(F.broadcast(roots.select("tag", F.col("path").alias("root_path"))), "tag")
     first = Window.partitionBy("canonical").orderBy(F.desc(depth), "tag")
     return both.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "root_path")
@@ -59,6 +60,20 @@ def discover(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out.select(module.alias("module_path"), "canonical", F.col("tag").alias("root"), "rel", "language", F.sha2("content", 256).alias("hash"), "content")
 
 
+def configurations(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """module_path, root, content of package, module and compiler settings and of API specifications below the roots; ignored folders are out."""
+    roots, found = unique_tags(paths), None
+    for tag, path in roots:
+        one = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*{.json,.yaml,.yml,go.mod}").load(path)
+        base = path.split("://")[-1]
+        rel = F.expr(f"substring(regexp_replace(path, '^[a-z]+:/*(?=/)', ''), {len(base) + 2})")
+        one = one.withColumn("rel", rel).filter(~is_ignored(F.col("rel")))
+        module = F.concat(F.lit(f"{tag}/"), F.col("rel")) if len(roots) > 1 else F.col("rel")
+        one = one.select(module.alias("module_path"), F.lit(tag).alias("root"), "content")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def changes(current: DataFrame, previous: DataFrame) -> DataFrame:
     """module_path, state (added, changed, unchanged, removed) from two tables of (module_path, hash)."""
     now = current.select("module_path", F.col("hash").alias("now"))

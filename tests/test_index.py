@@ -16,6 +16,16 @@ TREE = {
     "web/client.ts": "import { render } from './view';\n\nexport async function fetchUser(id: string) {\n  const r = await fetch(`/users/${id}`);\n  render(r);\n}\n",
     "web/view.ts": "export function render(x: any) {\n  return x;\n}\n",
     "api/server.js": "function showUser(req, res) {\n  res.send(1);\n}\napp.get('/users/:id', showUser);\n",
+    "tsconfig.json": '{ // paths\n "compilerOptions": {"baseUrl": ".", "paths": {"@view/*": ["web/*"],},}}',
+    "web/page.ts": "import { render } from '@view/view';\nimport * as v from './view';\n\nexport function page() {\n  render(1);\n  v.render(2);\n}\n",
+    "spec/openapi.json": '{\n"openapi": "3.0.0",\n"paths": {"/users/{id}": {"get": {}}}}',
+    "gql/schema.graphql": "type Query {\n  user(id: ID!): User\n  users: [User!]\n}\n\ntype User {\n  id: ID\n  team: Team\n}\n\ntype Team { title: String }\n",
+    "gql/ops.graphql": "query GetUser($id: ID!) {\n  user(id: $id) { id team { title } }\n  ...More\n}\nfragment More on Query { users { id } }\n",
+    "lib/schema.ex": "defmodule App.Schema do\n  object :accounts do\n    field :user, :user do\n      arg(:id, :id)\n      resolve(&App.Accounts.find_user/2)\n    end\n  end\n\n  query do\n    import_fields(:accounts)\n  end\nend\n",
+    "lib/accounts.ex": "defmodule App.Accounts do\n  alias App.User\n  import App.Helpers\n\n  def find_user(id) do\n    clean(id)\n    App.Helpers.Deep.audit(id)\n    Repo.get(User, id)\n  end\nend\n",
+    "lib/helpers.ex": "defmodule App.Helpers do\n  def clean(x) do\n    x\n  end\nend\n",
+    "lib/deep.ex": "defmodule App.Helpers.Deep do\n  def audit(x) do\n    x\n  end\nend\n",
+    "lib/user.ex": "defmodule App.User do\n  schema \"users\" do\n    x\n  end\nend\n",
     "node_modules/x/index.js": "function hidden() {}\n",
     "notes.txt": "nothing",
 }
@@ -52,6 +62,40 @@ def test_links(engine):
     assert any(k == "HttpCall" and s == "web/client.ts#fetchUser" for s, _, k in e)
 
 
+def test_path_alias_stays_local(engine):
+    e = edges(engine)
+    assert e[("web/page.ts#page", "web/view.ts#render", "Calls")] >= 0.9
+    assert ("web/page.ts#<module>", "web/view.ts#<module>", "Imports") in e and not any(d.startswith("@view") for _, d, _ in e)
+
+
+def test_specification_provides_routes(engine):
+    assert edges(engine)[("web/client.ts#fetchUser", "spec/openapi.json#<module>", "HttpCall")] > 0
+
+
+def test_graphql_links(engine):
+    e = edges(engine)
+    op = "gql/ops.graphql#GetUser"
+    # One candidate in the schema and one resolver share the base.
+    assert e[(op, "gql/schema.graphql#Query.user", "GraphqlCall")] == pytest.approx(0.9 / 3)
+    assert e[(op, "lib/accounts.ex#App.Accounts.find_user", "GraphqlCall")] == pytest.approx(0.9 / 3)
+    assert (op, "gql/schema.graphql#Query.users", "GraphqlCall") in e  # by a fragment
+    assert e[(op, "gql/schema.graphql#Team.title", "GraphqlCall")] == pytest.approx(0.9)  # by descent
+    assert e[("lib/accounts.ex#App.Accounts.find_user", "gql/schema.graphql#Query.user", "Serves")] == pytest.approx(0.9)
+
+
+def test_named_modules(engine):
+    e = edges(engine)
+    me = "lib/accounts.ex#App.Accounts.find_user"
+    assert e[(me, "lib/helpers.ex#App.Helpers.clean", "Calls")] == pytest.approx(0.9)
+    assert (me, "lib/deep.ex#App.Helpers.Deep.audit", "Calls") in e
+    assert e[(me, "lib/user.ex#App.User", "DbQuery")] == pytest.approx(0.85)
+
+
+def test_locate_reaches_a_handler_through_its_route(engine):
+    assert {r.key: r.route_path for r in engine.nodes.filter("route_path IS NOT NULL").collect()}["api/server.js#showUser"] == "users"
+    assert "api/server.js#showUser" in [r.key for r in engine.locate("users endpoint").collect()]
+
+
 def test_ignored_folders_and_unknown_files(engine):
     paths = {r.module_path for r in engine.nodes.select("module_path").collect()}
     assert not any("node_modules" in p or p == "notes.txt" for p in paths)
