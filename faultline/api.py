@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import graph, overlay, ranking
+from .operators import evaluation, graph, overlay, ranking
 from .plans.index import FINGERPRINT, Index, build
-from .store import SnapshotStore
+from .store import SnapshotStore, find_store, leave_pointer
 
 # How much each answer shows unless asked otherwise.
 IMPACT, REVIEW, LOCATE, SEARCH, NEIGHBORS_DEPTH, NEIGHBORS, PATH_DEPTH, PATHS = 20, 15, 10, 30, 1, 50, 6, 3
@@ -30,11 +30,13 @@ class Engine:
         index = build(spark, roots, history, previous)
         if saved is not None:
             saved.write({"nodes": index.nodes, "edges": index.edges, "facts": index.facts, "stamps": index.stamps}, FINGERPRINT)
+            for root in roots[1:]:
+                leave_pointer(spark, root, store)
         return cls(spark, index)
 
     @classmethod
     def load(cls, spark: SparkSession, store: str) -> Engine:
-        saved = SnapshotStore(spark, store)
+        saved = SnapshotStore(spark, find_store(spark, store))
         tables = [saved.read(t) for t in ("nodes", "edges", "facts", "stamps")]
         if any(t is None for t in tables):
             raise FileNotFoundError(f"no index at {store}")
@@ -90,6 +92,51 @@ class Engine:
     def reaches(self, dep: str, symbol: str) -> DataFrame:
         return graph.reaches(self.nodes, self.edges, dep, symbol)
 
+    def evaluate_recall(self, history: DataFrame, k: int = 50, depth: int = 3) -> DataFrame:
+        """pairs, static, cochange, fused: how many same-commit file pairs of the k newest commits the graph and older history link."""
+        known = self.nodes.select(F.col("module_path").alias("file")).distinct()
+        history = history.join(known, "file", "left_semi")
+        parts = overlay.holdout(history, k)
+        of = lambda p: history.join(parts.filter(F.col("part") == p).select("commit"), "commit", "left_semi")
+        reach = evaluation.module_reach(self.nodes, self.edges, of("test").select("file"), ["Calls", "Imports", "GraphqlCall", "DbQuery"], depth)
+        return evaluation.cochange_recall(of("test"), reach, overlay.cochange(of("train")))
+
+    def risk_files(self, history: DataFrame, k: int = 50) -> DataFrame:
+        """file, churn, bug_density, ownership (from commits before the k newest), fanout (the most of its symbols), fixed (whether a fix among the k touches it)."""
+        parts = overlay.holdout(history, k)
+        of = lambda p: history.join(parts.filter(F.col("part") == p).select("commit"), "commit", "left_semi")
+        risk = overlay.file_risk(overlay.file_stats(of("train"))).select("file", "churn", "bug_density", "ownership")
+        most = self.nodes.groupBy(F.col("module_path").alias("file")).agg(F.max("fanout").alias("fanout"))
+        fixed = of("test").filter("is_fix").select("file").distinct().withColumn("fixed", F.lit(True))
+        return risk.join(most, "file").join(fixed, "file", "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)))
+
+    def evaluate_risk(self, history: DataFrame, k: int = 50, weights: tuple[float, ...] | None = None) -> DataFrame:
+        """Precision and lift of every risk term; with weights, of their blend."""
+        files = self.risk_files(history, k)
+        terms = ["churn", "bug_density", "ownership", "fanout"]
+        if weights is None:
+            return evaluation.risk_precision(files, terms)
+        blended = overlay.blend(files, dict(zip(terms, weights, strict=True)))
+        return evaluation.risk_precision(blended, ["composite"])
+
+    def evaluate_grep(self, history: DataFrame, texts: DataFrame, k: int = 50) -> DataFrame:
+        """ranking, queries, recall, mrr of impact, of shared identifiers, and of chance, over files of the k newest commits.
+
+        A query is a file of a commit; wanted are the others of it. texts: file, text.
+        """
+        known = self.nodes.select(F.col("module_path").alias("file")).distinct()
+        history = history.join(known, "file", "left_semi")
+        test = history.join(overlay.holdout(history, k).filter("part = 'test'").select("commit"), "commit", "left_semi")
+        pairs = evaluation.commit_pairs(test).select(F.col("a").alias("query"), F.col("b").alias("file")).distinct()
+        queries = pairs.select("query").distinct()
+        seeds = queries.join(self.nodes.select(F.col("module_path").alias("query"), "key"), "query")
+        others = lambda ranked: ranked.filter("query <> file")
+        graph_ = evaluation.recall_and_mrr(others(evaluation.impact_ranking(self.nodes, self.edges, seeds)), pairs)
+        grep = evaluation.recall_and_mrr(others(evaluation.shared_identifier_ranking(queries.join(texts.withColumnRenamed("file", "query"), "query"), texts)), pairs)
+        floor = graph_.select("queries", F.lit(evaluation.random_floor(known.count())).alias("recall"), F.lit(None).cast("double").alias("mrr"))
+        name = lambda x, n: x.select(F.lit(n).alias("ranking"), "queries", "recall", "mrr")
+        return name(graph_, "impact").unionByName(name(grep, "identifiers")).unionByName(name(floor, "chance"))
+
     def stale(self, current: DataFrame) -> DataFrame:
         from .sources.files import stale
 

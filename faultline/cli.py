@@ -10,6 +10,20 @@ from pyspark.sql import SparkSession
 from . import api
 
 
+def parse_duration(text: str) -> int:
+    """Milliseconds of ``2s``, ``500ms`` or a bare number of milliseconds."""
+    number, times = (text[:-2], 1) if text.endswith("ms") else (text[:-1], 1000) if text.endswith("s") else (text, 1)
+    return int(number) * times
+
+
+def parse_weights(text: str) -> tuple[float, ...]:
+    """Four numbers: churn, bug density, ownership, fanout."""
+    out = tuple(float(p) for p in text.split(",") if p.strip())
+    if len(out) != 4:
+        raise argparse.ArgumentTypeError("four weights are needed: churn,bug_density,ownership,fanout")
+    return out
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="faultline")
     p.add_argument("--store", default=".faultline/index")
@@ -34,6 +48,11 @@ def parser() -> argparse.ArgumentParser:
     command("explain", "a", "b")
     command("uses", "dep", "symbol")
     command("mcp")
+    evaluate = sub.add_parser("eval")
+    evaluate.add_argument("what", choices=["recall", "risk", "grep"])
+    evaluate.add_argument("root")
+    evaluate.add_argument("--commits", type=int, default=50)
+    evaluate.add_argument("--weights", type=parse_weights, default=None)
     return p
 
 
@@ -55,6 +74,16 @@ def answer(engine: api.Engine, a: argparse.Namespace):
         return engine.path(a.start, a.goal, a.depth, a.limit)
     if c == "risk":
         return engine.risk(a.symbol)
+    if c == "eval":
+        from .sources.files import discover
+        from .sources.git import history
+
+        log = api.commit_files(history(engine.spark, a.root))
+        if a.what == "recall":
+            return engine.evaluate_recall(log, a.commits)
+        if a.what == "risk":
+            return engine.evaluate_risk(log, a.commits, a.weights)
+        return engine.evaluate_grep(log, discover(engine.spark, [a.root]).selectExpr("module_path AS file", "cast(content AS string) AS text"), a.commits)
     if c == "explain":
         return engine.explain_edge(a.a, a.b)
     return engine.uses(a.dep, a.symbol).select("key", "module_path")

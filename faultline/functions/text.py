@@ -120,3 +120,15 @@ def dependency_key(spec: Column, ecosystem: Column) -> Column:
         .when(ecosystem == "go", F.when(first.contains("."), spec))
         .when(ecosystem == "ruby", blank(first))
     )
+
+
+def predicate(name: str, value: Column, *wanted: str) -> Column:
+    """A condition of a capture by its name: eq?, not-eq?, any-of?, not-any-of?, match? or not-match?."""
+    plain = name.removeprefix("not-")
+    if plain == "match?":
+        out = value.rlike(wanted[0])
+    elif plain in ("eq?", "any-of?"):
+        out = value.isin(*wanted)
+    else:
+        raise ValueError(f"no such predicate: {name}")
+    return ~out if name.startswith("not-") else out

@@ -252,3 +252,12 @@ def b2_snapshot_roundtrip(spark, d):
     first = store.read("t").agg(F.lit("A").alias("from_snapshot"), F.count("*").alias("n"))
     store.write({"t": view(spark, d, "SELECT r_name FROM region")}, "one")
     return first.unionByName(store.read("t").agg(F.lit("B").alias("from_snapshot"), F.count("*").alias("n")))
+
+
+@query("""SELECT p_partkey, p_name = 'steel ring' AS eq, p_name <> 'steel ring' AS neq, p_brand IN ('Brand#1', 'Brand#2') AS any_of, p_brand NOT IN ('Brand#1', 'Brand#2') AS none_of,
+ regexp_matches(p_type, 'S[A-Z]+') AS matches, NOT regexp_matches(p_type, 'S[A-Z]+') AS no_match FROM part""")
+def c10_predicates(spark, d):
+    t = view(spark, d, "SELECT p_partkey, p_name, p_brand, p_type FROM part")
+    return t.select("p_partkey", T.predicate("eq?", F.col("p_name"), "steel ring").alias("eq"), T.predicate("not-eq?", F.col("p_name"), "steel ring").alias("neq"),
+                    T.predicate("any-of?", F.col("p_brand"), "Brand#1", "Brand#2").alias("any_of"), T.predicate("not-any-of?", F.col("p_brand"), "Brand#1", "Brand#2").alias("none_of"),
+                    T.predicate("match?", F.col("p_type"), "S[A-Z]+").alias("matches"), T.predicate("not-match?", F.col("p_type"), "S[A-Z]+").alias("no_match"))

@@ -15,6 +15,28 @@ def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def leave_pointer(spark: SparkSession, root: str, store: str) -> None:
+    """Notes in a root that its index is kept at store, under another root."""
+    fs, p = _file(spark, f"{root.rstrip('/')}/.faultline/POINTER")
+    out = fs.create(p, True)
+    out.write(bytearray(store, "utf-8"))
+    out.close()
+
+
+def find_store(spark: SparkSession, path: str) -> str:
+    """The store at a path, or the one that a pointer beside it names (path is <root>/.faultline/index)."""
+    fs, current = _file(spark, f"{path.rstrip('/')}/CURRENT")
+    beside = f"{path.rstrip('/').rpartition('/')[0]}/POINTER"
+    if fs.exists(current) or not fs.exists(_file(spark, beside)[1]):
+        return path
+    return "".join(r[0] for r in spark.read.text(beside).collect()).strip()
+
+
 class SnapshotStore:
     """Tables of one index under a path that Spark can write.
 
@@ -26,8 +48,7 @@ class SnapshotStore:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+        return _file(self.spark, path)
 
     def _pointer(self) -> dict | None:
         fs, p = self._fs(f"{self.root}/CURRENT")
