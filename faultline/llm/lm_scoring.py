@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -409,13 +410,13 @@ def in_buckets(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket, np.argsort(bucket, kind="stable")
 
 
-def _asked(end: int, buckets: int):
-    """A group's pairs by bucket of contexts, with their counts in training texts."""
+def _asked(end: int, buckets: int, context: int):
+    """A group's pairs with one of the contexts, by bucket, with their counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in batch.to_pylist():
-                key, n = np.unique(np.concatenate(pair_keys(*_group_texts(t), end)), return_counts=True)
+                key, n = np.unique(pair_keys(*_group_texts(t), end)[context], return_counts=True)
                 n[(key & _ONE) > 0] = 0
                 bucket, order = in_buckets(key, buckets)
                 bucket, key, n = bucket[order], key[order], n[order].astype(np.uint32)
@@ -547,22 +548,25 @@ def _scored(end: int, buckets: int, shared, learn_tokens: int):
         code = shared.value
         lengths = code[2]
         # The pairs as they were asked for, and where each one's logits are; zeros stand in front for what nobody has seen.
-        key, back = np.unique(np.concatenate(pair_keys(symbols, sizes, held, end)), return_inverse=True)
-        bucket, order = in_buckets(key, buckets)
-        first = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        length = lengths[((key >> _ONE) & ((_ONE << _S) - _ONE)).astype(np.int64)]
         pad = int(lengths.max())
-        values, at, start = [np.zeros(pad, np.int8)], pad, np.zeros(len(key), np.int64)
-        for b, known, own in zip(*(answers.column(c) for c in ("bucket", "known", "logits")), strict=True):
-            b = b.as_py()
-            asked = order[first[b] : first[b + 1]]
-            asked = asked[np.unpackbits(np.frombuffer(unsqueezed(known.as_py()), np.uint8), count=len(asked)).astype(bool)]
-            size = length[asked].astype(np.int64)
-            start[asked] = at + np.cumsum(size) - size
-            values.append(np.frombuffer(unsqueezed(own.as_py()), np.int8))
-            at += len(values[-1])
-        del key, bucket, order, length
-        where = np.split(start[back], 2)
+        values, at, where = [np.zeros(pad, np.int8)], pad, []
+        for context, own_keys in enumerate(pair_keys(symbols, sizes, held, end)):
+            key, back = np.unique(own_keys, return_inverse=True)
+            bucket, order = in_buckets(key, buckets)
+            first = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            length = lengths[((key >> _ONE) & ((_ONE << _S) - _ONE)).astype(np.int32)]
+            start = np.zeros(len(key), np.int64)
+            own = answers.filter(pc.equal(answers.column("context"), context))
+            for b, known, logits in zip(*(own.column(c) for c in ("bucket", "known", "logits")), strict=True):
+                b = b.as_py()
+                asked = order[first[b] : first[b + 1]]
+                asked = asked[np.unpackbits(np.frombuffer(unsqueezed(known.as_py()), np.uint8), count=len(asked)).astype(bool)]
+                size = length[asked].astype(np.int64)
+                start[asked] = at + np.cumsum(size) - size
+                values.append(np.frombuffer(unsqueezed(logits.as_py()), np.int8))
+                at += len(values[-1])
+            where.append(start[back])
+            del key, back, bucket, order, length, start
         cost = token_costs(symbols, sizes, held, where, np.concatenate(values), code, learn_tokens)
         coded = np.add.reduceat(cost, np.cumsum(sizes) - sizes, dtype=np.float64)
         return pa.table({"row": pa.array(t["row"] + np.arange(len(sizes))), "coded": pa.array(-coded / np.log(10))})
@@ -596,20 +600,24 @@ def score_documents(docs: DataFrame, held_out_fold: int = 2, of: int = 7, common
 
     groups = coded.filter("kind = 2").select(F.col("row").alias("grp"), "row", "symbols", "sizes", "helds")
     buckets = max(1, groups.count())
-    asked = groups.mapInArrow(_asked(code.end, buckets), "bucket int, grp long, keys binary, n binary")
     # Groups are scored in waves, so that only a share of the answers is shuffled (and on disk twice) at a time.
     wave = F.pmod(F.xxhash64("grp"), F.lit(WAVES)).cast("int").alias("wave")
-    answers = scratch.put("answers", asked.groupBy("bucket").applyInArrow(_answered(send((code.codes, code.lengths))), ANSWER).select("*", wave), "wave")
-    del asked
-    scratch.drop()
+    known, answers = send((code.codes, code.lengths)), None
+    for context in (1, 0):
+        # One context after the other, the one with more pairs first: its pairs are gone before the other's come.
+        asked = groups.mapInArrow(_asked(code.end, buckets, context), "bucket int, grp long, keys binary, n binary")
+        own = asked.groupBy("bucket").applyInArrow(_answered(known), ANSWER).select("*", F.lit(context).alias("context"), wave)
+        own = scratch.put(f"answers{context}", own, "wave")
+        answers = own if answers is None else answers.unionByName(own)
+        del asked
+        scratch.drop()
     plain = send((code.plain, code.begin, code.lengths))
     scores = None
     for k in range(WAVES):
         own = groups.filter(wave == k).groupBy("grp").cogroup(answers.filter(F.col("wave") == k).drop("wave").groupBy("grp"))
         own = scratch.put(f"scores{k}", own.applyInArrow(_scored(code.end, buckets, plain, learn_tokens), "row long, coded double"))
         scores = own if scores is None else scores.unionByName(own)
-        scratch.drop(f"answers/wave={k}")
-    scratch.drop("answers")
+        scratch.drop(f"answers0/wave={k}", f"answers1/wave={k}")
 
     rare = coded.filter("kind = 1").select("row", "word", "times").join(words, "word").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("rare_base"), F.sum("times").alias("rare_known"))
