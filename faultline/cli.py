@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import SparkSession
 
 from . import api
+from .schema import LANGUAGES
 
 
 def parse_duration(text: str) -> int:
@@ -42,7 +44,8 @@ def parser() -> argparse.ArgumentParser:
     command("review", "root", base="HEAD", limit=api.REVIEW)
     command("locate", "task", limit=api.LOCATE)
     command("search", "query", limit=api.SEARCH)
-    command("neighbors", "symbol", direction="out", depth=api.NEIGHBORS_DEPTH, limit=api.NEIGHBORS)
+    command("neighbors", "symbol", direction="out", depth=api.NEIGHBORS_DEPTH, limit=api.NEIGHBORS, kinds=None)
+    command("parse", "file")
     command("path", "start", "goal", depth=api.PATH_DEPTH, limit=api.PATHS)
     command("risk", symbol=None)
     command("explain", "a", "b")
@@ -69,7 +72,7 @@ def answer(engine: api.Engine, a: argparse.Namespace):
     if c == "search":
         return engine.search(a.query, a.limit)
     if c == "neighbors":
-        return engine.neighbors(a.symbol, a.direction, None, a.depth, a.limit)
+        return engine.neighbors(a.symbol, a.direction, a.kinds.split(",") if a.kinds else None, a.depth, a.limit)
     if c == "path":
         return engine.path(a.start, a.goal, a.depth, a.limit)
     if c == "risk":
@@ -89,22 +92,49 @@ def answer(engine: api.Engine, a: argparse.Namespace):
     return engine.uses(a.dep, a.symbol).select("key", "module_path")
 
 
+def parsed(path: str) -> list[dict]:
+    """The facts of one file, as an index would read them."""
+    from .extract.base import facts_of
+
+    language = next((lang for lang, suffixes in LANGUAGES.items() if path.endswith(tuple(suffixes))), "")
+    with open(path, encoding="utf-8", errors="replace") as f:
+        return facts_of(language, path, f.read())
+
+
+def history_of(spark: SparkSession, roots: list[str]):
+    """The commits of all roots that have any, with files named as the index names them; None where none has."""
+    import subprocess
+
+    from pyspark.sql import functions as F
+
+    from .sources.files import unique_tags
+    from .sources.git import history
+
+    out = None
+    for tag, path in unique_tags(roots):
+        try:
+            log = history(spark, path)
+            if log.isEmpty():
+                continue
+        except (subprocess.CalledProcessError, OSError) as e:
+            print(f"no history of {path}: {e}", file=sys.stderr)
+            continue
+        one = api.commit_files(log)
+        if len(roots) > 1:
+            one = one.withColumn("file", F.concat(F.lit(f"{tag}/"), F.col("file"))).withColumn("commit", F.concat(F.lit(f"{tag}:"), F.col("commit")))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
+    if a.command == "parse":
+        for fact in parsed(a.file):
+            print(json.dumps(fact))
+        return 0
     spark = spark or SparkSession.builder.appName("faultline").getOrCreate()
     if a.command == "index":
-        history = None
-        if len(a.roots) == 1:
-            import subprocess
-
-            from .sources.git import history as read
-
-            try:
-                log = read(spark, a.roots[0])
-                history = None if log.isEmpty() else api.commit_files(log)
-            except (subprocess.CalledProcessError, OSError) as e:
-                print(f"no history: {e}", file=sys.stderr)
-        engine = api.Engine.index_roots(spark, a.roots, history, a.store)
+        engine = api.Engine.index_roots(spark, a.roots, history_of(spark, a.roots), a.store)
         print(f'{{"nodes": {engine.nodes.count()}, "edges": {engine.edges.count()}}}')
         return 0
     engine = api.Engine.load(spark, a.store)

@@ -62,6 +62,29 @@ def test_arguments():
     assert cli.parser().parse_args(["eval", "risk", ".", "--weights", "1,0,0,0"]).weights == (1, 0, 0, 0)
 
 
+def test_parse_command(tmp_path, capsys):
+    (tmp_path / "a.py").write_text("def f():\n    return g()\n")
+    assert cli.main(["parse", str(tmp_path / "a.py")]) == 0
+    facts = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [(f["fact"], f["name"]) for f in facts] == [("def", "f"), ("ref", "g")]
+
+
+def test_history_of_several_roots(spark, tmp_path):
+    import subprocess
+
+    for name in ("one", "two"):
+        root = tmp_path / name
+        root.mkdir()
+        git = lambda *args, root=root: subprocess.run(["git", "-C", str(root), "-c", "user.name=x", "-c", "user.email=x@x", *args], check=True, capture_output=True)
+        git("init", "-q")
+        for text in ("x = 1\n", "x = 2\n"):
+            (root / "a.py").write_text(text)
+            git("add", "-A")
+            git("commit", "-qm", "work")
+    got = cli.history_of(spark, [str(tmp_path / "one"), str(tmp_path / "two")]).select("file").collect()
+    assert sorted(r.file for r in got) == ["one/a.py", "two/a.py"]
+
+
 def test_evaluation(spark, tmp_path):
     for i in range(4):
         (tmp_path / f"m{i}.py").write_text((f"from m{i - 1} import f{i - 1}\n\n\n" if i else "") + f"def f{i}():\n    return " + (f"f{i - 1}()" if i else "token_one") + "\n")
