@@ -288,6 +288,15 @@ def test_exact_dedup_of_one_id_with_two_texts(spark):
     assert sorted(map(tuple, exact_dedup.deduplicate(t).collect()), key=str) == sorted([(7, "A"), (9, "B"), (None, "C")], key=str)
 
 
+def test_texts_with_shared_identifiers_are_compared_whole(docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    want = sorted(map(tuple, exact_dedup.exact_groups(docs).collect()))
+    some = lambda recipes: recipes.select(F.explode("chunks").alias("chunk")).select(F.xxhash64("chunk").alias("chunk_id")).distinct().filter("chunk_id > 0")
+    monkeypatch.setattr(exact_dedup, "collided_chunks", some)
+    assert sorted(map(tuple, exact_dedup.exact_groups(docs).collect())) == want
+
+
 def test_chunks_rebuild_texts(odd):
     from pyspark.sql import functions as F
 
