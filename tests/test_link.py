@@ -37,3 +37,23 @@ def test_qualified_calls_count_over_the_reference(spark):
     refs = spark.createDataFrame([(1, "r", "m", "three", "x", "s", 1), (1, "r", "m", "two", "x", "s", 1), (2, "r", "m", "three", "x", "s", 1), (3, "r", "m", "three", "X", "s", 1)], REFS)
     got = link.qualified_calls(refs, defs).select("ref", "dst", "rule_no").collect()
     assert sorted(map(tuple, got), key=repr) == [(2, "d0", 3), (2, "d1", 3), (2, "d2", 3), (3, None, 2)]
+
+
+def exchanges_above_pairs(plan, pairs):
+    """Exchanges of a plan that stand above its last join, whose output is pairs."""
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    return text[: text.index(pairs)].count("Exchange ")
+
+
+def test_bare_calls_of_repeated_references(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "d13_bare_calls", part=PART, lineitem=REPEATED)
+    assert got == want and want
+
+
+def test_bare_calls_move_no_pairs(spark):
+    defs = spark.createDataFrame([("a", "r", "m", "x", None, "Function"), ("b", "r", "m", "x", None, "Function"), ("f", "r", "m", "y", None, "Field")], DEFS)
+    imported = spark.createDataFrame([("m", "x", "i"), ("m", "y", "j"), ("m", "y", "k")], "module_path string, local string, key string")
+    refs = spark.createDataFrame([(1, "r", "m", "x", None, "s", 1), (2, "r", "m", "y", None, "s", 1), (3, "r", "m", "x", None, "s", 1), (3, "r", "m", "y", None, "s", 1), (4, "r", "m", "z", None, "s", 1)], REFS)
+    out = link.bare_calls(refs, defs, imported).select("ref", "dst", "rule_no")
+    assert sorted(map(tuple, out.collect())) == [(1, "a", 1), (1, "b", 1), (2, "j", 2), (2, "k", 2), (3, "a", 1), (3, "b", 1)]
+    assert exchanges_above_pairs(out, "Join") == 0
