@@ -57,3 +57,26 @@ def test_bare_calls_move_no_pairs(spark):
     out = link.bare_calls(refs, defs, imported).select("ref", "dst", "rule_no")
     assert sorted(map(tuple, out.collect())) == [(1, "a", 1), (1, "b", 1), (2, "j", 2), (2, "k", 2), (3, "a", 1), (3, "b", 1)]
     assert exchanges_above_pairs(out, "Join") == 0
+
+
+def test_call_edges_of_repeated_references(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "d19_call_edges", part=PART, lineitem=REPEATED)
+    assert got == want and want
+
+
+def test_call_edges_of_keys_under_several_names(spark, tmp_path):
+    schema, parts = PART
+    got, want = against_sql(spark, tmp_path, "d19_call_edges", part=(schema, parts + [(0, "hot nut", "B1", "T"), (0, "red nut", "B1", "T"), (3, "odd nut", "B1", "T"), (5, "hot nut", "B1", "T")]), lineitem=REPEATED)
+    assert got == want and want
+
+
+def test_call_edges_move_no_pairs(spark):
+    defs = spark.createDataFrame([(f"d{i}", "r", "m", "xy"[i % 2], None, "Function") for i in range(5)] + [("e", "r", "m", "x", None, "Method"), ("e", "r", "m", "y", None, "Method")], DEFS)
+    refs = spark.createDataFrame([(1, "r", "m", "x", None, "s", 1), (2, "r", "m", "x", None, "s", 1), (3, "r", "m", "x", None, "d0", 2), (3, "r", "m", "y", None, "s", 2)], REFS)
+    out = link.named_call_edges(refs, defs, ["root", "name"], 0.6)
+    hits = refs.join(defs.select("root", "name", "key"), ["root", "name"]).selectExpr("ref", "key AS dst", "0.6D AS base")
+    want = link.call_edges(hits, refs).selectExpr("src", "dst", "line", "round(confidence, 6) AS confidence").groupBy("src", "dst", "line", "confidence").count()
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    # The final one after the union counts sites of the shared key alone; pairs of single keys go out from their join.
+    plan = out.filter("dst <> 'e'")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Join")]
