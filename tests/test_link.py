@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
+from pyspark.sql import functions as F
 
 from faultline.operators import link
 from faultline.plans import catalog, catalog_link  # noqa: F401  (registers into the first)
@@ -80,3 +83,34 @@ def test_call_edges_move_no_pairs(spark):
     # The final one after the union counts sites of the shared key alone; pairs of single keys go out from their join.
     plan = out.filter("dst <> 'e'")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("Join")]
+
+
+def placed(spark, spans, points, innermost):
+    out = link.enclosing(spark.createDataFrame(points, "id long, module_path string, line int"), spark.createDataFrame(spans, "module_path string, key string, start_line int, end_line int"), "id", innermost)
+    return {r.id: r.container for r in out.collect()}
+
+
+def test_enclosing_against_all_pairs(spark):
+    rng = random.Random(5)
+    top = 2**31 - 1
+    starts = [(rng.choice("fg"), s, s + rng.choice([0, 1, 7, 8, 63, 64, 511, 3000])) for s in (rng.choice([1, 7, 8, 9, 64, 65, 512, 4096]) + rng.randrange(60) for _ in range(150))]
+    starts += [("f", 0, top), ("f", -3, 9), ("g", 1, 0), ("g", 30, 20), ("f", top, top), ("g", -70, -2), ("f", 5, 1_000_000), ("f", 5, 1_000_000)]
+    spans = [(m, f"k{i}", a, b) for i, (m, a, b) in enumerate(starts)]
+    points = list(enumerate(["f", "g", "h"][i % 3] for i in range(900)))
+    points = [(i, m, rng.choice([rng.randrange(-80, 700), rng.randrange(5000), top, 999_999, 0])) for i, m in points]
+    for innermost, order in (("latest", lambda s: (-s[2], s[3], s[1])), ("smallest", lambda s: (s[3] - s[2], -s[2], s[1]))):
+        want = {i: min((s for s in spans if s[0] == m and s[2] <= x <= s[3]), key=order, default=(None, None))[1] for i, m, x in points}
+        assert placed(spark, spans, points, innermost) == want
+
+
+def test_enclosing_long_spans_are_few_rows(spark):
+    lines = spark.range(1, 2001).selectExpr("'f' AS module_path", "concat('s', id) AS key", "CAST(id AS INT) AS start_line", "CAST(2000000000 + id AS INT) AS end_line")
+    points = spark.range(1).selectExpr("id", "'f' AS module_path", "2001 AS line")
+    assert link.enclosing(points, lines, "id").collect()[0].container == "s2000"
+
+
+def test_enclosing_cuts_spans_into_few_blocks(spark):
+    spans = spark.range(1, 200).selectExpr("CAST(id * 1000 AS LONG) AS s", "CAST(id * 1000000 AS LONG) AS e").select("s", "e", F.explode(link._pieces(F.col("s"), F.col("e"))).alias("p"))
+    width = F.pow(F.lit(2), link.LEVEL_BITS * F.col("p.level"))
+    got = spans.groupBy("s", "e").agg(F.count("*").alias("n"), F.sum(width).alias("lines"), F.min(F.col("p.block") * width).alias("a"), F.max((F.col("p.block") + 1) * width - 1).alias("b")).collect()
+    assert len(got) == 199 and all(r.n <= 14 * link.LEVELS and r.lines == r.e - r.s + 1 and (r.a, r.b) == (r.s, r.e) for r in got)
