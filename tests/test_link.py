@@ -114,3 +114,9 @@ def test_enclosing_cuts_spans_into_few_blocks(spark):
     width = F.pow(F.lit(2), link.LEVEL_BITS * F.col("p.level"))
     got = spans.groupBy("s", "e").agg(F.count("*").alias("n"), F.sum(width).alias("lines"), F.min(F.col("p.block") * width).alias("a"), F.max((F.col("p.block") + 1) * width - 1).alias("b")).collect()
     assert len(got) == 199 and all(r.n <= 14 * link.LEVELS and r.lines == r.e - r.s + 1 and (r.a, r.b) == (r.s, r.e) for r in got)
+
+
+def test_smallest_of_long_spans(spark):
+    lines = spark.range(1, 2001).selectExpr("'f' AS module_path", "concat('s', id) AS key", "CAST(id AS INT) AS start_line", "CAST(2000000000 + 2 * id AS INT) AS end_line")
+    points = spark.range(1).selectExpr("id", "'f' AS module_path", "2000000100 AS line")
+    assert link.enclosing(points, lines, "id", "smallest").collect()[0].container == "s50"
