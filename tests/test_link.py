@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import link
@@ -120,3 +121,11 @@ def test_smallest_of_long_spans(spark):
     lines = spark.range(1, 2001).selectExpr("'f' AS module_path", "concat('s', id) AS key", "CAST(id AS INT) AS start_line", "CAST(2000000000 + 2 * id AS INT) AS end_line")
     points = spark.range(1).selectExpr("id", "'f' AS module_path", "2000000100 AS line")
     assert link.enclosing(points, lines, "id", "smallest").collect()[0].container == "s50"
+
+
+@pytest.mark.parametrize("innermost", ["latest", "smallest"])
+def test_enclosing_sends_no_table_through_the_driver(spark, innermost):
+    spans = spark.range(1, 200).selectExpr("'f' AS module_path", "concat('s', id) AS key", "CAST(id AS INT) AS start_line", "CAST(2 * id AS INT) AS end_line")
+    points = spark.range(300).selectExpr("id", "'f' AS module_path", "CAST(id % 200 AS INT) AS line")
+    out = link.enclosing(points, spans, "id", innermost)
+    assert out.count() == 300 and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
