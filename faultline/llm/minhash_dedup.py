@@ -223,10 +223,10 @@ def grouped(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BAN
     return signed.select("doc_id", "h", "n_shingles", "f1", "f2").join(of_rep, same, "left").select("doc_id", "h", "n_shingles", "first")
 
 
-def near_groups(docs: DataFrame, **how) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, **how) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept per row of docs; links are at 100 * intersection >= percent * union."""
     component = F.coalesce("first.doc_id", "doc_id")
-    out = grouped(docs, **how).select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    out = grouped(docs, width, percent, **how).select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
     return unmasked(out, "doc_id", "component_id")
 
 
