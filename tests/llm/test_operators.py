@@ -469,6 +469,31 @@ def test_lm_probabilities_sum_to_one():
     assert all(int(lm_scoring.steps(np.array([a]), np.array([b]))[0]) == -int(lm_scoring.steps(np.array([b]), np.array([a]))[0]) for a in range(30) for b in range(30))
 
 
+def test_lm_words_are_found_by_leading_bits():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    top = np.uint64(1 << 64 - lm_scoring.HEAD_BITS)
+    words = np.unique(np.concatenate([r.integers(0, 1 << 64, 3000, np.uint64, endpoint=False), np.arange(40, dtype=np.uint64) + top * np.uint64(7), np.array([0, 2**64 - 1], np.uint64)]))
+    h = np.concatenate([words[::2], words[::3] + np.uint64(1), np.arange(80, dtype=np.uint64) + top * np.uint64(7), np.array([0, 1, 2**64 - 1], np.uint64)])
+    of = {w: i for i, w in enumerate(words.tolist())}
+    assert lm_scoring.places(words, lm_scoring.heads(words), h).tolist() == [of.get(x, -1) for x in h.tolist()]
+    nothing = np.zeros(0, np.uint64)
+    assert lm_scoring.places(nothing, lm_scoring.heads(nothing), h).tolist() == [-1] * len(h) and not len(lm_scoring.places(words, lm_scoring.heads(words), nothing))
+
+
+def test_lm_costs_are_exact_logarithms():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    t, gate = [r.integers(-60, 61, 5000).astype(np.float32) / 4 for _ in range(3)], r.integers(0, 9, 5000)
+    mixer = lm_scoring.Mixer(9, [0.6, 0.4, 0.6])
+    for _ in range(4):
+        z = sum(w.astype(float)[gate] * x for w, x in zip(mixer.w, t, strict=True)).clip(-40, 40)
+        assert np.allclose(mixer.cost(t, gate), np.log1p(np.exp(-z)), rtol=1e-4, atol=2e-6)
+        mixer.learn()
+
+
 def test_lm_copies_score_higher(spark):
     from tests.llm.conftest import prose
 
