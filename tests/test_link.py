@@ -63,6 +63,31 @@ def test_bare_calls_move_no_pairs(spark):
     assert exchanges_above_pairs(out, "Join") == 0
 
 
+def test_bare_calls_come_in_runs(spark):
+    defs = spark.createDataFrame([(f"d{i}", "r", "m", "x", None, "Function") for i in range(40)], DEFS)
+    refs = spark.createDataFrame([(i if i else None, "r", "m", "x", None, "s", 1) for i in range(600)] + [(9, "r", "m", "x", None, "s", 1)], REFS)
+    imported = spark.createDataFrame([], "module_path string, local string, key string")
+    got = [r.dst for r in link.bare_calls(refs, defs, imported).collect()]
+    assert len(got) == 601 * 40 and set(got) == {f"d{i}" for i in range(40)}
+    # A definition stays for a block of references: 601 of them are three blocks, in as many parts at most.
+    assert sum(a != b for a, b in zip(got, got[1:])) < 40 * 6
+
+
+@pytest.mark.parametrize("pairs", [1, 1000, 1 << 23])
+def test_bare_calls_of_names_in_parts(spark, monkeypatch, pairs):
+    monkeypatch.setattr(link, "PART_PAIRS", pairs)
+    monkeypatch.setattr(link, "BLOCK", 16)
+    rng = random.Random(5)
+    defs = [(f"d{i}", "r", "mn"[i % 2], rng.choice("xyz"), None, rng.choice(["Function", "Field"])) for i in range(60)]
+    refs = [(rng.randrange(700) or None, "r", rng.choice("mn"), rng.choice("xyzw"), None, "s", 1) for _ in range(900)]
+    bound = [("m", "x", "i"), ("n", "w", "j"), ("n", "w", "k")]
+    rules = lambda m, n: ([d[0] for d in defs if d[2:4] == (m, n) and d[5] != "Field"], [k for a, b, k in bound if (a, b) == (m, n)])
+    met = [(r[0], k, no) for r in refs for no, keys in enumerate(rules(r[2], r[3]), 1) for k in keys]
+    want = [x for x in met if x[2] == min(y[2] for y in met if y[0] == x[0])]
+    out = link.bare_calls(spark.createDataFrame(refs, REFS), spark.createDataFrame(defs, DEFS), spark.createDataFrame(bound, "module_path string, local string, key string"))
+    assert sorted(map(tuple, out.select("ref", "dst", "rule_no").collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_call_edges_of_repeated_references(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "d19_call_edges", part=PART, lineitem=REPEATED)
     assert got == want and want
