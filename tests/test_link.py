@@ -111,6 +111,26 @@ def test_call_edges_move_no_pairs(spark):
     assert "Exchange" not in plan[: plan.index("Join")]
 
 
+def test_call_edges_come_in_runs(spark):
+    defs = spark.createDataFrame([(f"d{i}", "r", "m", "x", None, "Function") for i in range(40)], DEFS)
+    refs = spark.createDataFrame([(i, "r", "m", "x", None, f"s{i % 500}", 1) for i in range(600)], REFS)
+    got = link.named_call_edges(refs, defs, ["root", "name"], 0.6).collect()
+    assert len(got) == 500 * 40 and sum(r.sites for r in got) == 600 * 40 and {r.confidence for r in got} == {0.015}
+    assert sum(a.dst != b.dst for a, b in zip(got, got[1:])) < 40 * 6
+
+
+@pytest.mark.parametrize("small_rows", [0, 10_000])
+def test_call_edges_of_names_in_parts(spark, tmp_path, monkeypatch, small_rows):
+    monkeypatch.setattr(link, "SMALL_ROWS", small_rows)
+    monkeypatch.setattr(link, "PART_PAIRS", 50)
+    monkeypatch.setattr(link, "BLOCK", 4)
+    rng = random.Random(3)
+    parts = [(rng.randrange(90), rng.choice(["red", "hot", "big"]), rng.choice(["B1", "B2"]), "T") for _ in range(100)]
+    lines = [(5 * rng.randrange(60), rng.randrange(90), rng.randrange(40), rng.randrange(1, 4)) for _ in range(300)]
+    got, want = against_sql(spark, tmp_path, "d19_call_edges", part=(PART[0], parts), lineitem=(LINES, lines))
+    assert got == want and want
+
+
 def placed(spark, spans, points, innermost):
     out = link.enclosing(spark.createDataFrame(points, "id long, module_path string, line int"), spark.createDataFrame(spans, "module_path string, key string, start_line int, end_line int"), "id", innermost)
     return {r.id: r.container for r in out.collect()}
